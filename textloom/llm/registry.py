@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
+from . import jaccard_join, substring_dedup
 
 QUERIES = {
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
 }
 SQL: dict[str, str] = {}
 
