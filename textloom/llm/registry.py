@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, substring_dedup
+from . import jaccard_join, packing, substring_dedup
 
 QUERIES = {
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
 }
 SQL: dict[str, str] = {}
 
