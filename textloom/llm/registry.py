@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, packing, substring_dedup
+from . import jaccard_join, packing, piece_table, substring_dedup
 
 QUERIES = {
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op10_sentencepiece": piece_table.op10_sentencepiece,
 }
 SQL: dict[str, str] = {}
 
