@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, packing, piece_table, substring_dedup
+from . import jaccard_join, packing, piece_table, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
