@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, packing, piece_table, substring_dedup, toxicity
+from . import audio, jaccard_join, packing, pii, piece_table, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_pii": pii.op8_pii,
+    "op9_audio_features": audio.op9_audio_features,
     "op10_sentencepiece": piece_table.op10_sentencepiece,
 }
 SQL: dict[str, str] = {}
