@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import audio, jaccard_join, packing, pii, piece_table, substring_dedup, toxicity
+from . import audio, jaccard_join, one_bit_search, packing, pii, piece_table, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
+    "op3_nearest_neighbours": one_bit_search.op3_nearest_neighbours,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_pii": pii.op8_pii,
