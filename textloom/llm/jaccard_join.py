@@ -13,7 +13,8 @@ The metric is the Jaccard distance of shingle sets; two documents link within ``
 * *Recursion.* In each region the documents still open choose a few of their own as pivots; all others
   are measured against these alone. Linked ones join the pivot's component; a region that has become one
   component closes; elsewhere the pivots, now compared with everyone, leave, and the region recurses with
-  four times as many pivots. The distances to the pivots already measured bound the others from below.
+  four times as many pivots. Bounds from distances already known (to pivots measured before, and to fixed
+  pivots that each hold a range of hashes) rule out most pairs before any set is read.
   Pairs within one component are never made, nor any pair twice.
 
 The order of pivots only affects speed. It comes from a table of counts of fixed size over all documents.
@@ -35,8 +36,8 @@ from .words import Words, mix
 #: Counters in the table that orders the pivots: 4 bytes each, whatever the input.
 SKETCH_BITS = 21
 _PIECES = 64
-#: Pivots that a region chooses in its first round.
-PIVOTS = 8
+#: Pivots that a region chooses in its first round: one, so that a group of near copies makes one star.
+PIVOTS = 1
 
 
 def _sets(array: pa.Array, size: int):
@@ -99,8 +100,41 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(2 * np.log2(load)), 0, 120).astype(np.uint8)
 
 
+def _bins(own: np.ndarray) -> bytes:
+    """How many of a set's shingles fall in each of some n/4 ranges of hashes; 255 stands for that many or more."""
+    bits = min(12, max(4, int(len(own) // 4).bit_length()))
+    return np.minimum(np.bincount(own >> np.uint64(64 - bits), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _overlap(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """At most so many shingles are in both sets. Each range of hashes is a pivot; their triangle inequalities add up."""
+    p, q = (np.frombuffer(b, np.uint8).astype(np.int64) for b in (x, y))
+    if (p == 255).any() or (q == 255).any():
+        return min(nx, ny)
+    m = min(len(p), len(q))
+    return int(np.minimum(p.reshape(m, -1).sum(1), q.reshape(m, -1).sum(1)).sum())
+
+
+def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the counts in ranges of hashes do not rule out."""
+    sides = reps.select("ka", "n", "bins")
+    both = pairs.join(sides.select(F.col("ka").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("y")), "b")
+    both = both.join(sides.select(F.col("ka").alias("a"), F.col("n").alias("na"), F.col("bins").alias("x")), "a")
+
+    def check(batches):
+        for batch in batches:
+            x, y, na, nb = (batch.column(c).to_pylist() for c in ("x", "y", "na", "nb"))
+            stays = []
+            for i in range(len(x)):
+                most = _overlap(x[i], y[i], na[i], nb[i])
+                stays.append(100 * most >= percent * (na[i] + nb[i] - most))
+            yield batch.select(["a", "b"]).filter(pa.array(stays, pa.bool_()))
+
+    return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(check, "a long, b long")
+
+
 def classes(docs: DataFrame, size: int, percent: int, levels=None) -> DataFrame:
-    """One row per document: (doc_id, ka, kb, n) and the pivots of its window."""
+    """One row per document: (doc_id, ka, kb, n), the pivots of its window and counts in ranges of hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     bits = int(np.log2(len(levels)))
 
@@ -109,7 +143,7 @@ def classes(docs: DataFrame, size: int, percent: int, levels=None) -> DataFrame:
         for batch in slices(batches, "text"):
             values, counts = _sets(batch.column("text"), size)
             ka, kb = _fingerprints(values, counts)
-            out, width = [], np.zeros(len(counts), np.int64)
+            out, width, bins = [], np.zeros(len(counts), np.int64), [b""] * len(counts)
             at = 0
             for r, n in enumerate(counts.tolist()):
                 if n:
@@ -118,11 +152,12 @@ def classes(docs: DataFrame, size: int, percent: int, levels=None) -> DataFrame:
                     order = np.lexsort((own, rank[own >> np.uint64(64 - bits)]))[:k]
                     out.append(own[order])
                     width[r] = k
+                    bins[r] = _bins(own)
                     at += n
             flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ka), pa.array(kb), pa.array(counts), lists(flat.view(np.int64), width, pa.int64())], ["doc_id", "ka", "kb", "n", "window"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ka), pa.array(kb), pa.array(counts), lists(flat.view(np.int64), width, pa.int64()), pa.array(bins, pa.binary())], ["doc_id", "ka", "kb", "n", "window", "bins"])
 
-    return docs.mapInArrow(find, "doc_id long, ka long, kb long, n long, window array<long>")
+    return docs.mapInArrow(find, "doc_id long, ka long, kb long, n long, window array<long>, bins binary")
 
 
 def _measure(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
@@ -169,12 +204,11 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     levels = _levels(pivot_counts(docs, size))
     whole = classes(docs, size, percent, levels)
     members = keep(whole.select("doc_id", "ka", "kb", "n"), "members")
-    reps = keep(whole.where("n > 0 and doc_id is not null").groupBy("ka", "kb").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("window").alias("window")), "classes")
+    reps = keep(whole.where("n > 0 and doc_id is not null").groupBy("ka", "kb").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("window").alias("window"), F.first("bins").alias("bins")), "classes")
     region = reps.select(F.explode("window").alias("pivot"), "ka", "n")
     met = region.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("pivot"))).where("met > 1").drop("met")
     cells = keep(met, "regions")
     reps_small = reps.select("ka", "rep", "n")
-    links = None
     comp = None
     take = PIVOTS
     measured = None
@@ -201,12 +235,12 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             far = pairs.join(flat.select("p", F.col("x").alias("a"), F.col("d").alias("da")), "a").join(flat.select("p", F.col("x").alias("b"), F.col("d").alias("db")), ["p", "b"])
             far = far.where(F.abs(F.col("da") - F.col("db")) > (100 - percent) / 100 + 1e-9).select("a", "b").distinct()
             pairs = pairs.join(far, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
+        pairs = keep(_possible(pairs, reps, percent), "pairs")
         if not pairs.isEmpty():
             more = keep(_measure(pairs, docs, reps_small, size), "measured")
             measured = more if measured is None else measured.unionByName(more)
             fresh = more.where(F.col("inter") * 100 >= (F.col("na") + F.col("nb") - F.col("inter")) * percent).select("a", "b")
-            links = fresh if links is None else links.unionByName(fresh)
+            links = fresh if comp is None else fresh.unionByName(comp.select(F.col("node").alias("a"), F.col("root").alias("b")))
             comp = keep(connected(links), "components")
         # The pivots have met everyone: they leave, and the rest of the region recurses.
         cells = state.withColumn("at", F.row_number().over(order)).where(F.col("at") > take).select("pivot", "ka", "n")
