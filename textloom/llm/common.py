@@ -55,9 +55,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only id and text, whatever other columns there are; a null text counts as empty."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Only id, text and the columns to ``carry``, whatever others there are; a null text counts as empty."""
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *[F.col(f"`{c}`") for c in carry])
+
+
+def ddl(rows: DataFrame, names) -> str:
+    """The given columns of ``rows`` as the beginning of a schema string."""
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in set(names))
 
 
 def slices(batches, column: str, target: int = 6 << 20):

@@ -90,7 +90,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     def checked(kind: str) -> Column:
         return F.filter(kind, lambda s: _CHECKS[kind](s["text"])).alias(kind)
 
-    return out.select("doc_id", "text", *[checked(kind) for kind in BASE])
+    return out.select(*docs.columns, *[checked(kind) for kind in BASE])
 
 
 def _votes(x: Column) -> dict[str, Column]:
@@ -178,13 +178,13 @@ def _is_secret(x: Column, model: dict) -> Column:
     return score > 0
 
 
-def find(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, spans) of every row; spans are (start, kind number, end, kind), ordered, over all kinds.
+def find(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every row with doc_id, text, the columns to carry, and spans; spans are (start, kind number, end, kind), ordered, over all kinds.
 
     ``model`` comes from :func:`fit`, by default over these very documents. Null texts count as empty and have no
     spans. Added spans that overlap a base span are left out; base spans always stay.
     """
-    rows = texts(docs, id_col, text_col)
+    rows = texts(docs, id_col, text_col, carry)
     model = model or fit(rows)
     based = base_spans(rows).withColumn("candidate", _spans(F.col("text"), CANDIDATE))
 
@@ -194,11 +194,11 @@ def find(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id", tex
     base = F.concat(*[tagged(F.col(kind), i) for i, kind in enumerate(BASE)])
     ready = based.withColumn("base", base).withColumn("candidate", F.filter("candidate", lambda s: _is_secret(s, model)))
     free = F.filter("candidate", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return ready.select("doc_id", "text", F.array_sort(F.concat("base", tagged(free, len(BASE)))).alias("spans"))
+    return ready.select(*rows.columns, F.array_sort(F.concat("base", tagged(free, len(BASE)))).alias("spans"))
 
 
 def redact(found: DataFrame) -> DataFrame:
-    """(doc_id, text) with every span replaced by its kind in angle brackets; of overlapping spans the first counts."""
+    """The rows of :func:`find`, without spans, every span replaced by its kind in angle brackets; of overlapping spans the first counts."""
     text = F.col("text")
 
     def step(state: Column, s: Column) -> Column:
@@ -208,7 +208,7 @@ def redact(found: DataFrame) -> DataFrame:
 
     init = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     done = F.aggregate("spans", init, step, lambda s: F.concat(s["out"], text.substr((s["at"] + 1).cast("int"), F.length(text))))
-    return found.select("doc_id", F.when(F.size("spans") == 0, text).otherwise(done).alias("text"))
+    return found.withColumn("text", F.when(F.size("spans") == 0, text).otherwise(done)).drop("spans")
 
 
 def _line(spans: Column) -> Column:

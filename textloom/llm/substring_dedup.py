@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, lists, slices, small, table, texts
+from .common import ddl, keep, lists, slices, small, table, texts
 from .words import Words
 
 WINDOW, GRAM, PHRASE = 50, 8, 25
@@ -191,14 +191,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return keep(spans.groupBy("doc_id").agg(F.collect_set(F.struct("ca", "start", "end")).alias("found")), "spans")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``spans`` (word spans removed), ``n_words`` and ``kept`` (text of the words that stay, joined by one space).
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of ``docs``, by its columns to ``carry``, with doc_id, ``spans`` (word spans removed), ``n_words`` and ``kept`` (text of the words that stay, joined by one space).
 
     A word goes if a 50-word window over it also starts in a document with a smaller doc_id. Null texts have no
     words; null ids lose nothing; texts of fewer than 50 words lose nothing; repeated rows are treated alike.
     """
     spans = repeated_spans(docs, id_col, text_col)
-    rows = texts(docs, id_col, text_col).join(small(spans, spans.count()), "doc_id", "left")
+    rows = texts(docs, id_col, text_col, tuple(c for c in carry if c != "text")).join(small(spans, spans.count()), "doc_id", "left")
 
     def cut(batches):
         for batch in slices(batches, "text"):
@@ -215,9 +215,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept.append(b" ".join([data[s:e] for s, e in zip(words.start[at].tolist(), words.end[at].tolist())]).decode())
                 spans.append([{"start": a, "end": b} for a, b in own])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.count), pa.array(spans, kind), pa.array(kept, pa.string())], ["doc_id", "n_words", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], batch.column("doc_id"), pa.array(words.count), pa.array(spans, kind), pa.array(kept, pa.string())], [*carry, "doc_id", "n_words", "spans", "kept"])
 
-    return rows.mapInArrow(cut, "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept string")
+    return rows.mapInArrow(cut, ddl(rows, carry) + "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept string")
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

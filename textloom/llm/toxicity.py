@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts
+from .common import ddl, slices, table, texts
 from .lexicon import Lexicon
 from .words import Words
 
@@ -163,16 +163,17 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> li
     return sorted((r["text"], r["toxic"]) for r in found.collect())
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted, windows, gain) of every row; null and blank texts get the score of a text without windows."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Columns to carry and (doc_id, score, predicted, windows, gain) of every row; null and blank texts get the score of a text without windows."""
 
     def scan(batches):
         for batch in slices(batches, "text"):
             gains = _document_gains((model.toxic, model.ordinary), batch.column("text"))
             p = 1 / (1 + np.exp(-np.clip(_features(gains, model.threshold) @ np.array(model.weights), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([len(g) for g in gains], pa.int64()), pa.array([int(g.max()) if len(g) else None for g in gains], pa.int64())], ["doc_id", "score", "predicted", "windows", "gain"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([len(g) for g in gains], pa.int64()), pa.array([int(g.max()) if len(g) else None for g in gains], pa.int64())], [*carry, "doc_id", "score", "predicted", "windows", "gain"])
 
-    return texts(docs, id_col, text_col).mapInArrow(scan, "doc_id long, score double, predicted int, windows long, gain long")
+    rows = texts(docs, id_col, text_col, tuple(c for c in carry if c != "text"))
+    return rows.mapInArrow(scan, ddl(rows, carry) + "doc_id long, score double, predicted int, windows long, gain long")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
