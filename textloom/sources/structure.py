@@ -19,6 +19,8 @@ def _pattern(text: str) -> re.Pattern:
 CHAPTER, TOC, INDEX = (_pattern(x) for x in (C.CHAPTER + r"\b", C.TOC_TITLE, C.INDEX_TITLE))
 MARKS = [_pattern(x) for x in C.COPYRIGHT_MARKS]
 _STRONG = _pattern("©|copyright|all rights reserved")
+#: Every mark holds one of these, so most blocks need a single search.
+_HINT = re.compile(r"©|\(c\)|copyright|reserv|isbn|publish|first|printed|library|catalog|no part|cover|typeset|imprint|edition|permission|fictitious|coincidental|resemblance|dep", re.I)
 
 
 def run_count(text: str) -> int:
@@ -26,16 +28,16 @@ def run_count(text: str) -> int:
 
 
 def utf16(text: str) -> int:
-    return len(text) + sum(c > "\uffff" for c in text)
+    return len(text) if text.isascii() else len(text) + sum(c > "\uffff" for c in text)
 
 
 def marker_count(text: str) -> int:
-    return sum(1 for mark in MARKS if mark.search(text))
+    return sum(1 for mark in MARKS if mark.search(text)) if _HINT.search(text) else 0
 
 
 def looks_like_heading(text: str) -> bool:
-    runs = run_count(text)
-    if utf16(text) > 80 or not 0 < runs <= 12:
+    runs = run_count(text[:200])
+    if len(text) > 80 or not 0 < runs <= 12 or utf16(text) > 80:
         return False
     if CHAPTER.search(text):
         return text[-1] not in ",;"
