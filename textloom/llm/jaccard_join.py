@@ -13,9 +13,9 @@ The metric is the Jaccard distance of shingle sets; two documents link within ``
 * *Recursion.* In each region the documents still open choose a few of their own as pivots; all others
   are measured against these alone. Linked ones join the pivot's component; a region that has become one
   component closes; elsewhere the pivots, now compared with everyone, leave, and the region recurses with
-  four times as many pivots. Bounds from distances already known (to pivots measured before, and to fixed
+  more pivots. Bounds from distances already known (to the region's last pivot, and to fixed
   pivots that each hold a range of hashes) rule out most pairs before any set is read.
-  Pairs within one component are never made, nor any pair twice.
+  Pairs within one component are never made.
 
 The order of pivots only affects speed. It comes from a table of counts of fixed size over all documents.
 """
@@ -38,6 +38,8 @@ SKETCH_BITS = 21
 _PIECES = 64
 #: Pivots that a region chooses in its first round: one, so that a group of near copies makes one star.
 PIVOTS = 1
+#: Times as many in each further round.
+GROWTH = 16
 
 
 def _sets(array: pa.Array, size: int):
@@ -205,49 +207,53 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     whole = classes(docs, size, percent, levels)
     members = keep(whole.select("doc_id", "ka", "kb", "n"), "members")
     reps = keep(whole.where("n > 0 and doc_id is not null").groupBy("ka", "kb").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("window").alias("window"), F.first("bins").alias("bins")), "classes")
-    region = reps.select(F.explode("window").alias("pivot"), "ka", "n")
+    region = reps.select(F.posexplode("window").alias("i", "pivot"), "ka", "n")
     met = region.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("pivot"))).where("met > 1").drop("met")
-    cells = keep(met, "regions")
+    cells = keep(met.withColumn("d", F.lit(None).cast("double")), "regions")
+    limit = (100 - percent) / 100 + 1e-9
     reps_small = reps.select("ka", "rep", "n")
     comp = None
     take = PIVOTS
-    measured = None
-    while True:
-        state = cells if comp is None else cells.join(comp, cells["ka"] == comp["node"], "left").select("pivot", "ka", "n", F.coalesce("root", "ka").alias("root"))
-        state = state if comp is not None else state.withColumn("root", F.col("ka"))
-        if comp is not None:  # regions of one component close
-            open_ = state.groupBy("pivot").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("pivot")
-            state = state.join(open_, "pivot")
-        state = keep(state, "state")
-        if state.isEmpty():
-            break
+    while not cells.isEmpty():
+        if comp is None:
+            state = cells.withColumn("root", F.col("ka"))
+        else:  # regions of one component close
+            named = cells.join(comp.select(F.col("node").alias("ka"), "root"), "ka", "left").withColumn("root", F.coalesce("root", "ka"))
+            open_ = named.groupBy("pivot").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("pivot")
+            state = keep(named.join(open_, "pivot"), "state")
         order = Window.partitionBy("pivot").orderBy("ka")
-        heads = state.withColumn("at", F.row_number().over(order)).where(F.col("at") <= take).select("pivot", F.col("ka").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+        first = state.withColumn("at", F.row_number().over(order)).where(F.col("at") <= take)
+        heads = keep(first.select("pivot", F.col("ka").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("d").alias("da"), F.col("i").alias("ia"), "at"), "heads")
         near = (F.col("n") * 100 >= F.col("na") * percent) & (F.col("na") * 100 >= F.col("n") * percent)
-        pairs = state.join(heads, "pivot").where((F.col("ka") > F.col("a")) & (F.col("root") != F.col("ra")) & near)
-        pairs = pairs.select("a", F.col("ka").alias("b")).distinct()
-        if measured is not None:
-            pairs = pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti")
-            # Triangle inequality over pivots p measured before: d(a, b) >= |d(a, p) - d(b, p)|.
-            dist = (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d")
-            flat = measured.select(F.col("a").alias("p"), F.col("b").alias("x"), dist)
-            flat = flat.unionByName(measured.select(F.col("a").alias("p"), F.col("a").alias("x"), F.lit(0.0).alias("d")).distinct())
-            far = pairs.join(flat.select("p", F.col("x").alias("a"), F.col("d").alias("da")), "a").join(flat.select("p", F.col("x").alias("b"), F.col("d").alias("db")), ["p", "b"])
-            far = far.where(F.abs(F.col("da") - F.col("db")) > (100 - percent) / 100 + 1e-9).select("a", "b").distinct()
-            pairs = pairs.join(far, ["a", "b"], "left_anti")
-        pairs = keep(_possible(pairs, reps, percent), "pairs")
+        # The triangle inequality over the region's last pivot: d(x, a) >= |d(x, p) - d(a, p)|.
+        window = F.coalesce(F.abs(F.col("d") - F.col("da")) <= limit, F.lit(True))
+        # Where a pair first meets, neither holds the pivots before: so many elements set them apart at least. A pair
+        # for which these are too many has met before, or lies too far apart.
+        apart = (F.col("i") + F.col("ia")) * (100 + percent) <= (F.col("n") + F.col("na")) * (100 - percent)
+        pairs = state.join(heads, "pivot").where((F.col("ka") > F.col("a")) & (F.col("root") != F.col("ra")) & near & apart & window)
+        pairs = keep(_possible(pairs.select("a", F.col("ka").alias("b")).distinct(), reps, percent), "pairs")
+        # The pivots have met everyone: they leave, and the rest of the region recurses.
+        rest = state.select("pivot", "ka", "n", "i").join(heads.select("pivot", F.col("a").alias("ka")), ["pivot", "ka"], "left_anti")
+        far = None
         if not pairs.isEmpty():
             more = keep(_measure(pairs, docs, reps_small, size), "measured")
-            measured = more if measured is None else measured.unionByName(more)
-            fresh = more.where(F.col("inter") * 100 >= (F.col("na") + F.col("nb") - F.col("inter")) * percent).select("a", "b")
-            links = fresh if comp is None else fresh.unionByName(comp.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            comp = keep(connected(links), "components")
-        # The pivots have met everyone: they leave, and the rest of the region recurses.
-        cells = state.withColumn("at", F.row_number().over(order)).where(F.col("at") > take).select("pivot", "ka", "n")
-        cells = keep(cells, "regions")
-        take *= 4
-        if comp is None and cells.isEmpty():
-            break
+            links = more.where(F.col("inter") * 100 >= (F.col("na") + F.col("nb") - F.col("inter")) * percent).select("a", "b")
+            if comp is None:
+                comp = keep(connected(links), "components")
+            else:  # only what joins components is new; the others take over the new names
+                root = lambda c: comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+                both = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+                joined = connected(both).select(F.col("node").alias("old"), F.col("root").alias("new"))
+                moved = comp.join(joined, comp["root"] == joined["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+                added = joined.join(comp, joined["old"] == comp["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+                comp = keep(moved.unionByName(added), "components")
+            far = more.select("a", F.col("b").alias("ka"), (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
+        if far is None:
+            rest = rest.withColumn("d", F.lit(None).cast("double"))
+        else:
+            rest = rest.join(heads.where("at = 1").select("pivot", "a"), "pivot").join(far, ["a", "ka"], "left").select("pivot", "ka", "n", "i", "d")
+        cells = keep(rest, "regions")
+        take *= GROWTH
     if comp is None:
         spark = docs.sparkSession
         return members, spark.createDataFrame([], "ka long, component long")
