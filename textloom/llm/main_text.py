@@ -33,7 +33,7 @@ _MAIN_WORDS = frozenset("article articlebody content entry main maincontent post
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/<>]*)([^<>]*)>", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
-_SPACE = re.compile(r"[ \t-\r\x1c-\x1f\x85\xa0  -     　]+")
+_SPACE = re.compile(r"[\t-\r\x1c-\x20\x85\xa0  -     　]+")
 
 FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "framed", "article", "heading", "listed")
 # The labelled table. Shapes of blocks (words, link density, framed, in an article, heading, list item) ...
