@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from textloom.llm import substring_dedup as S
 from textloom.llm.common import table
 
@@ -44,6 +46,25 @@ def test_against_brute_force(spark):
     assert Counter(got) == Counter(brute(rows))
 
 
+def test_texts_of_one_id_keep_their_own_spans(spark):
+    fill = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    j = " ".join
+    rows = [(1, j(fill("p", 80))), (9, j(fill("a", 10) + fill("p", 80) + fill("b", 5))), (9, j(fill("z", 120))), (9, j(fill("y", 30) + fill("p", 60)))]
+    rows += [(2, j(fill("c", 60) + fill("q", 70))), (2, j(fill("d", 55))), (20, j(fill("q", 70) + fill("e", 5))), (21, j(fill("f", 100) + fill("z", 60)))]
+    rows += [(9, rows[0][1]), (30, j(fill("g", 60))), (30, rows[2][1])]  # a copy of another's text beside texts of its own
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["kept"]) for r in S.without_repeats(frame).collect()]
+    assert Counter(got) == Counter(brute(rows))
+
+
+def test_passages_end_with_their_text():
+    texts = [" ".join(f"{tag}{i}" for i in range(n)) for tag, n in (("a", 60), ("b", 90))]
+    batch = pa.RecordBatch.from_arrays([pa.array([2, 3]), pa.array(texts), pa.array([[0, 1, 11, 40], [40]], pa.list_(pa.int32()))], ["doc_id", "text", "ats"])
+    got = [r for b in S._passages([batch]) for r in b.to_pylist()]
+    a, b = (t.split() for t in texts)
+    assert [(r["owner"], r["passage"].split()) for r in got] == [(2, a[:51]), (3, b[40:])]
+
+
 def test_empty_table(spark):
     assert S.without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

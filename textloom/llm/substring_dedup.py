@@ -73,7 +73,11 @@ def _windows(batches):
 
 
 def _passages(batches):
-    """(owner, passage) for each run of owned windows; a passage is its words joined by one space."""
+    """(owner, passage) for each run of owned windows; a passage is its words joined by one space.
+
+    Where rows repeat a doc_id with other texts, each text meets the windows of all; those past its end are left out,
+    and what the others hold there is the owner's as well.
+    """
     for batch in slices(batches, "text"):
         words = Words(batch.column("text"), hashes=False)
         data = words.data.tobytes()
@@ -81,8 +85,9 @@ def _passages(batches):
         ids = batch.column("doc_id").to_pylist()
         for r, lo in enumerate(words.lo.tolist()):
             at = np.sort(batch.column("ats")[r].values.to_numpy())
+            at = at[at + WINDOW <= words.count[r]]
             cuts = np.flatnonzero(np.diff(at) > 1) + 1
-            for run in np.split(at, cuts):
+            for run in np.split(at, cuts) if len(at) else ():
                 a, b = lo + int(run[0]), lo + int(run[-1]) + WINDOW
                 out.append(b" ".join(data[s:e] for s, e in zip(words.start[a:b].tolist(), words.end[a:b].tolist())).decode())
                 owners.append(ids[r])
@@ -144,17 +149,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _locate(key, passages: pa.Table, docs: pa.Table) -> pa.Table:
-    ids, starts, ends = [], [], []
+    ids, cas, starts, ends = [], [], [], []
     if passages.num_rows and docs.num_rows:
         automaton = Automaton(passages.column("owner").to_pylist(), passages.column("passage").combine_chunks())
         for batch in slices(docs.to_batches(), "text"):
             words = Words(batch.column("text"))
-            for doc_id, lo, hi in zip(batch.column("doc_id").to_pylist(), words.lo.tolist(), words.hi.tolist()):
+            own = words.sequences()[0].view(np.int64).tolist()
+            for doc_id, ca, lo, hi in zip(batch.column("doc_id").to_pylist(), own, words.lo.tolist(), words.hi.tolist()):
                 for a, b in automaton.repeated(doc_id, words.hash[lo:hi]):
                     ids.append(doc_id)
+                    cas.append(ca)
                     starts.append(a)
                     ends.append(b)
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32())})
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "ca": pa.array(cas, pa.int64()), "start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32())})
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,11 +190,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     passages = involved.select("doc_id", "text").join(by_owner, "doc_id").mapInArrow(_passages, "owner long, passage string")
     passages = passages.select("owner", "passage", shard).join(chunks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "owner", "passage")
     streamed = visits.join(involved.select("doc_id", "text"), "doc_id")
-    found = passages.groupBy("shard", "chunk").cogroup(streamed.groupBy("shard", "chunk")).applyInArrow(_locate, "doc_id long, start int, end int")
+    found = passages.groupBy("shard", "chunk").cogroup(streamed.groupBy("shard", "chunk")).applyInArrow(_locate, "doc_id long, ca long, start int, end int")
     same = members.where(F.col("n") >= WINDOW)
     copies = same.join(reps.select("ca", "cb", F.col("doc_id").alias("rep")), ["ca", "cb"]).where("doc_id > rep")
-    spans = found.join(reps.select("doc_id", "ca"), "doc_id").select("doc_id", "ca", "start", "end")
-    spans = spans.unionByName(copies.select("doc_id", "ca", F.lit(0).alias("start"), F.col("n").cast("int").alias("end")))
+    spans = found.unionByName(copies.select("doc_id", "ca", F.lit(0).alias("start"), F.col("n").cast("int").alias("end")))
     return keep(spans.groupBy("doc_id").agg(F.collect_set(F.struct("ca", "start", "end")).alias("found")), "spans")
 
 
