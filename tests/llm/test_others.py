@@ -51,6 +51,14 @@ def test_toxicity_without_labels(spark):
     assert toxicity.sample(spark.createDataFrame([(1, "a")], "doc_id long, text string"), labels) == []
 
 
+def test_toxicity_is_fitted_on_whole_texts(spark):
+    long = [(i, f"grobbix {'plain words ' * 3000}snarfol", i % 2) for i in range(1, 9)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in long], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in long], "doc_id long, quality int, toxic int")
+    got = toxicity.sample(docs, labels)
+    assert got == sorted((t, y) for i, t, y in long if zlib.crc32(str(i).encode()) % 5) and got
+
+
 def test_toxicity_held_out(spark):
     out = toxicity.op1_toxicity(spark, "/root/testdata/sf0.01").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)

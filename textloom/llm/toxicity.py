@@ -5,7 +5,7 @@ A window's *gain* is its compressed length under the ordinary dictionary less th
 scored by how its windows' gains pass a threshold; threshold and weights are calibrated on labelled rows that
 neither dictionary was trained on. Only texts enter a score.
 
-Fitting reads a bounded sample of labelled rows: at most ``per_class`` of each label, those of least text hash.
+Fitting reads a bounded sample of labelled rows, each whole: at most ``per_class`` of each label, those of least hash.
 Scoring covers every window of every text; a distinct word is compressed once per worker.
 """
 
@@ -27,8 +27,8 @@ from .common import ddl, slices, table, texts
 from .lexicon import Lexicon
 from .words import Words
 
-#: Labelled rows of each class that fitting may read, and characters of each of them (a random stretch of longer ones).
-PER_CLASS, SAMPLE_CHARS = 3_000, 8_000
+#: Labelled rows of each class that fitting may read.
+PER_CLASS = 3_000
 TOXIC_BYTES, ORDINARY_BYTES = 16_000, 100_000
 #: A word belongs to toxic wording if its documents are so many times likelier toxic (log), by so much evidence (G test).
 LOG_ODDS, EVIDENCE = 3.0, 10.0
@@ -151,15 +151,14 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[str, int]]:
-    """The bounded sample that fitting reads: per label the rows of least hash, outside the held-out fifth."""
+    """The bounded sample that fitting reads: per label the rows of least hash, outside the held-out fifth, with whole texts."""
     spark = docs.sparkSession
     known = labels.where("toxic in (0, 1) and doc_id is not null").where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").select("doc_id", "toxic")
     chosen = None
     for label in (0, 1):
         ids = known.where(F.col("toxic") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = ids if chosen is None else chosen.unionByName(ids)
-    start = F.lit(1) + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int")
-    found = texts(docs).join(F.broadcast(chosen), "doc_id").select(F.expr("text").substr(start, F.lit(SAMPLE_CHARS)).alias("text"), "toxic")
+    found = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     return sorted((r["text"], r["toxic"]) for r in found.collect())
 
 
