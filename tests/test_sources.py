@@ -261,6 +261,22 @@ def test_scan_reports_errors_as_rows(spark, tmp_path):
     assert {os.path.basename(r["path"]): r["kind"] for r in kinds.collect()} == {"a.docx": "zip", "b.txt": "txt", "c.epub": "notZip", "d.mobi": "mobi"}
 
 
+def test_kinds_of_binary_files_as_a_column(spark):
+    cases = [b"", b"x" * 5000 + b"\0" + b"x" * 5000, b"x" * 7999 + b"\0", b"x" * 8000 + b"\0", b"\1" + b"x" * 19, b"\1" + b"x" * 18, b"\x1f" * 500 + b"x" * 7500, b"x" * 8000 + b"\1" * 9000]
+    cases += [b"\x1b\t\r\n" * 50, bytes(range(1, 256)), b"\xe9\x0e" * 40, b"\xff\xfe" + b"a\0" * 50, b"\xfe\xff" + b"\0a" * 50, b"\n\x80\x90\x9f" * 30]
+
+    def kind(data):
+        try:
+            return sniff(data)
+        except ReadError as error:
+            return error.code
+
+    rows = spark.createDataFrame([(i, bytearray(data)) for i, data in enumerate(cases)], "i int, content binary")
+    got = dict(map(tuple, rows.select("i", files.sniff_column(F.col("content"), F.lit("a"))).collect()))
+    assert [got[i] for i in range(len(cases))] == [kind(data) for data in cases]
+    assert {"txt", "unsupported"} == set(got.values())
+
+
 def test_stream(spark, tmp_path):
     from textloom.streaming import ingest
 

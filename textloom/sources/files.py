@@ -111,6 +111,9 @@ def read_bytes(data: bytes, name: str = "") -> Document:
 def sniff_column(content: Column, name: Column) -> Column:
     """:func:`sniff` as a column, for counting kinds without reading texts; an error code where a file breaks its promise."""
     head = F.hex(F.substring(content, 1, 1024))
+    text = F.decode(F.substring(content, 1, 8000), "ISO-8859-1")  # a character for each byte
+    control = F.length(text) - F.length(F.regexp_replace(text, r"[\x00-\x08\x0E-\x1A\x1C-\x1F]", ""))
+    binary = text.contains("\0") | (control * 20 > F.length(text))
     starts = lambda *marks: F.greatest(*[head.startswith(m.hex().upper()) for m in marks], F.lit(False))
     ext = F.lower(F.regexp_extract(name, r"\.([^./\\]+)\z", 1))
     magic = F.substring(head, 121, 16)
@@ -127,7 +130,7 @@ def sniff_column(content: Column, name: Column) -> Column:
         .when(ext == "pdf", "badPdf")
         .when(ext == "doc", "docNot97")
         .when(ext.isin("csv", "tsv"), "csv")
-        .when(~starts(b"\xff\xfe", b"\xfe\xff") & head.rlike("^(?:..)*00"), "unsupported")
+        .when(~starts(b"\xff\xfe", b"\xfe\xff") & binary, "unsupported")
         .otherwise("txt")
     )
 
