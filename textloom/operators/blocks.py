@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom import constants as C
 from textloom.functions import text as T
 
+_BLANK = f"[{C.SPACE}&&[^\\n]]*+"
+_PARTED = rf"[\r\f]|\A{_BLANK}(?:\n|\z)|\n{_BLANK}(?:\n|\z)"
 BLOCK = "struct<t:string,k:string,r:string,s:int>"
 
 
@@ -27,7 +30,15 @@ def _blank_separated(lines: Column) -> Column:
 
 
 def text_blocks(text: Column) -> Column:
-    """Blocks of a plain text, as an array: pages at form feeds, each a section of its own if it holds anything."""
+    """Blocks of a plain text, as an array: pages at form feeds, each a section of its own if it holds anything.
+
+    A text without blank lines, CR and form feeds is one page of lines, found without trimming each.
+    """
+    plain = F.transform(F.filter(F.transform(F.split(text, "\n", -1), T.normalized), lambda t: t != ""), lambda t: F.struct(t.alias("t"), F.lit("p").alias("k"), F.lit(None).cast("string").alias("r"), F.lit(0).alias("s")))
+    return F.when(text.rlike(_PARTED), _paged_blocks(text)).otherwise(plain)
+
+
+def _paged_blocks(text: Column) -> Column:
     pages = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\f", -1)
     raw = F.flatten(F.transform(pages, lambda page, i: F.transform(page_paragraphs(page), lambda t: F.struct(T.normalized(t).alias("t"), i.alias("page")))))
     kept = F.filter(raw, lambda b: b["t"] != "")

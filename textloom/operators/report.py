@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom import constants as C
 from textloom.functions import text as T
+from textloom.operators.blocks import text_blocks
 
 ENGLISH_HINTS = "the and of to a in is that it was he for with as his on be at by i you she they not but had have this".split()  # fixed values
 SPANISH_HINTS = "de la que el en y los del se las por un para con no una su al es lo como más pero sus le ya o fue este ha muy".split()  # fixed values
@@ -63,9 +64,10 @@ def stats(blocks: DataFrame, *keys: str) -> DataFrame:
 
 
 def doc_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """:func:`stats` of texts whose lines are their blocks, row by row: no shuffle at all. Texts without a block have no row."""
-    lines = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), T.normalized), lambda t: t != "")
-    whole = docs.select(id_col, lines.alias("lines")).select(id_col, F.size("lines").alias("n"), F.array_join("lines", "\n").alias("t"))
+    """:func:`stats` of texts, row by row: no shuffle at all. Texts without a block have no row."""
+    lines = F.transform(text_blocks(F.col(text_col)), lambda b: b["t"])
+    once = docs.select(id_col, F.explode(F.array(lines)).alias("lines"))  # else the filter below forms all blocks again
+    whole = once.select(id_col, F.size("lines").alias("n"), F.array_join("lines", "\n").alias("t"))
     breaks = F.greatest(F.col("n") - 1, F.lit(0))
     return whole.where("n > 0").select(id_col, F.col("n").cast("long").alias("blocks"), T.count_words(F.col("t")).alias("words"), (T.chars_with_spaces(F.col("t")) - breaks).alias("chars_with_spaces"), T.chars_no_spaces(F.col("t")).alias("chars_no_spaces"))
 

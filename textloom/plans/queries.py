@@ -32,8 +32,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.line_blocks(_table(spark, sf_dir))
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of ``documents``, by the whole rule for texts. The SQL splits lines: the same where no blank lines, CR or form feeds part them."""
+    return B.exploded(B.with_blocks(_table(spark, sf_dir).select("doc_id", "text")))
 
 
 @query(f"{O.B} {O.STATS}")
@@ -43,8 +44,7 @@ def doc_stats(spark, sf_dir):
 
 @query(f"{O.B} {O.STATS}")
 def doc_stats_from_blocks(spark, sf_dir):
-    whole = B.exploded(B.with_blocks(_table(spark, sf_dir).select("doc_id", "text")))
-    return report.stats(whole, "doc_id")
+    return report.stats(_blocks(spark, sf_dir), "doc_id")
 
 
 @query(f"{O.B}, s AS ({O.STATS}) SELECT doc_id, words, {O.reading('words', 238)} AS at_238, {O.reading('words', 300)} AS at_300 FROM s")
@@ -55,17 +55,17 @@ def reading_time(spark, sf_dir):
 
 @query(f"{O.freq()} SELECT * FROM f")
 def corpus_word_freq(spark, sf_dir):
-    return report.frequency(report.words(_lines(spark, sf_dir)))
+    return report.frequency(report.words(_blocks(spark, sf_dir)))
 
 
 @query(f"{O.B}, w AS ({O.words()}), c AS (SELECT doc_id, word, count(*)::BIGINT AS count FROM w GROUP BY doc_id, word) SELECT doc_id, word, count, count / (sum(count) OVER (PARTITION BY doc_id))::DOUBLE * 100 AS pct FROM c")
 def doc_word_freq(spark, sf_dir):
-    return report.frequency(report.words(_lines(spark, sf_dir), ("doc_id",)), ("doc_id",))
+    return report.frequency(report.words(_blocks(spark, sf_dir), ("doc_id",)), ("doc_id",))
 
 
 @query(f"{O.freq(possessive=True)} SELECT * FROM f")
 def word_freq_possessive(spark, sf_dir):
-    return report.frequency(report.words(_lines(spark, sf_dir), merge_possessive=True))
+    return report.frequency(report.words(_blocks(spark, sf_dir), merge_possessive=True))
 
 
 @query(f"WITH b AS (SELECT text AS t FROM conversations), w AS ({O.words('', True)}), c AS ({O.COUNTED}) SELECT word, count, count / (sum(count) OVER ())::DOUBLE * 100 AS pct FROM c")
@@ -75,18 +75,18 @@ def conversation_word_freq(spark, sf_dir):
 
 @query(f"{O.B}, w AS ({O.words()}) SELECT doc_id, count(DISTINCT word)::BIGINT AS unique_words FROM w GROUP BY doc_id")
 def unique_words(spark, sf_dir):
-    return report.words(_lines(spark, sf_dir), ("doc_id",)).groupBy("doc_id").agg(F.countDistinct("word").alias("unique_words"))
+    return report.words(_blocks(spark, sf_dir), ("doc_id",)).groupBy("doc_id").agg(F.countDistinct("word").alias("unique_words"))
 
 
 @query(f"{O.B}, w AS ({O.words('')}), c AS ({O.COUNTED}) SELECT word, count, row_number() OVER (ORDER BY count DESC, word COLLATE en_US, word) AS rank FROM c ORDER BY rank LIMIT 100")
 def top_words(spark, sf_dir):
-    top = report.top_words(report.words(_lines(spark, sf_dir)).groupBy("word").agg(F.count(F.lit(1)).alias("count")), 100)
+    top = report.top_words(report.words(_blocks(spark, sf_dir)).groupBy("word").agg(F.count(F.lit(1)).alias("count")), 100)
     return report.ranked(top, ()).select("word", "count", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"{O.B}, w AS ({O.words()}), c AS (SELECT doc_id, word, count(*)::BIGINT AS count FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, word COLLATE en_US, word) AS rank FROM c) SELECT doc_id, word, count, rank FROM r WHERE rank <= 10")
 def doc_top_words(spark, sf_dir):
-    counted = report.words(_lines(spark, sf_dir), ("doc_id",)).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("count"))
+    counted = report.words(_blocks(spark, sf_dir), ("doc_id",)).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("count"))
     return report.ranked(counted, ("doc_id",)).where("rank <= 10").select("doc_id", "word", "count", F.col("rank").cast("long").alias("rank"))
 
 
@@ -103,12 +103,12 @@ def detect_language_conversations(spark, sf_dir):
 
 @query(f"{O.B} SELECT doc_id, pos, {O.heading()} AS heading FROM b")
 def looks_like_heading(spark, sf_dir):
-    return _lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), T.looks_like_heading(F.col("t")).alias("heading"))
+    return _blocks(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), T.looks_like_heading(F.col("t")).alias("heading"))
 
 
 @query(f"{O.B}, m AS (SELECT doc_id, {O.heading()} AS h, {O.marks('t')} AS c FROM b) SELECT doc_id, bool_or(h) AS headings, bool_or(c >= 2) AS marked FROM m GROUP BY doc_id")
 def caps(spark, sf_dir):
-    m = _lines(spark, sf_dir).select("doc_id", T.looks_like_heading(F.col("t")).alias("h"), T.marker_count(F.col("t")).alias("c"))
+    m = _blocks(spark, sf_dir).select("doc_id", T.looks_like_heading(F.col("t")).alias("h"), T.marker_count(F.col("t")).alias("c"))
     return m.groupBy("doc_id").agg(F.bool_or("h").alias("headings"), F.bool_or(F.col("c") >= 2).alias("marked"))
 
 
@@ -125,17 +125,17 @@ def marker_counts_pages(spark, sf_dir):
 @query(f"""{O.B}, h AS (SELECT doc_id, pos, {O.heading()} AS h FROM b), n AS (SELECT doc_id, pos, sum(CASE WHEN pos = 0 OR h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS segment FROM h)
 SELECT doc_id, segment::BIGINT AS segment, min(pos)::BIGINT AS first_pos, max(pos)::BIGINT AS last_pos FROM n GROUP BY doc_id, segment""")
 def segments(spark, sf_dir):
-    marked = _lines(spark, sf_dir).withColumns({"k": F.when(T.looks_like_heading(F.col("t")), "h").otherwise("p"), "s": F.lit(0)})
+    marked = _blocks(spark, sf_dir).withColumn("k", F.when(T.looks_like_heading(F.col("t")), "h").otherwise("p"))
     return B.segments(marked).groupBy("doc_id", "segment").agg(F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"))
 
 
 @query(f"{O.B} SELECT doc_id, pos, (sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(t) - 1)::BIGINT AS \"offset\" FROM b")
 def block_offsets(spark, sf_dir):
-    return B.offsets(_lines(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("offset").cast("long").alias("offset"))
+    return B.offsets(_blocks(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("offset").cast("long").alias("offset"))
 
 
 def _classified(spark, sf_dir, language):
-    distinct = report.words(_lines(spark, sf_dir)).distinct()
+    distinct = report.words(_blocks(spark, sf_dir)).distinct()
     return K.with_classes(distinct, None, language)
 
 
@@ -151,20 +151,20 @@ def function_word_classes_es(spark, sf_dir):
 
 @query(f"{O.B}, w AS (SELECT DISTINCT * FROM ({O.words()})), k AS (SELECT doc_id, coalesce({O.function_class('word')}, 'other') AS cls FROM w) SELECT doc_id, cls, count(*)::BIGINT AS words FROM k GROUP BY doc_id, cls")
 def class_counts(spark, sf_dir):
-    distinct = report.words(_lines(spark, sf_dir), ("doc_id",)).distinct()
+    distinct = report.words(_blocks(spark, sf_dir), ("doc_id",)).distinct()
     return report.class_counts(K.with_classes(distinct, None), "doc_id")
 
 
 @query(f"{O.B}, w AS ({O.words('')}), c AS ({O.COUNTED}) SELECT word, count FROM c WHERE contains(word, 'the') AND coalesce({O.function_class('word')}, 'other') NOT IN ('articles', 'pronouns') ORDER BY word <> 'the', count DESC, word COLLATE en_US, word LIMIT 200")
 def word_filter_view(spark, sf_dir):
-    counted = report.words(_lines(spark, sf_dir)).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    counted = report.words(_blocks(spark, sf_dir)).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
     return report.view(K.with_classes(counted, None), ("articles", "pronouns"), " The ", limit=200).select("word", "count")
 
 
 @query(f"""{O.B}, k AS (SELECT doc_id, pos, t, {O.heading()} AS h FROM b WHERE pos BETWEEN 1 AND 3)
 SELECT doc_id, pos, u AS t FROM (SELECT doc_id, pos, CASE WHEN pos = 1 THEN trim(substr(t, 11)) WHEN pos = 3 AND length(t) > 80 THEN trim(substr(t, 1, 80)) ELSE t END AS u FROM k WHERE NOT h) WHERE u <> ''""")
 def select_range(spark, sf_dir):
-    b = _lines(spark, sf_dir).withColumns({"k": F.when(T.looks_like_heading(F.col("t")), "h").otherwise("p"), "r": F.lit(None).cast("string")})
+    b = _blocks(spark, sf_dir).withColumns({"k": F.when(T.looks_like_heading(F.col("t")), "h").otherwise("p"), "r": F.lit(None).cast("string")})
     config = report.ReportConfig(start=report.Point(1, 10), end=report.Point(3, 80))
     return report.select_blocks(b, config).select("doc_id", F.col("pos").cast("long").alias("pos"), "t")
 
@@ -174,7 +174,7 @@ s AS (SELECT doc_id, pos, (sum(length(piece) + 3) OVER (PARTITION BY doc_id, pos
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, start) AS i FROM s)
 SELECT doc_id, pos, start, start + 3 AS "end" FROM n WHERE i <= 5000""")
 def find_in_text(spark, sf_dir):
-    return report.find_in_text(_lines(spark, sf_dir), "THE").select("doc_id", F.col("pos").cast("long").alias("pos"), "start", "end")
+    return report.find_in_text(_blocks(spark, sf_dir), "THE").select("doc_id", F.col("pos").cast("long").alias("pos"), "start", "end")
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10))[1:20] AS ls FROM documents),
@@ -193,8 +193,8 @@ head AS (SELECT doc_id, unnest([0,1,2,3,4,5,6,7,8,9,10]) AS line_no, unnest(['Fi
   'Word count,' || words, 'Character count (no spaces),' || chars_no_spaces, 'Character count (with spaces),' || chars_with_spaces, 'Unique words,' || unique_words, '', 'Word,Times used,% of total words']) AS line FROM s JOIN u USING (doc_id))
 SELECT doc_id, line_no, line FROM head UNION ALL
 SELECT doc_id, (rank + 10)::INT, (CASE WHEN regexp_matches(word, '[,"]') THEN '"' || replace(word, '"', '""') || '"' ELSE word END) || ',' || count || ',' || printf('%.4f', round(count / total::DOUBLE * 100, 4)) FROM r""")
-def csv_report_lines(spark, sf_dir):
-    rows = report.ranked(report.frequency(report.words(_lines(spark, sf_dir), ("doc_id",)), ("doc_id",)), ("doc_id",))
+def csv_report_blocks(spark, sf_dir):
+    rows = report.ranked(report.frequency(report.words(_blocks(spark, sf_dir), ("doc_id",)), ("doc_id",)), ("doc_id",))
     totals = report.doc_stats(_table(spark, sf_dir)).join(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("unique_words")), "doc_id")
     return csv_report.csv_lines(totals, rows, {"range": "All", "headings": "Excluded", "copyright": "Excluded", "toc": "Excluded"})
 
@@ -223,7 +223,7 @@ m AS (SELECT word, fn, list_transform(list_filter(c, lambda x: NOT ends_with(x,
 a AS (SELECT word, list_filter(list_concat(c, CASE WHEN fn IS NULL THEN [] ELSE [fn] END), lambda x: NOT (coalesce(fn, '') = 'articles' AND x = 'determiners') AND NOT (coalesce(fn, '') = 'numbers' AND x = 'nouns')) AS c FROM m)
 SELECT word, CASE WHEN len(c) = 0 THEN 'other' ELSE array_to_string(list_filter({C.CLASSES[:-1]!r}, lambda x: list_contains(c, x)), ',') END AS classes FROM a""")
 def lexicon_classes(spark, sf_dir):
-    distinct = report.words(_lines(spark, sf_dir)).distinct()
+    distinct = report.words(_blocks(spark, sf_dir)).distinct()
     return K.with_classes(distinct, _seed_lexicon(spark)).select("word", F.array_join("classes", ",").alias("classes"))
 
 
