@@ -243,6 +243,23 @@ def test_audio_round_trip(spark):
     assert audio.features(audio.store(docs.limit(0))).collect() == []
 
 
+def test_tensors_are_stored_with_a_fixed_shape(spark):
+    texts = [None, "a", "é" * 30_000, "some text " * 500]
+    stored = audio.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    nothing = stored.limit(1).select(F.lit(9).cast("long").alias("doc_id"), "n_bytes", F.lit(None).cast("binary").alias("media"))
+    rows = {r["doc_id"]: r for r in audio.features(stored.unionByName(nothing)).collect()}
+    assert rows[9]["tensor_file"] is None and rows[9]["spans"] is None
+    for i in range(len(texts)):
+        schema = pa.ipc.open_stream(bytes(rows[i]["tensor_file"])).schema
+        assert schema.names == ["tensor", "start", "end"]
+        kind = schema.field("tensor").type
+        assert isinstance(kind, pa.FixedShapeTensorType) and kind.shape == [16, 32] and kind.dim_names == ["frame", "band"]
+        tensors, spans = audio.read_tensors(bytes(rows[i]["tensor_file"]))
+        want, want_spans, _ = audio.describe(bytes(rows[i]["media"]))
+        assert np.array_equal(tensors, want) and spans == want_spans == [tuple(s) for s in rows[i]["spans"]]
+        assert tensors.reshape(-1).tolist() == rows[i]["tensors"]
+
+
 @pytest.mark.parametrize("target", [8_000, 12_000, 16_000, 24_000])
 def test_resampling_keeps_a_tone(target):
     s = audio.Settings(target=target)

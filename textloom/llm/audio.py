@@ -158,30 +158,31 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def features(stored: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``stored`` with what its ``media`` hold: ``payload`` (the samples read back), ``tensors`` (flat values of log-mel
-    tensors of shape (frames, bands)), ``spans`` (seconds of each tensor) and ``segments`` (seconds of sound). A null
-    file gives nulls."""
+    """``stored`` with what its ``media`` hold: ``payload`` (the samples read back), ``tensor_file`` (log-mel tensors of
+    shape (frames, bands) as :func:`tensor_file` writes them), ``tensors`` (their flat values, read back from it),
+    ``spans`` (seconds of each tensor) and ``segments`` (seconds of sound). A null file gives nulls."""
     names = stored.columns
     span = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
 
     def read(batches):
         for batch in slices(batches, "media"):
-            payload, flat, sizes, spans, parts = [], [], [], [], []
+            payload, written, flat, sizes, spans, parts = [], [], [], [], [], []
             for media in batch.column("media").to_pylist():
                 if media is None:
-                    payload.append(None), spans.append(None), parts.append(None), sizes.append(0)
+                    payload.append(None), written.append(None), spans.append(None), parts.append(None), sizes.append(0)
                     continue
                 tensors, t, found = describe(media, settings)
                 payload.append(samples(media)[0])
-                flat.append(tensors.reshape(-1))
+                written.append(tensor_file(tensors, t, settings))
+                flat.append(read_tensors(written[-1])[0].reshape(-1))
                 sizes.append(tensors.size)
                 spans.append([{"start": a, "end": b} for a, b in t])
                 parts.append([{"start": a, "end": b} for a, b in found])
             values = np.concatenate(flat) if flat else np.zeros(0, np.float32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payload, pa.binary()), lists(values, np.array(sizes, np.int64), pa.float32()), pa.array(spans, span), pa.array(parts, span)], [*names, "payload", "tensors", "spans", "segments"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payload, pa.binary()), pa.array(written, pa.binary()), lists(values, np.array(sizes, np.int64), pa.float32()), pa.array(spans, span), pa.array(parts, span)], [*names, "payload", "tensor_file", "tensors", "spans", "segments"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
-    return stored.mapInArrow(read, f"{fields}, payload binary, tensors array<float>, spans {_SPANS}, segments {_SPANS}")
+    return stored.mapInArrow(read, f"{fields}, payload binary, tensor_file binary, tensors array<float>, spans {_SPANS}, segments {_SPANS}")
 
 
 def tensor_array(values: pa.ListArray, settings: Settings = Settings()) -> pa.ExtensionArray:
@@ -190,6 +191,23 @@ def tensor_array(values: pa.ListArray, settings: Settings = Settings()) -> pa.Ex
     return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), shape, dim_names=("frame", "band")), pa.FixedSizeListArray.from_arrays(values.flatten(), shape[0] * shape[1]))
 
 
+def tensor_file(tensors: np.ndarray, spans: list[tuple[float, float]], settings: Settings = Settings()) -> bytes:
+    """An Arrow stream with a row for each tensor (n, frames, bands): ``tensor``, of the fixed-shape type, ``start`` and ``end`` (seconds)."""
+    column = tensor_array(lists(tensors.reshape(-1), np.array([tensors.size]), pa.float32()), settings)
+    start, end = (pa.array([span[i] for span in spans], pa.float64()) for i in (0, 1))
+    batch = pa.RecordBatch.from_arrays([column, start, end], ["tensor", "start", "end"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(file: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """Tensors (n, frames, bands) and spans of a file by :func:`tensor_file`."""
+    batch = pa.ipc.open_stream(file).read_next_batch()
+    return batch.column("tensor").to_numpy_ndarray(), list(zip(batch.column("start").to_pylist(), batch.column("end").to_pylist()))
+
+
 def op9_audio_features(spark, sf_dir: str) -> DataFrame:
     out = features(store(table(spark, sf_dir, "documents")))
     size = F.length("payload")
