@@ -1,7 +1,11 @@
 """The pipeline against plain Python, stage by stage, over made-up documents with planted cases."""
 
 import random
+import re
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -55,3 +59,64 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == ids("personal_data")
     assert max(r["offset"] + r["length"] for r in packed) <= 2048
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def gains(model, text):
+    """The gain of each white-space separated span, by plain compression of every part."""
+    import zstandard as z
+
+    fine = z.ZstdCompressionParameters(strategy=z.STRATEGY_BTULTRA, min_match=3, window_log=17, hash_log=16, chain_log=16, search_log=6, target_length=32, write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = [z.ZstdCompressor(compression_params=fine, dict_data=z.ZstdCompressionDict(c, dict_type=z.DICT_TYPE_RAWCONTENT)).compress for c in (model.ordinary, model.toxic)]
+    parts = [[b"\1" * 4 + p.encode() + b"\2" * 4 for p in re.findall(r"\w+", span.lower())] for span in text.split()]
+    return np.array([min(31, max([-31, *(len(size[0](p)) - len(size[1](p)) for p in found)])) for found in parts], np.int64)
+
+
+def plain(rows, labels):
+    """(doc_id, piece, start, length, ids_crc32) of all stages, from the brute-force versions of the operators' tests."""
+    from test_jaccard_join import brute as components
+    from test_others import base
+    from test_substring_dedup import brute as cut
+    from tokenizers import Tokenizer
+
+    from textloom.llm import packing, toxicity
+
+    texts = {i: t or "" for i, t in rows}
+    model = toxicity.fit(sorted((texts[i], y) for i, _, y in labels if zlib.crc32(str(i).encode()) % 5))
+    score = {i: float(toxicity._features([gains(model, t)], model.threshold)[0] @ np.array(model.weights)) for i, t in texts.items()}
+    rows = [(i, t) for i, t in texts.items() if score[i] < 0]
+    stages = [len(rows)]
+    rows = [r for r, (i, _, component) in zip(rows, components(rows)) if component in (i, None)]
+    stages.append(len(rows))
+    rows = [(i, kept if gone else t) for (i, t), (_, _, gone, kept) in zip(rows, cut(rows))]
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
+    out = []
+    for i, t in rows:
+        red, at = "", 0
+        for start, _, end, kind in base(t):
+            if start >= at:
+                red, at = f"{red}{t[at:start]}<{kind.upper()}>", end
+        ids = np.array([*tokenizer.encode(red + t[at:], add_special_tokens=False).ids, 0], "<u4")
+        out += [(i, k, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for k, s in enumerate(range(0, len(ids), 2048))]
+    return out, stages
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    from test_tokens import plain_bins
+
+    rows, _ = documents()
+    many = [w for _, t in rows[131:199] for w in t.split()]
+    random.Random(3).shuffle(many)
+    rows.append((510, " ".join(many)))  # of several pieces
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 1, int(i < 120 and i % 3 == 0)) for i in range(120)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    want, stages = plain(rows, labels)
+    assert len(rows) > stages[0] > stages[1] and any(piece for _, piece, *_ in want)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == Counter(want)
+    used = defaultdict(list)
+    for r in got:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in used.values():
+        assert [o for o, _ in sorted(spans)] == [0, *np.cumsum([n for _, n in sorted(spans)])[:-1]] and sum(n for _, n in spans) <= 2048
+    assert len(used) == plain_bins([n for _, _, _, n, _ in want], 2048)
