@@ -1,6 +1,8 @@
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from textloom.llm import components, jaccard_join
@@ -51,6 +53,43 @@ def test_against_brute_force(spark):
     assert Counter(got) == Counter(brute(rows))
 
 
+def test_large_regions_split(spark, monkeypatch):
+    """Clusters that share a passage fall into Voronoi cells of their own, and the links stay the same."""
+    monkeypatch.setattr(jaccard_join, "LARGE", 8)
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(12)]
+    rows = []
+    for cluster in range(5):
+        base = [f"b{cluster}_{i}" for i in range(90)]
+        for k in range(12):
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(90)] = f"x{cluster}_{k}_{rng.randrange(9)}"
+            rows.append((100 * cluster + k, " ".join(common + own)))
+    keys = []
+    split = jaccard_join._split
+
+    def watched(cells, percent):
+        before = {r["pivot"] for r in cells.select("pivot").distinct().collect()}
+        out = split(cells, percent)
+        keys.append((before, {r["pivot"] for r in out.select("pivot").distinct().collect()}))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_split", watched)
+    got = [tuple(r) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter(got) == Counter(brute(rows))
+    assert keys[0][1] - keys[0][0]  # some regions were split
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (3, 60, 700, 5000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**64, n, dtype=np.uint64)]))
+        p, q = (np.unpackbits(jaccard_join._parity(x).view(np.uint8)) for x in (a, b))
+        assert (p != q).sum() <= len(np.setxor1d(a, b))
+
+
 def test_empty_table(spark):
     assert jaccard_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -69,8 +108,6 @@ def test_components(spark, edges):
 
 
 def test_overlap_bounds_the_truth():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     for n in (5, 60, 700, 5000):
         a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))

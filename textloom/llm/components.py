@@ -11,21 +11,23 @@ from .common import drop_kept, keep
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component.
 
-    Each round is two grouped minima with map-side partial aggregation and two equi-joins, so
-    a node with very many links meets no single task; rounds grow with the log of the longest chain.
+    Each round is two grouped minima with map-side partial aggregation and two equi-joins;
+    the minima, written first, meet the edges in a plain join, which adaptive execution splits where a node has very
+    many links; rounds grow with the log of the longest chain.
     """
     current = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = keep(large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "large")
+        low = keep(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         following = keep(small, "edges")
-        drop_kept(current)
+        for old in (current, large):
+            drop_kept(old)
         current = following
         seen, before = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), seen
         if seen == before:

@@ -10,12 +10,16 @@ The metric is the Jaccard distance of shingle sets; two documents link within ``
 * *Windows.* Taking the first r pivots away moves a document by ``r/n``; by the triangle inequality a
   partner within the threshold keeps one of the first ``n - ceil(threshold * n) + 1``. A document is
   replicated to exactly these regions, so every linked pair meets in one.
-* *Recursion.* In each region the documents still open choose a few of their own as pivots; all others
-  are measured against these alone. Linked ones join the pivot's component; a region that has become one
-  component closes; elsewhere the pivots, now compared with everyone, leave, and the region recurses with
-  more pivots. Bounds from distances already known (to the region's last pivot, and to fixed
-  pivots that each hold a range of hashes) rule out most pairs before any set is read.
-  Pairs within one component are never made.
+* *Recursion.* A large region chooses a few of its documents as pivots and falls into their Voronoi
+  cells. Distances here are Hamming distances of parity sketches, never more than the number of
+  shingles by which two sets differ, and a metric: a linked pair differs by at most ``R(x) = n (100 - p) / p``
+  shingles, so ``x`` belongs to its nearest pivot's cell and, by the triangle inequality, to each whose
+  pivot is at most ``2 R(x)`` further. A region that this would not make smaller stays as it is.
+* *Pairs.* In each region the documents still open choose heads, one at first and more in each round;
+  all others meet these alone. Linked ones join the head's component; a region that has become one
+  component closes; elsewhere the heads, now compared with everyone, leave. Sizes, places of the pivot
+  and sketch distances rule pairs out inside the join; counts in ranges of hashes rule out more
+  before any set is read. Pairs within one component are never made.
 
 The order of pivots only affects speed. It comes from a table of counts of fixed size over all documents.
 """
@@ -26,20 +30,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, lists, slices, small, table, texts
+from .common import drop_kept, keep, lists, slices, small, table, texts
 from .components import connected
 from .words import Words, mix
 
 #: Counters in the table that orders the pivots: 4 bytes each, whatever the input.
 SKETCH_BITS = 21
 _PIECES = 64
-#: Pivots that a region chooses in its first round: one, so that a group of near copies makes one star.
-PIVOTS = 1
+#: Heads that a region chooses in its first round: one, so that a group of near copies makes one star.
+HEADS = 1
 #: Times as many in each further round.
 GROWTH = 16
+#: Longs of a parity sketch, and their names.
+LONGS = 8
+_SKETCH = [f"s{k}" for k in range(LONGS)]
+#: Documents of a region that is split into Voronoi cells, and the pivots that it chooses for that.
+LARGE, PIVOTS = 128, 8
 
 
 def _sets(array: pa.Array, size: int):
@@ -108,6 +117,17 @@ def _bins(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount(own >> np.uint64(64 - bits), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
+def _parity(own: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's shingles falls in each of ``64 * LONGS`` ranges of hashes, as longs."""
+    at = own // np.uint64(2**64 // (64 * LONGS))
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=64 * LONGS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _differ(a: str, b: str) -> Column:
+    """Hamming distance of two sketches, the columns of which have these prefixes."""
+    return sum((F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in _SKETCH[1:]), F.bit_count(F.col(a + _SKETCH[0]).bitwiseXOR(F.col(b + _SKETCH[0]))))
+
+
 def _overlap(x: bytes, y: bytes, nx: int, ny: int) -> int:
     """At most so many shingles are in both sets. Each range of hashes is a pivot; their triangle inequalities add up."""
     p, q = (np.frombuffer(b, np.uint8).astype(np.int64) for b in (x, y))
@@ -136,7 +156,7 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, size: int, percent: int, levels=None) -> DataFrame:
-    """One row per document: (doc_id, ka, kb, n), the pivots of its window and counts in ranges of hashes."""
+    """One row per document: (doc_id, ka, kb, n), the pivots of its window, counts in ranges of hashes, and the parity sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     bits = int(np.log2(len(levels)))
 
@@ -146,6 +166,7 @@ def classes(docs: DataFrame, size: int, percent: int, levels=None) -> DataFrame:
             values, counts = _sets(batch.column("text"), size)
             ka, kb = _fingerprints(values, counts)
             out, width, bins = [], np.zeros(len(counts), np.int64), [b""] * len(counts)
+            sketch = np.zeros((len(counts), LONGS), np.int64)
             at = 0
             for r, n in enumerate(counts.tolist()):
                 if n:
@@ -155,11 +176,12 @@ def classes(docs: DataFrame, size: int, percent: int, levels=None) -> DataFrame:
                     out.append(own[order])
                     width[r] = k
                     bins[r] = _bins(own)
+                    sketch[r] = _parity(own)
                     at += n
             flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ka), pa.array(kb), pa.array(counts), lists(flat.view(np.int64), width, pa.int64()), pa.array(bins, pa.binary())], ["doc_id", "ka", "kb", "n", "window", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ka), pa.array(kb), pa.array(counts), lists(flat.view(np.int64), width, pa.int64()), pa.array(bins, pa.binary()), *[pa.array(sketch[:, k]) for k in range(LONGS)]], ["doc_id", "ka", "kb", "n", "window", "bins", *_SKETCH])
 
-    return docs.mapInArrow(find, "doc_id long, ka long, kb long, n long, window array<long>, bins binary")
+    return docs.mapInArrow(find, "doc_id long, ka long, kb long, n long, window array<long>, bins binary, " + ", ".join(f"{s} long" for s in _SKETCH))
 
 
 def _measure(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
@@ -196,48 +218,72 @@ def _measure(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> D
     return both.mapInArrow(intersect, "a long, b long, inter long, na long, nb long")
 
 
+def _split(cells: DataFrame, percent: int) -> DataFrame:
+    """Large regions split into the Voronoi cells of some of their documents, again and again while that makes them smaller."""
+    cells = cells.withColumn("whole", F.lit(False))
+    while True:
+        sizes = keep(cells.where("not whole").groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE), "large")
+        if sizes.isEmpty():
+            return cells.drop("whole")
+        large = cells.join(sizes.select("pivot"), "pivot", "left_semi")
+        first = large.withColumn("at", F.row_number().over(Window.partitionBy("pivot").orderBy("ka"))).where(F.col("at") <= PIVOTS)
+        pivots = keep(first.groupBy("pivot").agg(F.collect_list(F.struct(*_SKETCH)).alias("pivots")), "pivots")  # PIVOTS of them
+        far = F.transform("pivots", lambda p: sum((F.bit_count(F.col(s).bitwiseXOR(p[s])) for s in _SKETCH[1:]), F.bit_count(F.col(_SKETCH[0]).bitwiseXOR(p[_SKETCH[0]]))))
+        reach = F.array_min("far") + 2 * F.floor(F.col("n") * (100 - percent) / percent)
+        met = large.join(pivots, "pivot").withColumn("far", far).withColumn("reach", reach).withColumn("near", F.filter(F.transform("far", lambda d, k: F.when(d <= F.col("reach"), k)), lambda k: k.isNotNull()))
+        met = keep(met.select("pivot", F.explode("near").alias("cell"), "ka", "n", "i", *_SKETCH), "cells")
+        shares = met.groupBy("pivot", "cell").agg(F.count(F.lit(1)).alias("share")).groupBy("pivot").agg(F.sum("share").alias("all"), F.max("share").alias("most"))
+        good = keep(shares.join(sizes, "pivot").where("all <= 2 * size and 4 * most <= 3 * size").select("pivot"), "split")
+        if good.isEmpty():
+            return cells.drop("whole")
+        parts = met.join(good, "pivot", "left_semi").select(F.xxhash64("pivot", "cell").alias("pivot"), "ka", "n", "i", *_SKETCH, F.lit(False).alias("whole"))
+        rest = cells.join(good, "pivot", "left_anti").join(sizes.select("pivot", F.lit(True).alias("tried")), "pivot", "left")
+        rest = rest.select("pivot", "ka", "n", "i", *_SKETCH, F.coalesce("tried", "whole").alias("whole"))
+        following = keep(rest.unionByName(parts), "regions")
+        for old in (cells, met):
+            drop_kept(old)
+        cells = following
+
+
 def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Classes of equal shingle sets and the links found between them.
+    """Classes of equal shingle sets and their components.
 
-    Returns ``(members, roots)``: members (doc_id, ka, kb, n) has a row per document; roots
-    (ka, component) names for each class in a link the smallest doc_id of its component.
+    Returns ``(members, named)``: members (doc_id, ka, kb, n) has a row per document; named
+    (ka, kb, component) names for each class the smallest doc_id of its component.
     """
     docs = texts(docs, id_col, text_col)
     levels = _levels(pivot_counts(docs, size))
     whole = classes(docs, size, percent, levels)
     members = keep(whole.select("doc_id", "ka", "kb", "n"), "members")
-    reps = keep(whole.where("n > 0 and doc_id is not null").groupBy("ka", "kb").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("window").alias("window"), F.first("bins").alias("bins")), "classes")
+    kept = [F.first(c).alias(c) for c in ("n", "window", "bins", *_SKETCH)]
+    reps = keep(whole.where("n > 0 and doc_id is not null").groupBy("ka", "kb").agg(F.min("doc_id").alias("rep"), *kept), "classes")
     region = reps.select(F.posexplode("window").alias("i", "pivot"), "ka", "n")
-    met = region.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("pivot"))).where("met > 1").drop("met")
-    cells = keep(met.withColumn("d", F.lit(None).cast("double")), "regions")
-    limit = (100 - percent) / 100 + 1e-9
+    shared = keep(region.groupBy("pivot").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("pivot"), "shared")
+    cells = region.join(shared, "pivot").join(reps.select("ka", *_SKETCH), "ka").select("pivot", "ka", "n", "i", *_SKETCH)
+    cells = _split(keep(cells, "regions"), percent)
     reps_small = reps.select("ka", "rep", "n")
     comp = None
-    take = PIVOTS
+    take = HEADS
     while not cells.isEmpty():
         if comp is None:
             state = cells.withColumn("root", F.col("ka"))
         else:  # regions of one component close
             named = cells.join(comp.select(F.col("node").alias("ka"), "root"), "ka", "left").withColumn("root", F.coalesce("root", "ka"))
             open_ = named.groupBy("pivot").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("pivot")
-            state = keep(named.join(open_, "pivot"), "state")
+            state = keep(named.join(keep(open_, "open"), "pivot"), "state")
         order = Window.partitionBy("pivot").orderBy("ka")
         first = state.withColumn("at", F.row_number().over(order)).where(F.col("at") <= take)
-        heads = keep(first.select("pivot", F.col("ka").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("d").alias("da"), F.col("i").alias("ia"), "at"), "heads")
+        heads = keep(first.select("pivot", F.col("ka").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("i").alias("ia"), *[F.col(s).alias(f"a{s}") for s in _SKETCH]), "heads")
         near = (F.col("n") * 100 >= F.col("na") * percent) & (F.col("na") * 100 >= F.col("n") * percent)
-        # The triangle inequality over the region's last pivot: d(x, a) >= |d(x, p) - d(a, p)|.
-        window = F.coalesce(F.abs(F.col("d") - F.col("da")) <= limit, F.lit(True))
+        # A linked pair differs by at most so many shingles (times 100 + percent).
+        most = (F.col("n") + F.col("na")) * (100 - percent)
         # Where a pair first meets, neither holds the pivots before: so many elements set them apart at least. A pair
         # for which these are too many has met before, or lies too far apart.
-        apart = (F.col("i") + F.col("ia")) * (100 + percent) <= (F.col("n") + F.col("na")) * (100 - percent)
-        pairs = state.join(heads, "pivot").where((F.col("ka") > F.col("a")) & (F.col("root") != F.col("ra")) & near & apart & window)
+        apart = (F.col("i") + F.col("ia")) * (100 + percent) <= most
+        pairs = state.join(heads, "pivot").where((F.col("ka") > F.col("a")) & (F.col("root") != F.col("ra")) & near & apart & (_differ("", "a") * (100 + percent) <= most))
         pairs = keep(_possible(pairs.select("a", F.col("ka").alias("b")).distinct(), reps, percent), "pairs")
-        # The pivots have met everyone: they leave, and the rest of the region recurses.
-        rest = state.select("pivot", "ka", "n", "i").join(heads.select("pivot", F.col("a").alias("ka")), ["pivot", "ka"], "left_anti")
-        far = None
         if not pairs.isEmpty():
-            more = keep(_measure(pairs, docs, reps_small, size), "measured")
-            links = more.where(F.col("inter") * 100 >= (F.col("na") + F.col("nb") - F.col("inter")) * percent).select("a", "b")
+            links = keep(_measure(pairs, docs, reps_small, size), "measured").where(F.col("inter") * 100 >= (F.col("na") + F.col("nb") - F.col("inter")) * percent).select("a", "b")
             if comp is None:
                 comp = keep(connected(links), "components")
             else:  # only what joins components is new; the others take over the new names
@@ -247,19 +293,21 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
                 moved = comp.join(joined, comp["root"] == joined["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
                 added = joined.join(comp, joined["old"] == comp["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
                 comp = keep(moved.unionByName(added), "components")
-            far = more.select("a", F.col("b").alias("ka"), (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
-        if far is None:
-            rest = rest.withColumn("d", F.lit(None).cast("double"))
-        else:
-            rest = rest.join(heads.where("at = 1").select("pivot", "a"), "pivot").join(far, ["a", "ka"], "left").select("pivot", "ka", "n", "i", "d")
-        cells = keep(rest, "regions")
+        # The heads have met everyone: they leave, and the rest of the region goes on.
+        rest = state.select(*cells.columns).join(heads.select("pivot", F.col("a").alias("ka")), ["pivot", "ka"], "left_anti")
+        following = keep(rest, "regions")
+        drop_kept(cells)
+        if state is not cells:
+            drop_kept(state)
+        cells = following
         take *= GROWTH
+    own = reps.select("ka", "kb", "rep")
     if comp is None:
-        spark = docs.sparkSession
-        return members, spark.createDataFrame([], "ka long, component long")
-    named = comp.join(reps_small, comp["node"] == reps_small["ka"]).select("ka", "root", "rep")
-    least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    return members, named.join(least, "root").select("ka", "component")
+        return members, own.withColumnRenamed("rep", "component")
+    named = own.join(comp.withColumnRenamed("node", "ka"), "ka", "left")
+    least = named.where("root is not null").groupBy("root").agg(F.min("rep").alias("component"))
+    named = named.join(keep(least, "least"), "root", "left")
+    return members, keep(named.select("ka", "kb", F.coalesce("component", "rep").alias("component")), "named")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,12 +315,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     Null and blank texts have no shingles and link with nothing; a null doc_id keeps its row, links
     with nothing and has a null component. Repeated rows each get a row. Rows are never dropped.
+    Other columns of ``docs``, whatever their names, are left out.
     """
-    members, roots = jaccard_classes(docs, size, percent, id_col, text_col)
-    least = members.where("n > 0 and doc_id is not null").groupBy("ka", "kb").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("ka").alias("ca"), F.col("kb").alias("cb"), "first")
-    out = members.join(least, (members["ka"] == least["ca"]) & (members["kb"] == least["cb"]), "left").drop("ca", "cb")
-    out = out.join(roots, "ka", "left")
-    component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "first", "doc_id"))
+    members, named = jaccard_classes(docs, size, percent, id_col, text_col)
+    out = members.join(named, ["ka", "kb"], "left")
+    component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
