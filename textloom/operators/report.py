@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom import constants as C
+from textloom.functions import arrays as A
 from textloom.functions import text as T
 from textloom.operators.blocks import text_blocks
 
@@ -160,33 +161,22 @@ def find_in_text(blocks: DataFrame, query: str, id_col: str = "doc_id", limit: i
     if len(q) < 2:
         return blocks.select(id_col, "pos", F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
     pattern = "(?s)\\Q" + q.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    pieces = F.split(F.lower("t"), pattern, -1)
-    hits = blocks.where(F.lower("t").contains(q)).select(id_col, "pos", F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("p"))
-    init = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-    n = len(q)
-    starts = F.aggregate("p", init, lambda a, x: F.struct((a["at"] + F.char_length(x) + n).alias("at"), F.array_append(a["out"], a["at"] + F.char_length(x)).alias("out")), lambda a: a["out"])
-    found = hits.select(id_col, "pos", F.explode(starts).alias("start"))
+    hits = blocks.where(F.lower("t").contains(q)).select(id_col, "pos", F.explode(A.spans(F.lower("t"), pattern)).alias("x"))
+    found = hits.select(id_col, "pos", F.col("x.start").cast("int").alias("start"), F.col("x.end").cast("int").alias("end"))
     order = Window.partitionBy(id_col).orderBy("pos", "start")
-    return found.withColumn("i", F.row_number().over(order)).where(F.col("i") <= limit).select(id_col, "pos", "start", (F.col("start") + n).alias("end"))
+    return found.withColumn("i", F.row_number().over(order)).where(F.col("i") <= limit).select(id_col, "pos", "start", "end")
 
 
 def word_at(text: Column, offset: Column, end: bool = False) -> Column:
     """Span (start, end) of the word at an offset, or the first after it; else the last word, else the first character."""
-    found = T.tokens(text)
-    pieces = F.split(text, C.WORD, -1)
-    zipped = F.arrays_zip(found.alias("m"), F.slice(pieces, F.lit(1), F.size(found)).alias("p"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    init = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.char_length(x["p"])
-        stop = start + F.char_length(x["m"])
-        return F.struct(stop.alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), stop.alias("end"))).alias("out"))
-
-    spans = F.aggregate(zipped, init, step, lambda a: a["out"])
-    fits = F.filter(spans, lambda s: (s["end"] >= offset) if end else (s["end"] > offset))
+    found = F.transform(A.spans(text, C.WORD), lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
     nothing = F.struct(F.lit(0).alias("start"), F.least(F.char_length(text), F.lit(1)).alias("end"))
-    return F.coalesce(F.get(fits, F.lit(0)), F.try_element_at(spans, F.lit(-1)), nothing)
+
+    def chosen(spans: Column) -> Column:
+        fits = F.filter(spans, lambda s: (s["end"] >= offset) if end else (s["end"] > offset))
+        return F.coalesce(F.get(fits, F.lit(0)), F.try_element_at(spans, F.lit(-1)), nothing)
+
+    return A.let(found, chosen)
 
 
 def excerpt(text: Column, offset: Column, width: int = 60) -> Column:
