@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
     extra = keep(jaccard_join.near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct(), "extra")
-    return docs.join(small(extra, extra.count()), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(small(extra), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
