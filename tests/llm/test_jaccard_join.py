@@ -54,31 +54,25 @@ def test_against_brute_force(spark):
 
 
 def test_large_regions_split(spark, monkeypatch):
-    """Clusters that share a passage fall into Voronoi cells of their own, and the links stay the same."""
+    """Clusters that meet in one region fall into Voronoi cells of their own; each linked pair still meets, and cells are smaller."""
     monkeypatch.setattr(jaccard_join, "LARGE", 8)
     rng = random.Random(4)
-    common = [f"c{i}" for i in range(12)]
-    rows = []
+    sets = []
     for cluster in range(5):
-        base = [f"b{cluster}_{i}" for i in range(90)]
-        for k in range(12):
-            own = list(base)
-            for _ in range(rng.randint(0, 3)):
-                own[rng.randrange(90)] = f"x{cluster}_{k}_{rng.randrange(9)}"
-            rows.append((100 * cluster + k, " ".join(common + own)))
-    keys = []
-    split = jaccard_join._split
-
-    def watched(cells, percent):
-        before = {r["pivot"] for r in cells.select("pivot").distinct().collect()}
-        out = split(cells, percent)
-        keys.append((before, {r["pivot"] for r in out.select("pivot").distinct().collect()}))
-        return out
-
-    monkeypatch.setattr(jaccard_join, "_split", watched)
-    got = [tuple(r) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert Counter(got) == Counter(brute(rows))
-    assert keys[0][1] - keys[0][0]  # some regions were split
+        base = [rng.randrange(2**64) for _ in range(100)]
+        for _ in range(12):
+            changed = rng.sample(range(100), rng.randint(0, 12))
+            sets.append(np.unique(np.array([rng.randrange(2**64) if k in changed else x for k, x in enumerate(base)], np.uint64)))
+    rows = [(7, k, len(x), 0, *jaccard_join._parity(x).tolist()) for k, x in enumerate(sets)]
+    cells = jaccard_join.keep(spark.createDataFrame(rows, "pivot long, ka long, n long, i int, " + ", ".join(f"{s} long" for s in jaccard_join._SKETCH)), "cells")
+    met = {}
+    for r in jaccard_join._split(cells, 80).collect():
+        met.setdefault(r["pivot"], set()).add(r["ka"])
+    assert len(met) > 1 and max(map(len, met.values())) < 60
+    for a in range(60):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert 100 * both < 80 * (len(sets[a]) + len(sets[b]) - both) or any({a, b} <= cell for cell in met.values())
 
 
 def test_sketches_bound_the_difference():

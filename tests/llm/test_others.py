@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -208,6 +209,64 @@ def test_personal_data(spark):
     assert pii.find(docs.limit(0)).collect() == []
 
 
+def test_personal_data_query_against_re(spark):
+    """Counts, the base hash and the base part of the spans of the query, on the whole small table."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    out = pii.op8_pii(spark, DATA).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        want = base(texts[r["doc_id"]])
+        line = ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in want)
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(kind == k for *_, kind in want) for k in pii.BASE]
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert ",".join(x for x in r["spans"].split(",") if not x.startswith("secret")) == line
+
+
+def test_personal_data_in_long_texts(spark):
+    """A table of numbers takes seconds, and places stay right beyond the first stretches of matches."""
+    rows = [(1, "12, " * 200_000), (2, "a@b.co 1.2.3.4 " * 3_000), (3, "é😀 x1y2z3w4q5e6r7 a@b.co " * 2_000)]
+    began = time.time()
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "spans").collect()}
+    assert time.time() - began < 60
+    for i, t in rows:
+        assert [s for s in found[i] if s[1] < 4] == base(t)
+    red = {r["doc_id"]: r["text"] for r in pii.redact(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert red[2] == "<EMAIL> <IP> " * 3_000
+
+
+def test_personal_data_overlaps_repeats_and_names(spark):
+    rows = [(1, "call +1 778 555.1.2.3.4 now", "x@y.z", 7), (1, "call +1 778 555.1.2.3.4 now", "x@y.z", 7), (None, "a@b.co", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, email string, base int")
+    out = pii.find(docs, carry=("email", "base")).collect()
+    assert sorted((r["email"] or "", r["base"] or 0) for r in out) == [("", 0), ("x@y.z", 7), ("x@y.z", 7)]
+    assert all([tuple(s) for s in r["spans"]] == base(r["text"]) for r in out)
+    red = [r["text"] for r in pii.redact(pii.find(docs)).collect()]
+    kinds = base(rows[0][1])
+    first, last = kinds[0], max(end for _, _, end, _ in kinds)
+    assert red.count(rows[0][1][: first[0]] + f"<{first[3].upper()}>" + rows[0][1][last:]) == 2
+    with pytest.raises(ValueError):
+        pii.find(docs.withColumn("spans", F.lit(1)), carry=("spans",))
+
+
+def test_added_spans_leave_base_spans_alone(spark):
+    """Brute force over made-up spans: an added span stays if it meets no base span."""
+    rng = random.Random(8)
+    kind = "array<struct<start:bigint,number:int,end:bigint,kind:string>>"
+    rows = []
+    for i in range(300):
+        spans = {(s := rng.randrange(60), rng.randrange(4), s + rng.randint(1, 25)) for _ in range(rng.randint(0, 4))}
+        at = 0
+        while at < 70:
+            at += rng.randint(0, 12)
+            spans.add((at, 4, at + 5))
+            at += 5
+        rows.append((i, [(a, n, b, pii.KINDS[n]) for a, n, b in sorted(spans)]))
+    got = {r["i"]: [tuple(x) for x in r["f"]] for r in spark.createDataFrame(rows, f"i int, s {kind}").select("i", pii._free(F.col("s")).alias("f")).collect()}
+    for i, spans in rows:
+        base_ = [s for s in spans if s[1] < 4]
+        assert got[i] == [s for s in spans if s[1] < 4 or not any(b[0] < s[2] and s[0] < b[2] for b in base_)]
+
+
 def test_expectation_maximisation_orders_labelers():
     rng = random.Random(0)
     votes = Counter()

@@ -94,7 +94,8 @@ def plain(rows, labels):
         red, at = "", 0
         for start, _, end, kind in base(t):
             if start >= at:
-                red, at = f"{red}{t[at:start]}<{kind.upper()}>", end
+                red = f"{red}{t[at:start]}<{kind.upper()}>"
+            at = max(at, end)
         ids = np.array([*tokenizer.encode(red + t[at:], add_special_tokens=False).ids, 0], "<u4")
         out += [(i, k, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for k, s in enumerate(range(0, len(ids), 2048))]
     return out, stages

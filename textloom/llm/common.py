@@ -6,17 +6,21 @@ Lineage is cut by writing a table into the folder that the cluster names in
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only after its rows were counted and found no more than this.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only after its bytes were summed and found no more than this.
+BROADCAST_BYTES = 32 << 20
+_resident: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Set here only where it is unset (tests, one machine)."""
+    """The folder all executors share. Set here only where it is unset on one machine (tests); a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,9 +56,40 @@ def drop_kept(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are within the bound, else as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _width(name: str, kind) -> Column:
+    """About how many bytes a column's value takes in memory."""
+    column = F.col(f"`{name}`")
+    if kind.typeName() in ("string", "binary"):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if kind.typeName() == "array":
+        inner = len(kind.elementType.fields) * 8 + 16 if kind.elementType.typeName() == "struct" else 8
+        return F.coalesce(F.size(column), F.lit(0)) * inner + 32
+    return F.lit(8)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if the bytes of its rows, summed here, are within the bound, else as it is."""
+    width = sum((_width(f.name, f.dataType) for f in df.schema), F.lit(32))
+    total = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def resident(key: tuple, build: Callable):
+    """What a worker keeps between tasks: one thing only, so that stages of several operators don't pile up their caches."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = build()
+    return _resident[key]
+
+
+def _tidy() -> None:
+    """Give memory that a task no longer uses back to the machine; reused workers would hold it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -65,8 +102,13 @@ def ddl(rows: DataFrame, names) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in set(names))
 
 
-def slices(batches, column: str, target: int = 6 << 20):
-    """The batches, cut so that a column's bytes stay near ``target`` (a single row may be larger)."""
+def slices(batches, column: str, target: int = 3 << 20, cache: tuple | None = None):
+    """The batches, cut so that a column's bytes stay near ``target`` (a single row may be larger).
+
+    What earlier tasks left resident goes first, unless it is what this task names as its ``cache``.
+    """
+    if cache not in _resident:
+        _resident.clear()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -76,6 +118,7 @@ def slices(batches, column: str, target: int = 6 << 20):
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
             yield batch.slice(lo, hi - lo)
+    _tidy()
 
 
 def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -186,8 +186,8 @@ def classes(docs: DataFrame, size: int, percent: int, levels=None) -> DataFrame:
 
 def _measure(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     """(a, b, inter, na, nb) of each pair of classes, from the whole texts of one document of each class."""
-    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("ka")).distinct().join(reps.select("ka", "rep"), "ka"), "wanted")
-    rows = wanted.count()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("ka")).distinct().join(reps.select("ka", "rep"), "ka")
+    wanted = keep(wanted.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
 
     def shingled(batches):
         for batch in slices(batches, "text"):
@@ -196,7 +196,7 @@ def _measure(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(ka), lists(values.view(np.int64), counts, pa.int64())], ["ka", "own"])
 
     # A repeated doc_id may bring texts of other classes; the fingerprint decides.
-    found = docs.join(small(wanted.select(F.col("rep").alias("doc_id")).distinct(), rows), "doc_id", "left_semi").select("text")
+    found = docs.join(small(wanted), "doc_id", "left_semi").select("text")
     sets = keep(found.mapInArrow(shingled, "ka long, own array<long>").dropDuplicates(["ka"]), "sets")
 
     def intersect(batches):

@@ -8,8 +8,8 @@ import numpy as np
 
 from .common import joined
 
-#: Spans that one Python worker remembers, some 50 bytes each; beyond, it starts anew.
-REMEMBERED = 2_000_000
+#: Bytes that one Python worker remembers; beyond, it starts anew.
+REMEMBERED = 24 << 20
 
 
 class Lexicon:
@@ -25,7 +25,7 @@ class Lexicon:
 
     def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, prefix: np.ndarray | None = None, lead: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, number of ids of each span). Where ``prefix`` is set, ``lead`` comes before the span."""
-        if len(self.keys) > REMEMBERED:
+        if sum(x.nbytes for x in (self.keys, self.slots, self.ids, self.begin, self.size)) > REMEMBERED:
             self._clear()
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, slices, small, table, texts
+from .common import keep, resident, slices, small, table, texts
 from .lexicon import Lexicon
 from .words import Words
 
@@ -68,8 +68,9 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     path = path or tokenizer_path(TOKENIZER)
 
     def scan(batches):
-        lexicon = Lexicon(_bpe(path))
-        for batch in slices(batches, "text"):
+        key = ("word ids", path)
+        lexicon = resident(key, lambda: Lexicon(_bpe(path)))
+        for batch in slices(batches, "text", cache=key):
             words = Words(batch.column("text"))
             ids, sizes = lexicon.look_up(words.data, words.start, words.end, words.hash)
             total = np.concatenate([[0], np.cumsum(sizes)])
@@ -165,7 +166,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("length", "__shard", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     order = Window.partitionBy("length", "__shard").orderBy("__mark")
-    ranked = dealt.withColumn("__rank", F.row_number().over(order)).join(small(offsets, counted.count()), ["length", "__shard"])
+    ranked = dealt.withColumn("__rank", F.row_number().over(order)).join(small(keep(offsets, "offsets")), ["length", "__shard"])
     ranked = ranked.select(*columns, (F.col("__rank") - 1 + F.col("__before")).alias("__rank"))
     table_ = np.array(sorted(runs), np.int64).reshape(-1, 5)
     shared = pieces.sparkSession.sparkContext.broadcast(table_)

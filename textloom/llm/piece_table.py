@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, lists, raw, slices, table, texts
+from .common import joined, lists, raw, resident, slices, table, texts
 from .lexicon import Lexicon
 from .words import mix, span_hashes
 
@@ -125,15 +125,15 @@ class PieceTable:
         return text[1:] if text.startswith(" ") else text
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def piece_table(path: str) -> PieceTable:
-    """One table per worker and model."""
+    """The table of a model, built once."""
     return PieceTable(path)
 
 
-@functools.lru_cache(maxsize=4)
-def _lexicon(path: str) -> Lexicon:
-    return Lexicon(piece_table(path).encode_spans)
+def _coder(path: str) -> tuple[PieceTable, Lexicon]:
+    pieces = PieceTable(path)
+    return pieces, Lexicon(pieces.encode_spans)
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,8 +144,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     path = path or model_path()
 
     def scan(batches):
-        pieces, lexicon = piece_table(path), _lexicon(path)
-        for batch in slices(batches, "text"):
+        key = ("pieces", path)
+        pieces, lexicon = resident(key, lambda: _coder(path))
+        for batch in slices(batches, "text", cache=key):
             array = pc.replace_substring(batch.column("text"), SPACE, " ")  # both become the space piece
             data, offs = raw(array)
             filled = np.flatnonzero(np.diff(offs))

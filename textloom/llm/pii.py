@@ -20,6 +20,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.arrays import let, running, spans
+
 from .common import table, texts
 
 BASE = ("email", "ip", "card", "phone")
@@ -40,20 +42,7 @@ CONTEXT = 32
 ROUNDS = 40
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, text, before) of a pattern's matches; ``before`` is what stands since the last match."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("m"), F.slice(pieces, F.lit(1), F.size(found)).alias("p"))
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,text:string,before:string>>)")
-    init = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"), x["p"].alias("before"))).alias("out"))
-
-    return F.when(F.size(found) == 0, empty).otherwise(F.aggregate(zipped, init, step, lambda s: s["out"]))
+_NONE = "cast(array() as array<struct<start:bigint,end:bigint,text:string,before:string>>)"
 
 
 def _digits(x: Column) -> Column:
@@ -82,10 +71,10 @@ def base_spans(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) and an array column of (start, end, text, before) for each base kind."""
     out = docs
     for kind in BASE:
-        spans = _spans(F.col("text"), PATTERNS[kind])
+        found = spans(F.col("text"), PATTERNS[kind])
         if _NEEDS[kind]:
-            spans = F.when(F.col("text").contains(_NEEDS[kind]), spans).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,text:string,before:string>>)"))
-        out = out.withColumn(kind, spans)
+            found = F.when(F.col("text").contains(_NEEDS[kind]), found).otherwise(F.expr(_NONE))
+        out = out.withColumn(kind, found)
 
     def checked(kind: str) -> Column:
         return F.filter(kind, lambda s: _CHECKS[kind](s["text"])).alias(kind)
@@ -95,7 +84,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def _votes(x: Column) -> dict[str, Column]:
     """1 for a secret, 0 against it, -1 to abstain."""
-    word, before = x["text"], F.right(x["before"], F.lit(CONTEXT))
+    word, before = x["text"], x["before"]
     digits = F.length(_digits(word)) / F.length(word)
     named = F.lower(before).rlike("(?:" + "|".join(GAZETTEER) + r")[^A-Za-z0-9]{0,6}\z")
     return {
@@ -107,7 +96,7 @@ def _votes(x: Column) -> dict[str, Column]:
 
 
 def _features(x: Column) -> dict[str, Column]:
-    word, before = x["text"], F.right(x["before"], F.lit(CONTEXT))
+    word, before = x["text"], x["before"]
     digits = F.length(_digits(word)) / F.length(word)
     return {
         "size": F.when(F.length(word) < 16, 0).when(F.length(word) < 20, 1).when(F.length(word) < 32, 2).otherwise(3),
@@ -148,7 +137,7 @@ def fit(docs: DataFrame) -> dict:
     """The span classifier: log-odds weights of each feature value and a bias, from all candidates of ``docs``."""
     x = F.col("x")
     votes, features = _votes(x), _features(x)
-    found = docs.select(F.explode(_spans(F.col("text"), CANDIDATE)).alias("x")).select(*[v.alias(f"v_{k}") for k, v in votes.items()], *[v.alias(f"f_{k}") for k, v in features.items()])
+    found = docs.select(F.explode(spans(F.col("text"), CANDIDATE, CONTEXT)).alias("x")).select(*[v.alias(f"v_{k}") for k, v in votes.items()], *[v.alias(f"f_{k}") for k, v in features.items()])
     columns = found.columns
     counts = found.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3**4 vote patterns times 4*5*5*2*3 feature values
     patterns: dict[tuple[int, ...], float] = defaultdict(float)
@@ -182,32 +171,67 @@ def find(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id", tex
     """Every row with doc_id, text, the columns to carry, and spans; spans are (start, kind number, end, kind), ordered, over all kinds.
 
     ``model`` comes from :func:`fit`, by default over these very documents. Null texts count as empty and have no
-    spans. Added spans that overlap a base span are left out; base spans always stay.
+    spans; null ids and repeated rows are rows like others; an empty table gives an empty one. Added spans that overlap a
+    base span are left out; base spans always stay. Columns to carry keep any name but ``doc_id``, ``text`` and
+    ``spans``, which raise a ValueError; columns not carried play no part. A text of any length is worked on whole, in
+    time that hardly grows faster than it.
     """
-    rows = texts(docs, id_col, text_col, carry)
+    if clash := {"doc_id", "text", "spans"} & set(carry):
+        raise ValueError(f"names of result columns: {sorted(clash)}")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("_")]).alias("carried"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = texts(rows, carry=("carried",))
     model = model or fit(rows)
-    based = base_spans(rows).withColumn("candidate", _spans(F.col("text"), CANDIDATE))
+    based = base_spans(rows).withColumn("candidate", F.filter(spans(F.col("text"), CANDIDATE, CONTEXT), lambda s: _is_secret(s, model)))
 
     def tagged(column: Column, number: int) -> Column:
         return F.transform(column, lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("number"), s["end"].alias("end"), F.lit(KINDS[number]).alias("kind")))
 
     base = F.concat(*[tagged(F.col(kind), i) for i, kind in enumerate(BASE)])
-    ready = based.withColumn("base", base).withColumn("candidate", F.filter("candidate", lambda s: _is_secret(s, model)))
-    free = F.filter("candidate", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return ready.select(*rows.columns, F.array_sort(F.concat("base", tagged(free, len(BASE)))).alias("spans"))
+    every = F.array_sort(F.concat(base, tagged(F.col("candidate"), len(BASE))))
+    found = F.when(F.size("candidate") == 0, F.array_sort(base)).otherwise(let(every, _free))
+    return based.select("doc_id", "text", *[F.col(f"carried.`{c}`") for c in carry], found.alias("spans"))
+
+
+def _free(found: Column) -> Column:
+    """Ordered spans without added ones that overlap base spans.
+
+    Base spans that begin earlier reach no further than their greatest end so far; of those that begin later the next
+    span is the first, since added spans don't overlap each other.
+    """
+    added = lambda s: s["number"] == len(BASE)
+    ends = running(F.transform(found, lambda s: F.when(added(s), F.lit(-1).cast("long")).otherwise(s["end"])), lambda a, b: F.greatest(a, b))
+
+    def stays(reach: Column) -> Column:
+        def keeps(s: Column, i: Column) -> Column:
+            following = F.get(found, i + 1)
+            clear = (F.get(reach, i) <= s["start"]) & (following.isNull() | added(following) | (following["start"] >= s["end"]))
+            return F.when(~added(s) | clear, s)
+
+        return F.filter(F.transform(found, keeps), lambda s: s.isNotNull())
+
+    return let(ends, stays)
 
 
 def redact(found: DataFrame) -> DataFrame:
-    """The rows of :func:`find`, without spans, every span replaced by its kind in angle brackets; of overlapping spans the first counts."""
-    text = F.col("text")
+    """The rows of :func:`find`, without spans: each run of overlapping spans replaced by the kind of its first, in angle brackets.
+
+    The text is cut in a form of four bytes a character, so a cut costs no search from the beginning.
+    """
+    text, wide = F.col("text"), F.encode("text", "UTF-32")
+
+    def cut(data: Column, start: Column, end: Column) -> Column:
+        return F.decode(F.substring(data, (start * 4 + 1).cast("int"), ((end - start) * 4).cast("int")), "UTF-32")
+
+    def replaced(data: Column, ends: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(ends, i - 1))
+            return F.when(s["start"] >= before, F.concat(cut(data, before, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        gap = text.substr((state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        return F.when(fresh, F.struct(s["end"].alias("at"), F.concat(state["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"))).otherwise(state)
+        rest = cut(data, F.element_at(ends, -1), F.char_length(text))
+        return F.concat(F.array_join(F.transform("spans", piece), ""), rest)
 
-    init = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("spans", init, step, lambda s: F.concat(s["out"], text.substr((s["at"] + 1).cast("int"), F.length(text))))
+    ends = running(F.transform("spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    done = let(ends, lambda e: let(wide, lambda data: replaced(data, e)))
     return found.withColumn("text", F.when(F.size("spans") == 0, text).otherwise(done)).drop("spans")
 
 

@@ -176,7 +176,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = reps.select("doc_id", "ca", F.explode("anchors").alias("anchor"))
     recurring = anchors.groupBy("anchor").agg(F.min("ca").alias("c0"), F.max("ca").alias("c1")).where("c0 <> c1").select("anchor")
     routed = keep(anchors.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "recurring")
-    involved = docs.join(small(routed.select("doc_id"), routed.count()), "doc_id", "left_semi").dropDuplicates()
+    involved = docs.join(small(routed.select("doc_id")), "doc_id", "left_semi").dropDuplicates()
     involved = keep(involved.join(routed, "doc_id"), "involved")
     windows = involved.mapInArrow(_windows, "window long, doc_id long, at int")
     first = F.min(F.struct("doc_id", "at")).alias("first")
@@ -204,7 +204,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words; null ids lose nothing; texts of fewer than 50 words lose nothing; repeated rows are treated alike.
     """
     spans = repeated_spans(docs, id_col, text_col)
-    rows = texts(docs, id_col, text_col, tuple(c for c in carry if c != "text")).join(small(spans, spans.count()), "doc_id", "left")
+    rows = texts(docs, id_col, text_col, tuple(c for c in carry if c != "text")).join(small(spans), "doc_id", "left")
 
     def cut(batches):
         for batch in slices(batches, "text"):

@@ -11,7 +11,6 @@ Scoring covers every window of every text; a distinct word is compressed once pe
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 import zlib
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, slices, table, texts
+from .common import ddl, keep, resident, slices, table, texts
 from .lexicon import Lexicon
 from .words import Words
 
@@ -61,7 +60,6 @@ def _dictionary(words: list[str], size: int) -> bytes:
     return b"".join(reversed(out)) or b"\x00" * 8
 
 
-@functools.lru_cache(maxsize=2)
 def _gains(toxic: bytes, ordinary: bytes) -> Lexicon:
     import zstandard as z
 
@@ -88,7 +86,7 @@ def _gains(toxic: bytes, ordinary: bytes) -> Lexicon:
 
 def _document_gains(model_bytes: tuple[bytes, bytes], array: pa.Array) -> list[np.ndarray]:
     words = Words(array, lower=True)
-    found, _ = _gains(*model_bytes).look_up(words.data, words.start, words.end, words.hash)
+    found, _ = resident(("gains", *model_bytes), lambda: _gains(*model_bytes)).look_up(words.data, words.start, words.end, words.hash)
     found = found.astype(np.int64) - 32
     return [found[lo:hi] for lo, hi in zip(words.lo.tolist(), words.hi.tolist())]
 
@@ -151,22 +149,33 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[str, int]]:
-    """The bounded sample that fitting reads: per label the rows of least hash, outside the held-out fifth, with whole texts."""
+    """The bounded sample that fitting reads: per label the rows of least hash, outside the held-out fifth, with whole texts.
+
+    Rows without an id, a text or a label of 0 or 1 are no part of it. Where a doc_id is repeated the least of its texts
+    counts, once for each label it bears, so the sample has at most ``per_class`` rows of each.
+    """
     spark = docs.sparkSession
     known = labels.where("toxic in (0, 1) and doc_id is not null").where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").select("doc_id", "toxic")
     chosen = None
     for label in (0, 1):
         ids = known.where(F.col("toxic") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = ids if chosen is None else chosen.unionByName(ids)
-    found = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    chosen = F.broadcast(keep(chosen, "chosen"))  # 2 * per_class rows of two numbers
+    found = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return sorted((r["text"], r["toxic"]) for r in found.collect())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Columns to carry and (doc_id, score, predicted, windows, gain) of every row; null and blank texts get the score of a text without windows."""
+    """Columns to carry and (doc_id, score, predicted, windows, gain) of every row; null and blank texts get the score of a text without windows.
+
+    Null ids and repeated rows are rows like others, an empty table gives an empty one, texts of any length are scored
+    whole. Columns to carry keep any name but those of the result, which raise a ValueError; others play no part.
+    """
+    if clash := {"doc_id", "score", "predicted", "windows", "gain"} & set(carry):
+        raise ValueError(f"names of result columns: {sorted(clash)}")
 
     def scan(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", cache=("gains", model.toxic, model.ordinary)):
             gains = _document_gains((model.toxic, model.ordinary), batch.column("text"))
             p = 1 / (1 + np.exp(-np.clip(_features(gains, model.threshold) @ np.array(model.weights), -30, 30)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([len(g) for g in gains], pa.int64()), pa.array([int(g.max()) if len(g) else None for g in gains], pa.int64())], [*carry, "doc_id", "score", "predicted", "windows", "gain"])
@@ -178,5 +187,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(sample(docs, table(spark, sf_dir, "labels")))
-    held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")  # a null id never enters the fit
     return score(docs, model).select("doc_id", held_out, "score", "predicted")

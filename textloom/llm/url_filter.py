@@ -121,7 +121,7 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFr
                     yield pa.RecordBatch.from_arrays([batch.column("host").take(row), batch.column("path").take(row), array.take(pa.array(at))], ["host", "path", "key"])
 
     hits = pages.select("host", "path").distinct().mapInArrow(keys, "host string, path string, key string")
-    best = hits.join(small(listed, count), "key").groupBy("host", "path").agg(F.max(F.struct("rank", "host_size", "rule", "verdict")).alias("best"))
+    best = hits.join(small(listed), "key").groupBy("host", "path").agg(F.max(F.struct("rank", "host_size", "rule", "verdict")).alias("best"))
     out = pages.join(best, ["host", "path"], "left")
     return out.select(*pages.columns, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 

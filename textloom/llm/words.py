@@ -26,13 +26,13 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown."""
+    """base**0 .. base**(n-1) modulo 2**64; those of one block are kept, more are made for the single long text that needs them."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, _BLOCK + 1, 2 * len(have) if have is not None else 0)
-        out = np.full(size, base, np.uint64)
+        out = np.full(max(n, _BLOCK + 2), base, np.uint64)
         out[0] = 1
-        have = _powers[base] = np.cumprod(out, dtype=np.uint64)
+        have = np.cumprod(out, dtype=np.uint64)
+        _powers[base] = have[: _BLOCK + 2].copy() if n > _BLOCK + 2 else have
     return have[:n]
 
 
