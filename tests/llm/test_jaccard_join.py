@@ -63,6 +63,7 @@ def test_large_regions_split(spark, monkeypatch):
         for _ in range(12):
             changed = rng.sample(range(100), rng.randint(0, 12))
             sets.append(np.unique(np.array([rng.randrange(2**64) if k in changed else x for k, x in enumerate(base)], np.uint64)))
+    rng.shuffle(sets)
     rows = [(7, k, len(x), 0, *jaccard_join._parity(x).tolist()) for k, x in enumerate(sets)]
     cells = jaccard_join.keep(spark.createDataFrame(rows, "pivot long, ka long, n long, i int, " + ", ".join(f"{s} long" for s in jaccard_join._SKETCH)), "cells")
     met = {}
