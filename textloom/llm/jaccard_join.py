@@ -218,6 +218,22 @@ def _measure(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> D
     return both.mapInArrow(intersect, "a long, b long, inter long, na long, nb long")
 
 
+def _spread(batches, percent: int):
+    """Of each region's candidates those that lie farthest apart, up to ``PIVOTS``: one, then always the farthest from all before, while windows tell it from these."""
+    for batch in batches:
+        chosen = []
+        for some in batch.column("some").to_pylist():
+            bits = np.unpackbits(np.array([[x[s] for s in _SKETCH] for x in some], np.int64).view(np.uint8), axis=1)
+            width = np.array([2 * (x["n"] * (100 - percent) // percent) for x in some])
+            picked, least = [0], (bits != bits[0]).sum(1)
+            while len(picked) < PIVOTS and (least > width).any():
+                picked.append(int(np.where(least > width, least, -1).argmax()))
+                least = np.minimum(least, (bits != bits[picked[-1]]).sum(1))
+            chosen.append([{s: some[k][s] for s in _SKETCH} for k in picked])
+        kind = pa.list_(pa.struct([(s, pa.int64()) for s in _SKETCH]))
+        yield pa.RecordBatch.from_arrays([batch.column("pivot"), pa.array(chosen, kind)], ["pivot", "pivots"])
+
+
 def _split(cells: DataFrame, percent: int) -> DataFrame:
     """Large regions split into the Voronoi cells of some of their documents, again and again while that makes them smaller."""
     cells = cells.withColumn("whole", F.lit(False))
@@ -226,8 +242,9 @@ def _split(cells: DataFrame, percent: int) -> DataFrame:
         if sizes.isEmpty():
             return cells.drop("whole")
         large = cells.join(sizes.select("pivot"), "pivot", "left_semi")
-        first = large.withColumn("at", F.row_number().over(Window.partitionBy("pivot").orderBy("ka"))).where(F.col("at") <= PIVOTS)
-        pivots = keep(first.groupBy("pivot").agg(F.collect_list(F.struct(*_SKETCH)).alias("pivots")), "pivots")  # PIVOTS of them
+        first = large.withColumn("at", F.row_number().over(Window.partitionBy("pivot").orderBy("ka"))).where(F.col("at") <= 4 * PIVOTS)
+        some = first.groupBy("pivot").agg(F.collect_list(F.struct("n", *_SKETCH)).alias("some"))  # 4 * PIVOTS of them
+        pivots = keep(some.mapInArrow(lambda batches: _spread(batches, percent), "pivot long, pivots array<struct<" + ", ".join(f"{s}: bigint" for s in _SKETCH) + ">>"), "pivots")
         far = F.transform("pivots", lambda p: sum((F.bit_count(F.col(s).bitwiseXOR(p[s])) for s in _SKETCH[1:]), F.bit_count(F.col(_SKETCH[0]).bitwiseXOR(p[_SKETCH[0]]))))
         reach = F.array_min("far") + 2 * F.floor(F.col("n") * (100 - percent) / percent)
         met = large.join(pivots, "pivot").withColumn("far", far).withColumn("reach", reach).withColumn("near", F.filter(F.transform("far", lambda d, k: F.when(d <= F.col("reach"), k)), lambda k: k.isNotNull()))
