@@ -17,7 +17,7 @@ The metric is the Jaccard distance of shingle sets; two documents link within ``
   pivot is at most ``2 R(x)`` further. A region that this would not make smaller stays as it is.
 * *Pairs.* In each region the documents still open choose heads, one at first and more in each round;
   all others meet these alone. Linked ones join the head's component; a region that has become one
-  component closes; elsewhere the heads, now compared with everyone, leave. Sizes, places of the pivot
+  component closes; elsewhere the next heads follow. Sizes, places of the pivot
   and sketch distances rule pairs out inside the join; counts in ranges of hashes rule out more
   before any set is read. Pairs within one component are never made.
 
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ GROWTH = 16
 LONGS = 8
 _SKETCH = [f"s{k}" for k in range(LONGS)]
 #: Documents of a region that is split into Voronoi cells, and the pivots that it chooses for that.
-LARGE, PIVOTS = 128, 8
+LARGE, PIVOTS = 512, 8
 
 
 def _sets(array: pa.Array, size: int):
@@ -89,13 +90,16 @@ def pivot_counts(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndar
             values, _ = _sets(batch.column("text"), size)
             total += np.bincount(values >> np.uint64(64 - bits), minlength=1 << bits).astype(np.uint32)
         if total.any():
-            yield pa.RecordBatch.from_pydict({"piece": np.arange(_PIECES, dtype=np.int32), "counts": [x.tobytes() for x in np.split(total, _PIECES)]})
+            # Byte planes: most counts of one task fit the first, and the others are zeros.
+            planes = [zstandard.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in np.split(total, _PIECES)]
+            yield pa.RecordBatch.from_pydict({"piece": np.arange(_PIECES, dtype=np.int32), "counts": planes})
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << bits) // _PIECES, np.uint64)
         for batch in batches:
             for x in batch.column("counts"):
-                total += np.frombuffer(x.as_buffer(), np.uint32)
+                planes = np.frombuffer(zstandard.decompress(x.as_py()), np.uint8).reshape(4, -1)
+                total += np.ascontiguousarray(planes.T).view(np.uint32).ravel()
         yield pa.RecordBatch.from_pydict({"piece": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     parts = docs.select("text").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary")
@@ -241,24 +245,26 @@ def _split(cells: DataFrame, percent: int) -> DataFrame:
         sizes = keep(cells.where("not whole").groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE), "large")
         if sizes.isEmpty():
             return cells.drop("whole")
-        large = cells.join(sizes.select("pivot"), "pivot", "left_semi")
+        large = cells.join(small(sizes), "pivot").select("pivot", "ka", "n", "i", *_SKETCH)
         first = large.withColumn("at", F.row_number().over(Window.partitionBy("pivot").orderBy("ka"))).where(F.col("at") <= 4 * PIVOTS)
         some = first.groupBy("pivot").agg(F.collect_list(F.struct("n", *_SKETCH)).alias("some"))  # 4 * PIVOTS of them
         pivots = keep(some.mapInArrow(lambda batches: _spread(batches, percent), "pivot long, pivots array<struct<" + ", ".join(f"{s}: bigint" for s in _SKETCH) + ">>"), "pivots")
         far = F.transform("pivots", lambda p: sum((F.bit_count(F.col(s).bitwiseXOR(p[s])) for s in _SKETCH[1:]), F.bit_count(F.col(_SKETCH[0]).bitwiseXOR(p[_SKETCH[0]]))))
         reach = F.array_min("far") + 2 * F.floor(F.col("n") * (100 - percent) / percent)
-        met = large.join(pivots, "pivot").withColumn("far", far).withColumn("reach", reach).withColumn("near", F.filter(F.transform("far", lambda d, k: F.when(d <= F.col("reach"), k)), lambda k: k.isNotNull()))
-        met = keep(met.select("pivot", F.explode("near").alias("cell"), "ka", "n", "i", *_SKETCH), "cells")
-        shares = met.groupBy("pivot", "cell").agg(F.count(F.lit(1)).alias("share")).groupBy("pivot").agg(F.sum("share").alias("all"), F.max("share").alias("most"))
+        def reached(rows: DataFrame) -> DataFrame:
+            met = rows.join(small(pivots), "pivot").withColumn("far", far).withColumn("reach", reach)
+            return met.withColumn("cell", F.explode(F.filter(F.transform("far", lambda d, k: F.when(d <= F.col("reach"), k)), lambda k: k.isNotNull())))
+
+        shares = reached(large).groupBy("pivot", "cell").agg(F.count(F.lit(1)).alias("share")).groupBy("pivot").agg(F.sum("share").alias("all"), F.max("share").alias("most"))
         good = keep(shares.join(sizes, "pivot").where("all <= 2 * size and 4 * most <= 3 * size").select("pivot"), "split")
         if good.isEmpty():
             return cells.drop("whole")
-        parts = met.join(good, "pivot", "left_semi").select(F.xxhash64("pivot", "cell").alias("pivot"), "ka", "n", "i", *_SKETCH, F.lit(False).alias("whole"))
-        rest = cells.join(good, "pivot", "left_anti").join(sizes.select("pivot", F.lit(True).alias("tried")), "pivot", "left")
+        parts = reached(large.join(small(good), "pivot", "left_semi")).select(F.xxhash64("pivot", "cell").alias("pivot"), "ka", "n", "i", *_SKETCH, F.lit(False).alias("whole"))
+        tried = keep(sizes.select("pivot", F.lit(True).alias("tried")), "tried")
+        rest = cells.join(small(good), "pivot", "left_anti").join(small(tried), "pivot", "left")
         rest = rest.select("pivot", "ka", "n", "i", *_SKETCH, F.coalesce("tried", "whole").alias("whole"))
         following = keep(rest.unionByName(parts), "regions")
-        for old in (cells, met):
-            drop_kept(old)
+        drop_kept(cells)
         cells = following
 
 
@@ -274,23 +280,31 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     members = keep(whole.select("doc_id", "ka", "kb", "n"), "members")
     kept = [F.first(c).alias(c) for c in ("n", "window", "bins", *_SKETCH)]
     reps = keep(whole.where("n > 0 and doc_id is not null").groupBy("ka", "kb").agg(F.min("doc_id").alias("rep"), *kept), "classes")
-    region = reps.select(F.posexplode("window").alias("i", "pivot"), "ka", "n")
+    region = reps.select(F.posexplode("window").alias("i", "pivot"), "ka")
     shared = keep(region.groupBy("pivot").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("pivot"), "shared")
-    cells = region.join(shared, "pivot").join(reps.select("ka", *_SKETCH), "ka").select("pivot", "ka", "n", "i", *_SKETCH)
+    cells = region.join(shared, "pivot").join(reps.select("ka", "n", *_SKETCH), "ka").select("pivot", "ka", "n", "i", *_SKETCH)
     cells = _split(keep(cells, "regions"), percent)
     reps_small = reps.select("ka", "rep", "n")
     comp = None
-    take = HEADS
-    while not cells.isEmpty():
+    done, take = 0, HEADS  # so many of a region's documents, in the order of ``ka``, have been heads and have met all after them
+    while True:
         if comp is None:
-            state = cells.withColumn("root", F.col("ka"))
-        else:  # regions of one component close
-            named = cells.join(comp.select(F.col("node").alias("ka"), "root"), "ka", "left").withColumn("root", F.coalesce("root", "ka"))
-            open_ = named.groupBy("pivot").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("pivot")
-            state = keep(named.join(keep(open_, "open"), "pivot"), "state")
+            named = cells.withColumn("root", F.col("ka"))
+        else:
+            named = cells.join(small(comp.select(F.col("node").alias("ka"), "root")), "ka", "left").withColumn("root", F.coalesce("root", "ka"))
+        # Regions of one component close, and those in which all have met.
+        open_ = keep(named.groupBy("pivot").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where(f"r0 <> r1 and size > {done + 1}").select("pivot"), "open")
+        if open_.isEmpty():
+            break
+        state = keep(named.join(small(open_), "pivot"), "state") if comp is not None else named
         order = Window.partitionBy("pivot").orderBy("ka")
-        first = state.withColumn("at", F.row_number().over(order)).where(F.col("at") <= take)
-        heads = keep(first.select("pivot", F.col("ka").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("i").alias("ia"), *[F.col(s).alias(f"a{s}") for s in _SKETCH]), "heads")
+        if done:
+            first = state.select("pivot", "ka", "i", "root").withColumn("at", F.row_number().over(order)).where((F.col("at") > done) & (F.col("at") <= done + take))
+        else:
+            first = state.groupBy("pivot").agg(F.min(F.struct("ka", "i", "root")).alias("x")).select("pivot", "x.*")
+        first = first.select("pivot", "ka", F.col("i").alias("ia"), F.col("root").alias("ra"))
+        heads = first.join(reps.select("ka", F.col("n").alias("na"), *[F.col(s).alias(f"a{s}") for s in _SKETCH]), "ka")
+        heads = keep(heads.withColumnRenamed("ka", "a"), "heads")
         near = (F.col("n") * 100 >= F.col("na") * percent) & (F.col("na") * 100 >= F.col("n") * percent)
         # A linked pair differs by at most so many shingles (times 100 + percent).
         most = (F.col("n") + F.col("na")) * (100 - percent)
@@ -304,19 +318,15 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             if comp is None:
                 comp = keep(connected(links), "components")
             else:  # only what joins components is new; the others take over the new names
-                root = lambda c: comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+                root = lambda c: small(comp).select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
                 both = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
                 joined = connected(both).select(F.col("node").alias("old"), F.col("root").alias("new"))
                 moved = comp.join(joined, comp["root"] == joined["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
                 added = joined.join(comp, joined["old"] == comp["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
                 comp = keep(moved.unionByName(added), "components")
-        # The heads have met everyone: they leave, and the rest of the region goes on.
-        rest = state.select(*cells.columns).join(heads.select("pivot", F.col("a").alias("ka")), ["pivot", "ka"], "left_anti")
-        following = keep(rest, "regions")
-        drop_kept(cells)
-        if state is not cells:
-            drop_kept(state)
-        cells = following
+        for old in (heads, *([state] if state is not named else [])):
+            drop_kept(old)
+        done += take
         take *= GROWTH
     own = reps.select("ka", "kb", "rep")
     if comp is None:
