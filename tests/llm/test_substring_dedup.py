@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -59,7 +60,7 @@ def test_texts_of_one_id_keep_their_own_spans(spark):
 
 def test_passages_end_with_their_text():
     texts = [" ".join(f"{tag}{i}" for i in range(n)) for tag, n in (("a", 60), ("b", 90))]
-    batch = pa.RecordBatch.from_arrays([pa.array([2, 3]), pa.array(texts), pa.array([[0, 1, 11, 40], [40]], pa.list_(pa.int32()))], ["doc_id", "text", "ats"])
+    batch = pa.RecordBatch.from_arrays([pa.array([2, 3]), pa.array(texts), pa.array([[0, 1, 11, 40], [40]], pa.list_(pa.int32())), pa.array([8, 9])], ["doc_id", "text", "ats", "shard"])
     got = [r for b in S._passages([batch]) for r in b.to_pylist()]
     a, b = (t.split() for t in texts)
     assert [(r["owner"], r["passage"].split()) for r in got] == [(2, a[:51]), (3, b[40:])]
@@ -77,3 +78,15 @@ def test_query(spark):
 
 def test_merged():
     assert S.merged([(5, 9), (1, 3), (3, 4), (8, 12)]) == [(1, 4), (5, 12)] and S.merged([]) == []
+
+
+def test_long_owners_are_dealt(spark, monkeypatch):
+    """Windows of one owner in several stretches, shards and chunks give the same spans."""
+    monkeypatch.setattr(S, "SHARD_WINDOWS", 60)
+    monkeypatch.setattr(S, "BLOCK_WORDS", 70)
+    monkeypatch.setattr(S, "CHUNK_BYTES", 4_000)
+    rng = random.Random(11)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(1, " ".join(long))] + [(2 + k, " ".join([f"q{k}"] * 5 + long[20 * k : 20 * k + 120] + [f"z{k}"] * 5)) for k in range(14)]
+    got = {r["doc_id"]: (r["n_words"], [tuple(x) for x in r["spans"]]) for r in S.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (400, []), **{2 + k: (130, [(5, 125)]) for k in range(14)}}

@@ -10,7 +10,8 @@
    while document and passage agree word by word; 50 words or more of agreement are an occurrence, and count
    as repeated where the owner has the smaller doc_id.
 
-A shard with many documents is dealt into chunks with a copy of its automaton each, so no key meets one task.
+A shard that many texts visit is dealt into chunks by the bytes of these, with a copy of its automaton each; a long
+owner's windows are dealt by stretches of its words, so no key meets one task.
 Words compare by 64-bit hashes; the automata run on their low 32 bits and every match is checked on all 64.
 """
 
@@ -25,8 +26,8 @@ from .common import ddl, keep, lists, slices, small, table, texts
 from .words import Words
 
 WINDOW, GRAM, PHRASE = 50, 8, 25
-#: Confirmed windows in a shard, and documents that share one copy of its automaton.
-SHARD_WINDOWS, CHUNK_DOCS = 60_000, 1_000
+#: Confirmed windows in a shard, word positions of an owner that stay together, and bytes of texts that share one copy of an automaton.
+SHARD_WINDOWS, BLOCK_WORDS, CHUNK_BYTES = 40_000, 20_000, 6 << 20
 
 
 def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +74,7 @@ def _windows(batches):
 
 
 def _passages(batches):
-    """(owner, passage) for each run of owned windows; a passage is its words joined by one space.
+    """(owner, shard, passage) for each run of owned windows; a passage is its words joined by one space.
 
     Where rows repeat a doc_id with other texts, each text meets the windows of all; those past its end are left out,
     and what the others hold there is the owner's as well.
@@ -81,8 +82,8 @@ def _passages(batches):
     for batch in slices(batches, "text"):
         words = Words(batch.column("text"), hashes=False)
         data = words.data.tobytes()
-        owners, out = [], []
-        ids = batch.column("doc_id").to_pylist()
+        owners, shards, out = [], [], []
+        ids, dealt = batch.column("doc_id").to_pylist(), batch.column("shard").to_pylist()
         for r, lo in enumerate(words.lo.tolist()):
             at = np.sort(batch.column("ats")[r].values.to_numpy())
             at = at[at + WINDOW <= words.count[r]]
@@ -91,7 +92,8 @@ def _passages(batches):
                 a, b = lo + int(run[0]), lo + int(run[-1]) + WINDOW
                 out.append(b" ".join(data[s:e] for s, e in zip(words.start[a:b].tolist(), words.end[a:b].tolist())).decode())
                 owners.append(ids[r])
-        yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(out, pa.string())], ["owner", "passage"])
+                shards.append(dealt[r])
+        yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(shards, pa.int64()), pa.array(out, pa.string())], ["owner", "shard", "passage"])
 
 
 class Automaton:
@@ -182,13 +184,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = F.min(F.struct("doc_id", "at")).alias("first")
     owned = keep(windows.groupBy("window").agg(first, F.max("doc_id").alias("other")).where("first.doc_id < other").select("window", F.col("first.doc_id").alias("owner"), F.col("first.at").alias("at")), "owned")
     shards = max(1, -(-owned.count() // SHARD_WINDOWS))
-    shard = F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard")
-    visits = keep(windows.join(owned.select("window", "owner"), "window").where("owner < doc_id").select("doc_id", shard).distinct(), "visits")
-    chunks = visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / CHUNK_DOCS).cast("int").alias("chunks"))
-    visits = visits.join(chunks, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int").alias("chunk"), "doc_id")
-    by_owner = owned.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("at").alias("ats"))
-    passages = involved.select("doc_id", "text").join(by_owner, "doc_id").mapInArrow(_passages, "owner long, passage string")
-    passages = passages.select("owner", "passage", shard).join(chunks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "owner", "passage")
+    block = F.floor(F.col("at") / BLOCK_WORDS).alias("block")
+    owned = owned.select("window", "owner", "at", F.pmod(F.xxhash64("owner", block), F.lit(shards)).alias("shard"))
+    visits = windows.join(owned.select("window", "owner", "shard"), "window").where("owner < doc_id").select("doc_id", "shard").distinct()
+    sizes = involved.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    visits = keep(visits.join(sizes, "doc_id"), "visits")
+    chunks = keep(visits.groupBy("shard").agg(F.ceil(F.sum("bytes") / CHUNK_BYTES).cast("int").alias("chunks")), "chunks")
+    visits = visits.join(small(chunks), "shard").select("shard", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int").alias("chunk"), "doc_id")
+    by_owner = owned.groupBy(F.col("owner").alias("doc_id"), block, "shard").agg(F.collect_list("at").alias("ats"))  # at most BLOCK_WORDS
+    passages = involved.select("doc_id", "text").join(by_owner, "doc_id").select("doc_id", "shard", "text", "ats").mapInArrow(_passages, "owner long, shard long, passage string")
+    passages = passages.join(small(chunks), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "owner", "passage")
     streamed = visits.join(involved.select("doc_id", "text"), "doc_id")
     found = passages.groupBy("shard", "chunk").cogroup(streamed.groupBy("shard", "chunk")).applyInArrow(_locate, "doc_id long, ca long, start int, end int")
     same = members.where(F.col("n") >= WINDOW)
