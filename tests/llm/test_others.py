@@ -49,17 +49,43 @@ def test_toxicity_learns_and_scores(spark):
 def test_toxicity_without_labels(spark):
     assert toxicity.fit([]).weights[0] < 0 and toxicity.fit([("a b", 1)]).weights[0] > 0
     labels = spark.createDataFrame([(1, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    assert toxicity.sample(spark.createDataFrame([(1, "a")], "doc_id long, text string"), labels) == []
+    empty = toxicity.sample(spark.createDataFrame([(1, "a")], "doc_id long, text string"), labels)
+    assert empty.collect() == [] and toxicity.fit_sample(empty) == toxicity.fit([])
 
 
 def test_toxicity_is_fitted_on_whole_texts(spark):
     long = [(i, f"grobbix {'plain words ' * 3000}snarfol", i % 2) for i in range(1, 9)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in long], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in long], "doc_id long, quality int, toxic int")
-    got = toxicity.sample(docs, labels)
+    rows = toxicity.sample(docs, labels)
+    got = sorted((r["text"], r["toxic"]) for r in rows.collect())
+    assert toxicity.fit_sample(rows) == toxicity.fit(got)
     assert got == sorted((t, y) for i, t, y in long if zlib.crc32(str(i).encode()) % 5) and got
 
 
+def test_toxicity_rows_without_ids_repeats_and_empty_tables(spark):
+    model = toxicity.fit(labelled())
+    docs = spark.createDataFrame([(None, "grobbix snarfol", 3), (4, "grobbix snarfol", 3), (4, "grobbix snarfol", 3), (5, None, None)], "doc_id long, text string, held_out int")
+    out = toxicity.score(docs, model, carry=("held_out",)).collect()
+    assert len(out) == 4 and len({r["score"] for r in out if r["held_out"] == 3}) == 1
+    assert toxicity.score(docs.limit(0), model).collect() == []
+    with pytest.raises(ValueError):
+        toxicity.score(docs.withColumnRenamed("held_out", "score"), model, carry=("score",))
+
+
+def test_toxicity_scores_against_plain_compression(spark):
+    """Scores from plain calls of the compressor, window by window, without any cache."""
+    from test_pipeline import gains
+
+    rows = labelled()
+    model = toxicity.fit(rows[:300])
+    texts = [t for t, _ in rows[300:340]] + ["", "Grobbix, (snarfol)! vileduz-krankop", "é " * 9]
+    out = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        p = 1 / (1 + np.exp(-float(toxicity._features([gains(model, t)], model.threshold)[0] @ np.array(model.weights))))
+        assert abs(out[i]["score"] - p) < 1e-12 and out[i]["windows"] == len(t.split())
+
+
 def test_toxicity_held_out(spark):
     out = toxicity.op1_toxicity(spark, "/root/testdata/sf0.01").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)

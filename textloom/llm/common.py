@@ -82,8 +82,8 @@ def resident(key: tuple, build: Callable):
     return _resident[key]
 
 
-def _tidy() -> None:
-    """Give memory that a task no longer uses back to the machine; reused workers would hold it otherwise."""
+def tidy() -> None:
+    """Drop what is resident and give unused memory back to the machine; reused workers and the driver would hold it otherwise."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -118,7 +118,7 @@ def slices(batches, column: str, target: int = 3 << 20, cache: tuple | None = No
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
             yield batch.slice(lo, hi - lo)
-    _tidy()
+    tidy()
 
 
 def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, keep, resident, slices, table, texts
+from .common import ddl, keep, resident, slices, table, texts, tidy
 from .lexicon import Lexicon
 from .words import Words
 
@@ -148,7 +148,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     return Model(*contents, *best[1:])
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """The bounded sample that fitting reads: per label the rows of least hash, outside the held-out fifth, with whole texts.
 
     Rows without an id, a text or a label of 0 or 1 are no part of it. Where a doc_id is repeated the least of its texts
@@ -162,7 +162,19 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> li
         chosen = ids if chosen is None else chosen.unionByName(ids)
     chosen = F.broadcast(keep(chosen, "chosen"))  # 2 * per_class rows of two numbers
     found = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return sorted((r["text"], r["toxic"]) for r in found.collect())
+    return found.select("text", F.col("toxic").cast("int").alias("toxic"))
+
+
+def fit_sample(rows: DataFrame) -> Model:
+    """:func:`fit` on the bounded rows (text, toxic) of :func:`sample`, in a task: only the model reaches the driver."""
+
+    def learn(batches):
+        model = fit(sorted((t, y) for b in batches for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist())))
+        tidy()
+        yield pa.RecordBatch.from_pydict({"toxic": [model.toxic], "ordinary": [model.ordinary], "threshold": pa.array([model.threshold], pa.int32()), "weights": [list(model.weights)]})
+
+    found = rows.repartition(1).mapInArrow(learn, "toxic binary, ordinary binary, threshold int, weights array<double>").first()
+    return Model(bytes(found["toxic"]), bytes(found["ordinary"]), found["threshold"], tuple(found["weights"])) if found else fit([])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -186,6 +198,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(sample(docs, table(spark, sf_dir, "labels")))
+    model = fit_sample(sample(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")  # a null id never enters the fit
     return score(docs, model).select("doc_id", held_out, "score", "predicted")
