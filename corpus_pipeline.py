@@ -18,7 +18,7 @@ _CARRY = ("lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.5 stay as they are."""
-    model = toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit_sample(toxicity.sample(docs, table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model, carry=("text", *_CARRY)).where("predicted = 0").select(*COLUMNS)
 
 
