@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textloom.sources import files, structure
 from textloom.sources.files import read_bytes, sniff
-from textloom.sources.markup import decode_entities, html_blocks
+from textloom.sources.markup import add_html, decode_entities, html_blocks, parse
 from textloom.sources.model import Document, ReadError
 from textloom.sources.readers import iwork, kindle, pdf, plain
 
@@ -324,3 +324,27 @@ def test_french_copyright_page_without_segment():
     for text in ["Le titre", "© 2019 X", "Tous droits réservés", *["mot " * 99 + "fin."] * 20]:
         doc.add(text)
     assert [b.r for b in structure.finish(doc).blocks][:4] == [None, "copyright", "copyright", None]
+
+
+def test_unclosed_page_breaks_and_images_hold_nothing():
+    doc = Document(format_key="html")
+    add_html(doc, parse("<p>one</p><mbp:pagebreak><p>two</p><image><p>three</p>", html=True))
+    assert [b.t for b in doc.blocks] == ["one", "two", "three"]
+
+
+def test_windows_1252_keeps_every_byte():
+    from textloom.sources.readers.plain import windows_1252
+
+    assert windows_1252(bytes([0x41, 0x81, 0x8D, 0x8F, 0x90, 0x9D, 0x80])) == "A\x81\x8d\x8f\x90\x9d\u20ac"
+
+
+def test_delimiter_rules(spark):
+    """The first 20,000 characters, lines by LF or CRLF only; column and function agree."""
+    from pyspark.sql import functions as F
+
+    from textloom.functions import text as T
+    from textloom.sources.readers.plain import delimiter_of
+
+    texts = ["a;b\r\nc;d", "a,b\rc;d;e", "x" * 20_001 + ";;;;", "a|b\n" * 30, "", "1,2;3\n1,2;3\n;"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(T.sniff_delimiter(T.first_lines(F.col("t")))).collect()]
+    assert got == [delimiter_of(t) for t in texts] and got[2] == ","

@@ -92,6 +92,8 @@ CHAPTER = (
 )
 TOC_TITLE = r"^(?:table of contents|contents|content|toc|[íi]ndice|sumario|sommaire|table des mati[eè]res|inhalt|inhaltsverzeichnis|indice|sum[aá]rio)[:.]?$"
 INDEX_TITLE = r"^(?:index|general index|subject index|index of names|[íi]ndice (?:alfab[eé]tico|anal[ií]tico)|index alphab[eé]tique|register)[:.]?$"
+#: Every mark below holds one of these, so most texts need a single search.
+COPYRIGHT_HINT = r"©|\(c\)|copyright|r[eé]serv|isbn|publish|first|printed|library|catalog|no part|cover|typeset|imprint|edition|permission|fictitious|coincidental|resemblance|dep"
 # Marks of a copyright page; \b stands for an ASCII word boundary.
 COPYRIGHT_MARKS = (
     r"©",

@@ -82,7 +82,7 @@ def marker_count(text: Column) -> Column:
     total = F.lit(0)
     for pattern in C.COPYRIGHT_MARKS:
         total = total + matches(text, pattern).cast("int")
-    return total
+    return F.when(text.isNull() | text.rlike("(?iu)" + C.COPYRIGHT_HINT), total).otherwise(0)
 
 
 def csv_cell(value: Column, delimiter: str = ",") -> Column:
@@ -91,6 +91,11 @@ def csv_cell(value: Column, delimiter: str = ",") -> Column:
     return F.when(text.contains(delimiter) | text.rlike(r'["\r\n]'), quoted).otherwise(text)
 
 
+def first_lines(text: Column) -> Column:
+    """The lines that :func:`sniff_delimiter` looks at, of the first 20,000 characters."""
+    return F.split(text.substr(1, 20_000), "\r?\n", -1)
+
+
 def sniff_delimiter(lines: Column) -> Column:
     """The delimiter of the first 20 lines that is most even: ten points a line that has as many as the first, and these."""
     best, top = F.lit(","), F.lit(0)

@@ -68,7 +68,7 @@ def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def csv_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", delimiter: str | None = None) -> DataFrame:
     """Rows of clean CSV texts (no line breaks within quotes) as blocks: cells that aren't empty, joined by a space."""
     lines = F.split(F.regexp_replace(F.col(text_col), "\r\n?", "\n"), "\n", -1)
-    found = docs.select(id_col, lines.alias("lines")).withColumn("d", F.lit(delimiter) if delimiter else T.sniff_delimiter(F.col("lines")))
+    found = docs.select(id_col, lines.alias("lines")).withColumn("d", F.lit(delimiter) if delimiter else T.sniff_delimiter(T.first_lines(F.col(text_col))))
     rows = found.select(id_col, "d", F.posexplode("lines").alias("row", "line"))
     pattern = F.concat(F.lit(r'(?<=^|\Q'), F.col("d"), F.lit(r'\E)(?:"(?:[^"]|"")*+"|[^"\Q'), F.col("d"), F.lit(r'\E][^\Q'), F.col("d"), F.lit(r'\E]*+|)(?=\Q'), F.col("d"), F.lit(r'\E|$)'))
     cells = F.regexp_extract_all("line", pattern, F.lit(0))

@@ -177,13 +177,13 @@ def find_in_text(spark, sf_dir):
     return report.find_in_text(_blocks(spark, sf_dir), "THE").select("doc_id", F.col("pos").cast("long").alias("pos"), "start", "end")
 
 
-@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10))[1:20] AS ls FROM documents),
+@query("""WITH l AS (SELECT doc_id, string_split_regex(text[1:20000], '\\r?\\n')[1:20] AS ls FROM documents),
 m AS (SELECT doc_id, unnest([',', ';', chr(9), '|']) AS d, unnest([1, 2, 3, 4]) AS o, ls FROM l),
 c AS (SELECT doc_id, d, o, list_filter(list_transform(ls, lambda x: length(x) - length(replace(x, d, ''))), lambda n: n > 0) AS ns FROM m),
 s AS (SELECT doc_id, d, o, CASE WHEN len(ns) > 0 THEN len(list_filter(ns, lambda n: n = ns[1])) * 10 + ns[1] ELSE 0 END AS score FROM c)
 SELECT doc_id, coalesce(arg_min(d, (-score, o)) FILTER (score > 0), ',') AS delimiter FROM s GROUP BY doc_id""")
 def csv_delimiter(spark, sf_dir):
-    return _table(spark, sf_dir).select("doc_id", T.sniff_delimiter(F.split("text", "\n", -1)).alias("delimiter"))
+    return _table(spark, sf_dir).select("doc_id", T.sniff_delimiter(T.first_lines(F.col("text"))).alias("delimiter"))
 
 
 @query(f"""{O.B}, w AS ({O.words()}), c AS (SELECT doc_id, word, count(*)::BIGINT AS count FROM w GROUP BY ALL),

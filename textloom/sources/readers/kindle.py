@@ -8,6 +8,7 @@ from itertools import pairwise
 
 from textloom.sources.markup import add_html, parse
 from textloom.sources.model import Document, ReadError
+from textloom.sources.readers.plain import windows_1252
 
 STORED, PALMDOC, HUFFMAN = 1, 2, 17480
 
@@ -135,7 +136,7 @@ def book_html(parts: list[bytes]) -> str:
         flows = parts[at] if at < len(parts) else b""
         if flows[:4] == b"FDST" and _u32(flows, 8):
             data = data[_u32(flows, 12) : _u32(flows, 16)]
-    return data.decode("utf-8" if encoding == 65001 else "cp1252", "replace")
+    return data.decode("utf-8", "replace") if encoding == 65001 else windows_1252(data)
 
 
 def read_kindle(data: bytes) -> Document:

@@ -19,8 +19,7 @@ def _pattern(text: str) -> re.Pattern:
 CHAPTER, TOC, INDEX = (_pattern(x) for x in (C.CHAPTER + r"\b", C.TOC_TITLE, C.INDEX_TITLE))
 MARKS = [_pattern(x) for x in C.COPYRIGHT_MARKS]
 _STRONG = _pattern("©|copyright|all rights reserved")
-#: Every mark holds one of these, so most blocks need a single search.
-_HINT = re.compile(r"©|\(c\)|copyright|r[eé]serv|isbn|publish|first|printed|library|catalog|no part|cover|typeset|imprint|edition|permission|fictitious|coincidental|resemblance|dep", re.I)
+_HINT = re.compile(C.COPYRIGHT_HINT, re.I)
 
 
 def run_count(text: str) -> int:
