@@ -196,6 +196,27 @@ def test_sql_of_the_registry(spark):
         assert Counter(map(tuple, got.select(*columns).collect())) == Counter(want.fetchall())
 
 
+LONG = "This is a long paragraph of the article with many plain words that nobody would take for a menu or a notice of any kind at all."
+
+
+@pytest.mark.parametrize("cls", ["post-content share", "search-result", "entry related"])
+def test_a_class_name_loses_no_article(cls):
+    page = f"<html><body><nav><a href=/>Home</a></nav><div class='{cls}'><p>{LONG}</p><p>{LONG} Again.</p></div></body></html>"
+    assert main_text.extract(page) == f"{LONG}\n{LONG} Again."
+
+
+@pytest.mark.parametrize("cls", ["adbox", "commentlist", "nl-box", "advert-wide", "sidebar2"])
+def test_joined_class_names_within_an_article_go(cls):
+    page = f"<article><h1>Title</h1><p>{LONG}</p><div class='{cls}'><p>Not this. {LONG}</p></div><p>The end.</p></article>"
+    assert main_text.extract(page) == f"Title\n{LONG}\nThe end."
+
+
+def test_main_text_of_empty_tables_and_repeated_rows(spark):
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{LONG}</p></article>", "x")] * 2 + [(None, None, None, "y")], "page_id long, url string, html string, text string")
+    assert sorted(r["text"] for r in main_text.main_text(pages).collect()) == ["", LONG, LONG]
+    assert main_text.main_text(pages.limit(0)).collect() == []
+
+
 # --- personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after its bytes were summed and found no more than this.
 BROADCAST_BYTES = 32 << 20
+#: Whole texts in one Arrow batch.
+ARROW_ROWS = 1_000
 _resident: dict = {}
 
 
@@ -93,7 +95,13 @@ def tidy() -> None:
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Only id, text and the columns to ``carry``, whatever others there are; a null text counts as empty."""
+    """Only id, text and the columns to ``carry``, whatever others there are; a null text counts as empty.
+
+    Texts are long rows, so the session's Arrow batches are held to ``ARROW_ROWS`` of them.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *[F.col(f"`{c}`") for c in carry])
 
 

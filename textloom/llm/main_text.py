@@ -28,6 +28,9 @@ _FRAME = frozenset("nav header footer aside form menu dialog button fieldset".sp
 _MAIN = frozenset("article main".split())
 # Words in class, id and role that name what is not the article, and what is.
 _FRAME_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus footer form gdpr header masthead menu menubar meta modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split())
+# Those that also stand on what holds an article: there the text decides. And beginnings of joined words.
+_WEAK_WORDS = frozenset("header meta related reply replies search share sharing social sponsor tags widget".split())
+_FRAME_BEGINNINGS = ("adbanner", "adblock", "adbox", "adslot", "adspace", "adunit", "advert", "comment", "cookie", "navbar", "navlist", "newsletter", "sidebar", "sponsor")
 _MAIN_WORDS = frozenset("article articlebody content entry main maincontent post story text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/<>]*)([^<>]*)>", re.S)
@@ -35,9 +38,11 @@ _ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[\t-\r\x1c-\x20\x85\xa0  -     　]+")
 
-FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "framed", "article", "heading", "listed")
+FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "framed", "article", "heading", "listed")  # framed: 0 no, 1 by a weak word alone, 2 yes
 # The labelled table. Shapes of blocks (words, link density, framed, in an article, heading, list item) ...
-_FRAMED = ((1, 1.0, 1, 0, 0, 1), (3, 0.0, 1, 0, 1, 0), (9, 0.0, 1, 0, 0, 0), (14, 0.3, 1, 0, 0, 0), (60, 0.0, 1, 0, 0, 0), (30, 0.3, 1, 1, 0, 0), (5, 0.0, 1, 1, 1, 0), (45, 0.0, 1, 1, 0, 0), (2, 1.0, 1, 1, 0, 1))
+_FRAMED = ((1, 1.0, 2, 0, 0, 1), (3, 0.0, 2, 0, 1, 0), (9, 0.0, 2, 0, 0, 0), (14, 0.3, 2, 0, 0, 0), (60, 0.0, 2, 0, 0, 0), (30, 0.3, 2, 1, 0, 0), (5, 0.0, 2, 1, 1, 0), (45, 0.0, 2, 1, 0, 0), (2, 1.0, 2, 1, 0, 1))
+_WEAKLY = ((1, 1.0, 1, 0, 0, 1), (3, 0.0, 1, 0, 1, 0), (9, 0.0, 1, 0, 0, 0), (14, 0.3, 1, 0, 0, 0), (9, 0.5, 1, 1, 0, 0), (5, 0.0, 1, 1, 1, 0), (2, 1.0, 1, 1, 0, 1))
+_WEAKLY_LONG = ((60, 0.0, 1, 0, 0, 0), (25, 0.0, 1, 0, 0, 0), (90, 0.1, 1, 0, 0, 0), (30, 0.0, 1, 1, 0, 0), (90, 0.1, 1, 1, 0, 0))
 _ARTICLE = ((1, 0.0, 0, 1, 0, 0), (3, 0.0, 0, 1, 1, 0), (8, 0.0, 0, 1, 1, 0), (4, 0.0, 0, 1, 0, 1), (12, 0.4, 0, 1, 0, 1), (5, 1.0, 0, 1, 0, 0), (45, 0.1, 0, 1, 0, 0), (90, 0.0, 0, 1, 0, 0))
 _LONG = ((90, 0.0, 0, 0, 0, 0), (35, 0.2, 0, 0, 0, 0), (15, 0.05, 0, 0, 0, 0), (20, 0.1, 0, 0, 0, 1))
 _LINKS = ((1, 1.0, 0, 0, 0, 1), (3, 1.0, 0, 0, 0, 0), (8, 0.9, 0, 0, 0, 1), (20, 0.8, 0, 0, 0, 0), (40, 0.9, 0, 0, 0, 0))
@@ -52,7 +57,7 @@ def _label(shapes, neighbours, main: int):
 
 
 #: Rows of FEATURES and whether the block is main text: short texts between links are not, elsewhere they are.
-LABELLED = [*_label(_FRAMED, _TEXT + _MENU, 0), *_label(_ARTICLE, _TEXT + _MENU, 1), *_label(_LONG, _TEXT + _MENU, 1), *_label(_LINKS, _TEXT + _MENU, 0), *_label(_SHORT, _TEXT, 1), *_label(_SHORT, _MENU, 0)]
+LABELLED = [*_label(_FRAMED, _TEXT + _MENU, 0), *_label(_WEAKLY, _TEXT + _MENU, 0), *_label(_WEAKLY_LONG, _TEXT + _MENU, 1), *_label(_ARTICLE, _TEXT + _MENU, 1), *_label(_LONG, _TEXT + _MENU, 1), *_label(_LINKS, _TEXT + _MENU, 0), *_label(_SHORT, _TEXT, 1), *_label(_SHORT, _MENU, 0)]
 
 
 class Tree:
@@ -89,9 +94,9 @@ def tree() -> Tree:
     return Tree()
 
 
-def _marks(name: str, attrs: str) -> tuple[bool, bool, bool]:
-    """(unseen, frame, main) that an element sets for what it holds."""
-    unseen, frame, main = name in _UNSEEN, name in _FRAME, name in _MAIN
+def _marks(name: str, attrs: str) -> tuple[bool, int, bool]:
+    """(unseen, frame: 0 to 2, main) that an element sets for what it holds."""
+    unseen, frame, main = name in _UNSEEN, 2 * (name in _FRAME), name in _MAIN
     if attrs and not attrs.isspace():
         words: set[str] = set()
         for m in _ATTR.finditer(attrs):
@@ -101,10 +106,11 @@ def _marks(name: str, attrs: str) -> tuple[bool, bool, bool]:
             elif key in ("class", "id", "role"):
                 words.update(_NAME.findall(value))
         if name not in ("body", "html"):
-            if words & _MAIN_WORDS and not words & _FRAME_WORDS:
+            framing = {w for w in words if w in _FRAME_WORDS or w == "nl" or w.startswith(_FRAME_BEGINNINGS)}
+            if words & _MAIN_WORDS and framing <= _WEAK_WORDS:
                 main = True
-            elif words & _FRAME_WORDS and name not in _MAIN:
-                frame = True
+            elif framing and name not in _MAIN:
+                frame = max(frame, 1 if framing <= _WEAK_WORDS else 2)
     return unseen, frame, main
 
 
@@ -115,7 +121,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool, bool]]:
     linked: list[int] = [0]
     stack: list[tuple[str, tuple]] = []  # element, state before it
     opened: Counter[str] = Counter()
-    state = (False, False, False, False, False, False)  # unseen, framed, article, heading, listed, linked
+    state = (False, 0, False, False, False, False)  # unseen, framed, article, heading, listed, linked
 
     def flush() -> None:
         joined = _SPACE.sub(" ", "".join(text)).strip(" ")
@@ -171,7 +177,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool, bool]]:
                     break
         stack.append((name, state))
         opened[name] += 1
-        state = (state[0] or unseen, (state[1] or frame) and not (main and name in _MAIN and not state[2]), state[2] or main, state[3] or name in ("h1", "h2", "h3", "h4", "h5", "h6"), state[4] or name == "li", state[5] or name == "a")
+        state = (state[0] or unseen, max(state[1], frame) * (not (main and name in _MAIN and not state[2])), state[2] or main, state[3] or name in ("h1", "h2", "h3", "h4", "h5", "h6"), state[4] or name == "li", state[5] or name == "a")
         if name in _RAW:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             at = close.start() if close else end
@@ -193,7 +199,10 @@ def extract(page: str) -> str:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text) of every row. Null and empty pages give an empty text; nothing is capped."""
+    """(page_id, url, text) of every row. Null and empty pages give an empty text; nothing is capped, however long a page is.
+
+    Repeated rows are rows like others, an empty table gives an empty one; other columns, whatever their names, are left out.
+    """
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
 
     def scan(batches):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, keep, lists, slices, small, table, texts
+from .common import ddl, keep, lists, slices, small, table, texts, tidy
 from .words import Words
 
 WINDOW, GRAM, PHRASE = 50, 8, 25
@@ -163,6 +163,8 @@ def _locate(key, passages: pa.Table, docs: pa.Table) -> pa.Table:
                     cas.append(ca)
                     starts.append(a)
                     ends.append(b)
+        del automaton
+        tidy()
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "ca": pa.array(cas, pa.int64()), "start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32())})
 
 
