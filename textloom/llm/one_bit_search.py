@@ -7,12 +7,14 @@ lower bound on the distance is not above the k-th least upper bound, and measure
 
 Centroids are fitted on at most ``SAMPLE`` rows; every row is indexed. Queries run in blocks against chunks of the
 index, dealt by a hash of the id, so equal or clustered vectors don't share a task. Vectors that are null, zero, or hold null or
-non-finite components take no part, nor do those of another length than most. A query never meets rows of its own id.
+non-finite components take no part. Vectors of different lengths have no distance: each length is searched among its own.
+A query never meets rows of its own id. Every row of a repeated id is a candidate; other columns play no part.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,13 @@ CHUNK_ROWS, BLOCK_QUERIES = 1_024, 8_192
 WIDTH = 3.0
 
 
+@lru_cache(maxsize=4)
+def _rotation(dims: int, seed: int) -> np.ndarray:
+    """A random rotation of vectors of one length, the same wherever it is made."""
+    rotation, upper = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
+    return rotation * np.sign(np.diag(upper))
+
+
 @dataclass(frozen=True)
 class Coder:
     centroids: np.ndarray
@@ -57,8 +66,18 @@ def fit(sample: np.ndarray, centroids: int = CENTROIDS, seed: int = SEED, rounds
     for _ in range(rounds):
         near = ((at**2).sum(1) - 2 * sample @ at.T).argmin(1)
         at = np.array([sample[near == k].mean(0) if (near == k).any() else at[k] for k in range(len(at))])
-    rotation, upper = np.linalg.qr(rng.standard_normal((sample.shape[1],) * 2))
-    return Coder(at, rotation * np.sign(np.diag(upper)))
+    return Coder(at, _rotation(sample.shape[1], seed))
+
+
+@dataclass(frozen=True)
+class Coders:
+    """A coder for each length of vectors. A length that the sample doesn't hold is coded relative to the origin."""
+
+    centroids: dict[int, np.ndarray]
+    seed: int = SEED
+
+    def of(self, dims: int) -> Coder:
+        return Coder(self.centroids.get(dims, np.zeros((1, dims))), _rotation(dims, self.seed))
 
 
 def usable(vector: Column) -> Column:
@@ -106,47 +125,49 @@ def _search(queries: pa.Table, rows: pa.Table, coder: Coder, k: int) -> pa.Table
     return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
 
-def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, Coder | None]:
-    """(vec_id, vector, centroid, code, length, fit) of every usable vector, and what coded them; no coder if there are none."""
+def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, Coders]:
+    """(vec_id, vector, centroid, code, length, fit) of every usable vector, and what coded them."""
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector")).where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
-    dims = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "vec_id long, vector array<double>, centroid int, code binary, length double, fit double"
-    if dims is None:
-        return vectors.sparkSession.createDataFrame([], schema), None
-    dims = dims["d"]
-    rows = rows.where(F.size("vector") == dims)
     drawn = rows.select("vector", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(SAMPLE)
-    coder = fit(np.array([r["vector"] for r in drawn.collect()]))
-    shared = vectors.sparkSession.sparkContext.broadcast(coder)
+    sample: dict[int, list] = {}
+    for row in drawn.collect():
+        sample.setdefault(len(row["vector"]), []).append(row["vector"])
+    coders = Coders({dims: fit(np.array(x)).centroids for dims, x in sample.items()})
+    shared = vectors.sparkSession.sparkContext.broadcast(coders)
 
     def encode(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            lengths = whole.column("vector").value_lengths().to_numpy(zero_copy_only=False)
+            for dims in np.unique(lengths).tolist():
+                batch = whole.take(pa.array(np.flatnonzero(lengths == dims)))
                 x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                near, code, length, fit_ = shared.value.encode(x)
+                near, code, length, fit_ = shared.value.of(dims).encode(x)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(near), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(length), pa.array(fit_)], ["vec_id", "vector", "centroid", "code", "length", "fit"])
 
-    return keep(rows.mapInArrow(encode, schema), "codes"), coder
+    return keep(rows.mapInArrow(encode, schema), "codes"), coders
+
 
+def nearest(indexed: DataFrame, coders: Coders, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found for each query (query_id, vector), ties to the smaller vec_id.
 
-def nearest(indexed: DataFrame, coder: Coder | None, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each query (query_id, vector), ties to the smaller vec_id."""
+    Only vectors of the query's length are its candidates. Without any it has no rows, as have empty tables.
+    """
     spark = indexed.sparkSession
-    if coder is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     chunks = max(32, -(-indexed.count() // CHUNK_ROWS))
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = queries.withColumn("block", deal("query_id", blocks)).withColumn("chunk", every(chunks))
-    right = indexed.withColumn("chunk", deal("vec_id", chunks)).withColumn("block", every(blocks))
-    shared = spark.sparkContext.broadcast(coder)
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(lambda key, q, x: _search(q, x, shared.value, k), "query_id long, vec_id long, score double")
+    left = queries.withColumn("block", deal("query_id", blocks)).withColumn("chunk", every(chunks)).withColumn("dims", F.size("vector"))
+    right = indexed.withColumn("chunk", deal("vec_id", chunks)).withColumn("block", every(blocks)).withColumn("dims", F.size("vector"))
+    shared = spark.sparkContext.broadcast(coders)
+    by = ("block", "chunk", "dims")
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(lambda key, q, x: _search(q, x, shared.value.of(key[2].as_py()), k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op3_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
-    indexed, coder = index(table(spark, sf_dir, "embeddings"))
+    indexed, coders = index(table(spark, sf_dir, "embeddings"))
     queries = indexed.where("vec_id % 100 = 0").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector"))  # of a repeated id the least vector asks
-    return nearest(indexed, coder, queries)
+    return nearest(indexed, coders, queries)
