@@ -104,7 +104,7 @@ def test_neighbours(spark):
     rows = [(i, v.tolist(), "c") for i, v in enumerate(x)]
     rows += [(5000, None, "c"), (5001, [0.0] * 24, "c"), (5002, [None] * 24, "c"), (5003, [float("nan")] * 24, "c"), (5004, [float("inf")] * 24, "c"), (5005, [1.0] * 3, "c"), (None, [1.0] * 24, "c")]
     indexed, coder = one_bit_search.index(spark.createDataFrame(rows, "vec_id long, embedding array<float>, code string"))
-    assert indexed.count() == 1500
+    assert indexed.count() == 1501
     queries = indexed.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in one_bit_search.nearest(indexed, coder, queries).collect()}
     y, hits = x.astype(np.float64), 0
@@ -122,7 +122,26 @@ def test_neighbours_of_few(spark):
     queries = indexed.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "vector")
     assert [tuple(r) for r in one_bit_search.nearest(indexed, coder, queries).collect()] == [(0, 1, 1, 8**0.5)]
     empty, coder = one_bit_search.index(two.limit(0))
-    assert one_bit_search.nearest(empty, coder, empty).collect() == []
+    assert one_bit_search.nearest(empty, coder, empty.select(F.col("vec_id").alias("query_id"), "vector")).collect() == []
+
+
+def test_neighbours_query_against_brute_force(spark, tmp_path):
+    """Vectors of three lengths, one of them of a single row, repeated ids, ties, and rows that take no part."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(16 if i % 4 else 6).round(1).tolist()) for i in range(1200)]
+    rows += [(i, rows[i][1]) for i in range(0, 1200, 150)] + [(100, rng.standard_normal(16).tolist()), (1300, [1.0] * 40), (1400, None), (1500, [0.0] * 16), (1600, [float("nan")] * 6), (None, [1.0] * 16)]
+    spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, vector string").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got: dict[int, list] = {}
+    for r in sorted(one_bit_search.op3_nearest_neighbours(spark, str(tmp_path)).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        assert r["rank"] == len(got.setdefault(r["query_id"], [])) + 1
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    fine = [(i, v) for i, v in rows if i is not None and v is not None and any(v) and np.isfinite(v).all()]
+    hits = total = 0
+    for q in {i for i, _ in fine if i % 100 == 0} - {1300}:
+        v = min(v for i, v in fine if i == q)
+        best = sorted((float(np.sqrt(((np.array(w) - v) ** 2).sum())), i) for i, w in fine if i != q and len(w) == len(v))[:10]
+        hits, total = hits + sum(a[1] == b[1] and abs(a[0] - b[0]) < 1e-12 for a, b in zip(got[q], best, strict=True)), total + 10
+    assert total == 120 and hits >= 0.95 * total and 1300 not in got
 
 
 def test_error_bounds_hold():
@@ -183,6 +202,23 @@ def test_url_filter_rules_and_bloom(spark):
     miss = url_filter.possible(bits, url_filter.key_hashes(pa.array([f"other{i}.org/{i}" for i in range(20_000)])))
     assert hit.all() and miss.mean() < 0.01
     assert url_filter.judge(split.limit(0), url_filter.entries(spark)).collect() == []
+    with pytest.raises(ValueError, match="rule"):
+        url_filter.judge(split.withColumn("rule", F.lit("x")), url_filter.entries(spark))
+
+
+def test_url_filter_in_shards(spark):
+    """A filter past the bound is cut into shards: the same verdicts, and each shard rules out what isn't listed."""
+    sites = [(f"site{i}.example.net", "/") for i in range(500)]
+    listed = url_filter.entries(spark, listed=sites)
+    pages = spark.createDataFrame([(i, f"http://w.site{i % 900}.example.net/p{i % 7}") for i in range(3000)] + [(3000, None)], "page_id long, url string")
+    split = url_filter.split_url(pages)
+    whole = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(split, listed).collect()}
+    cut = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(split, listed, most_bytes=0, shard_keys=64).collect()}
+    assert cut == whole and len(cut) == 3001
+    assert all(cut[i] == (None, "block" if i % 900 < 500 else "allow") for i in range(3000))
+    keys = spark.createDataFrame([(f"other{i}.net/",) for i in range(5000)] + [("site7.example.net/",)], "key string")
+    passed = {r["key"] for r in url_filter.sharded(keys, listed, listed.count(), 64).collect()}
+    assert "site7.example.net/" in passed and len(passed) < 200
 
 
 def test_sql_of_the_registry(spark):

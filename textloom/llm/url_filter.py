@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw, small, table
+from .common import BROADCAST_BYTES, keep, raw, small, table
 from .words import _BASE, _BASE_INV, _BYTES, mix, powers
 
-#: Bits a key, bits set a key, and the keys up to which the filter (2 bytes a key) is built and broadcast; a longer
-#: list goes to the exact join alone.
-BITS, SET, MOST_KEYS = 16, 8, 16_000_000
+#: Bits a key and bits set a key. A filter within ``BROADCAST_BYTES`` goes to every worker whole; a larger one is cut into
+#: shards of about so many listed keys, each of which meets the keys of its own share.
+BITS, SET = 16, 8
+SHARD_KEYS, GROUP_KEYS = 1 << 19, 100_000
 # The rules (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 # Listed sites that are blocked where no rule fits; a list to be replaced by one's own.
@@ -95,14 +96,44 @@ def entries(spark: SparkSession, rules=RULES, listed=LISTED) -> DataFrame:
     return spark.createDataFrame(rows, "key string, verdict string, rule string, rank int, host_size int, path_size int")
 
 
-def judge(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFrame:
+def sharded(keys: DataFrame, listed: DataFrame, count: int, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """The distinct ``keys`` (key) that a Bloom filter of the listed ones, cut into shards by a hash of the key, lets pass."""
+    shards = max(1, -(-count // shard_keys))
+    blocks = max(1, -(-shard_keys * BITS // 512))
+    salts = max(1, -(-keys.count() // (shards * GROUP_KEYS)))
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+
+    def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros((blocks, 8), np.uint64)
+        for batch in batches:
+            block, masks = _places(key_hashes(batch.column("key")), blocks)
+            np.bitwise_or.at(own, block, masks)
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([own.tobytes()], pa.binary())})
+
+    def test(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = left.select(["key"])
+        if not right.num_rows:
+            return found.slice(0, 0)
+        bits = np.frombuffer(right.column("bits")[0].as_buffer(), np.uint64).reshape(-1, 8)
+        return found.filter(pa.array(possible(bits, key_hashes(found.column("key").combine_chunks()))))
+
+    filters = listed.select("key", shard).groupBy("shard").applyInArrow(build, "shard long, bits binary").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = keys.select("key", shard, F.pmod(F.xxhash64("key", F.lit(1)), F.lit(salts)).cast("int").alias("salt"))
+    return dealt.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInArrow(test, "key string")
+
+
+def judge(pages: DataFrame, listed: DataFrame, default: str = "allow", most_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """``pages`` (host, path and more) with ``rule`` and ``verdict``: those of the longest rule that fits, else of a listed site, else ``default``.
 
-    Between rules of one length the one with the longer host counts.
+    Between rules of one length the one with the longer host counts. Every row of ``pages`` stays, repeated ones and those
+    with an empty host too (the default, since no entry fits); an empty table gives an empty one. ``pages`` must not have
+    columns ``rule``, ``verdict`` or ``best``; others are carried.
     """
+    if clash := {"rule", "verdict", "best"} & set(pages.columns):
+        raise ValueError(f"names of result columns: {sorted(clash)}")
     sizes = sorted(r["path_size"] for r in listed.select("path_size").distinct().collect())
     count = listed.count()
-    bits = pages.sparkSession.sparkContext.broadcast(bloom(listed, count)) if count <= MOST_KEYS else None
+    bits = pages.sparkSession.sparkContext.broadcast(bloom(listed, count)) if count * BITS // 8 <= most_bytes else None
 
     def keys(batches):
         for batch in batches:
@@ -121,7 +152,11 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFr
                     yield pa.RecordBatch.from_arrays([batch.column("host").take(row), batch.column("path").take(row), array.take(pa.array(at))], ["host", "path", "key"])
 
     hits = pages.select("host", "path").distinct().mapInArrow(keys, "host string, path string, key string")
-    best = hits.join(small(listed), "key").groupBy("host", "path").agg(F.max(F.struct("rank", "host_size", "rule", "verdict")).alias("best"))
+    met = listed
+    if bits is None:  # the shards judge distinct keys, so a key that many URLs have is no large group
+        hits = keep(hits, "keys")
+        met = keep(sharded(keep(hits.select("key").distinct(), "distinct"), listed, count, shard_keys).join(listed, "key"), "met")
+    best = hits.join(small(met), "key").groupBy("host", "path").agg(F.max(F.struct("rank", "host_size", "rule", "verdict")).alias("best"))
     out = pages.join(best, ["host", "path"], "left")
     return out.select(*pages.columns, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
