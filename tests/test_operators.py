@@ -81,3 +81,12 @@ def test_lexicon_files_and_build(spark, tmp_path):
     head, lines = L.lines_v2(built)
     assert head.startswith("#v2\t") and lines.count() == built.count()
     assert {r["word"]: r["classes"] for r in L.parse(spark.createDataFrame([(head,), *[(r["line"],) for r in lines.collect()]], "value string")).collect()} == {r["word"]: r["classes"] for r in built.collect()}
+
+
+def test_lexicon_files_of_either_format_load(spark, tmp_path):
+    (tmp_path / "old.tsv").write_text("#nouns,verbs?\nrun\nwalk\n#adverbs\nsoon\n", encoding="utf-8")
+    got = {r["word"]: [tuple(c) for c in r["classes"]] for r in L.load(spark, str(tmp_path / "old.tsv")).collect()}
+    assert got == {"run": [("nouns", False), ("verbs", True)], "walk": [("nouns", False), ("verbs", True)], "soon": [("adverbs", False)]}
+    many = [f"nouns{i}" for i in range(100_003)]  # more groups than any bound that a slice would set
+    (tmp_path / "new.tsv").write_text("#v2\t" + "\t".join(many) + "\nlast\t255u\n", encoding="utf-8")
+    assert [(r["word"], r["classes"][0]["cls"]) for r in L.load(spark, str(tmp_path / "new.tsv")).collect()] == [("last", f"nouns{int('255u', 36)}")]

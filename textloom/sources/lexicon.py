@@ -23,13 +23,14 @@ def _classes(group: Column) -> Column:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """A lexicon from the ``value`` lines of one file, in either format, told apart by its head.
+    """A lexicon from the ``value`` lines of one file of the newer format; :func:`load` tells the formats apart.
 
-    New format: a head ``#v2<TAB>group...``, then ``word<TAB>number of its group in base 36``: the head is a single
-    row, so it is joined rather than collected. Old format: ``#classes`` heads, each before its words; lines need
-    their number there, so the file comes as one row of text.
+    A head ``#v2<TAB>group...``, then ``word<TAB>number of its group in base 36``: the head is a single
+    row, so it is joined rather than collected.
+    The old format (:func:`parse_grouped`) has ``#classes`` heads, each before its words; lines need their number there,
+    so the file comes as one row of text.
     """
-    head = lines.where(F.col("value").startswith("#v2\t")).select(F.slice(F.split("value", "\t"), 2, 100_000).alias("groups")).limit(1)
+    head = lines.where(F.col("value").startswith("#v2\t")).select(F.split(F.substring_index("value", "#v2\t", -1), "\t").alias("groups")).limit(1)
     rows = lines.where(~F.col("value").startswith("#") & F.col("value").contains("\t"))
     rows = rows.select(F.split("value", "\t").alias("x")).select(F.col("x")[0].alias("word"), F.conv(F.col("x")[1], 36, 10).cast("int").alias("group"))
     return rows.join(F.broadcast(head)).select("word", _classes(F.get("groups", F.col("group"))).alias("classes"))
@@ -44,8 +45,11 @@ def parse_grouped(texts: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """A lexicon file (plain or gzip) of the newer format."""
-    return parse(spark.read.text(path))
+    """A lexicon file (plain or gzip) of either format."""
+    lines = spark.read.text(path)
+    if lines.where(F.col("value").startswith("#v2\t")).isEmpty():
+        return parse_grouped(spark.read.text(path, wholetext=True))
+    return parse(lines)
 
 
 def treebank_counts(lines: DataFrame) -> DataFrame:
