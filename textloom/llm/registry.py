@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, jaccard_join, main_text, one_bit_search, packing, pii, piece_table, substring_dedup, toxicity, url_filter
+from . import audio, byte_bpe, jaccard_join, main_text, one_bit_search, packing, pii, piece_table, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_audio_features": audio.op9_audio_features,
     "op10_sentencepiece": piece_table.op10_sentencepiece,
+    "op11_byte_bpe": byte_bpe.op11_byte_bpe,
 }
 SQL: dict[str, str] = {"op6_url_filter": url_filter.SQL}
 
