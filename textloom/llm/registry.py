@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, byte_bpe, centroids, jaccard_join, main_text, one_bit_search, packing, pii, piece_table, substring_dedup, toxicity, url_filter
+from . import audio, byte_bpe, centroids, collocations, jaccard_join, main_text, one_bit_search, packing, pii, piece_table, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,9 +16,10 @@ QUERIES = {
     "op9_audio_features": audio.op9_audio_features,
     "op10_sentencepiece": piece_table.op10_sentencepiece,
     "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+    "op12_collocations": collocations.op12_collocations,
     "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
-SQL: dict[str, str] = {"op6_url_filter": url_filter.SQL, "op13_centroid_clustering": centroids.SQL}
+SQL: dict[str, str] = {"op6_url_filter": url_filter.SQL, "op12_collocations": collocations.SQL, "op13_centroid_clustering": centroids.SQL}
 
 
 def queries() -> dict:
