@@ -94,14 +94,16 @@ def tidy() -> None:
         pass
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Only id, text and the columns to ``carry``, whatever others there are; a null text counts as empty.
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``ARROW_ROWS`` rows: texts are long, and a plan has no setting of its own for this."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
-    Texts are long rows, so the session's Arrow batches are held to ``ARROW_ROWS`` of them.
-    """
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
-        conf.set(name, str(ARROW_ROWS))
+
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Only id, text and the columns to ``carry``, whatever others there are; a null text counts as empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *[F.col(f"`{c}`") for c in carry])
 
 
