@@ -90,3 +90,22 @@ def test_lexicon_files_of_either_format_load(spark, tmp_path):
     many = [f"nouns{i}" for i in range(100_003)]  # more groups than any bound that a slice would set
     (tmp_path / "new.tsv").write_text("#v2\t" + "\t".join(many) + "\nlast\t255u\n", encoding="utf-8")
     assert [(r["word"], r["classes"][0]["cls"]) for r in L.load(spark, str(tmp_path / "new.tsv")).collect()] == [("last", f"nouns{int('255u', 36)}")]
+
+
+def test_blocks_form_once_and_in_time_that_follows_the_text(spark):
+    import time
+
+    from textloom.operators import blocks as B
+
+    def seconds(lines):
+        text = "\n".join(f"line {i} of\f many\n\nwords" for i in range(lines // 4))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert B.exploded(B.with_blocks(docs)).where("t <> ''").count() > lines // 4
+        return time.perf_counter() - began
+
+    plan = B.exploded(B.with_blocks(spark.createDataFrame([(1, "a")], "doc_id long, text string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 5 and plan.count("RLIKE") == 1
+    seconds(1000)
+    few, many = min(seconds(4000) for _ in range(2)), min(seconds(16_000) for _ in range(2))
+    assert many < 8 * few + 1

@@ -34,35 +34,38 @@ def text_blocks(text: Column) -> Column:
 
     A text without blank lines, CR and form feeds is one page of lines, found without trimming each.
     """
-    plain = F.transform(F.filter(F.transform(F.split(text, "\n", -1), T.normalized), lambda t: t != ""), lambda t: F.struct(t.alias("t"), F.lit("p").alias("k"), F.lit(None).cast("string").alias("r"), F.lit(0).alias("s")))
+    plain = F.transform(F.filter(F.transform(F.split(text, "\n", -1), T.normalized), lambda t: t != ""), lambda t: _block(t, F.lit(0)))
     return F.when(text.rlike(_PARTED), _paged_blocks(text)).otherwise(plain)
 
 
+def _block(text: Column, section: Column) -> Column:
+    return F.struct(text.alias("t"), F.lit("p").alias("k"), F.lit(None).cast("string").alias("r"), section.alias("s"))
+
+
 def _paged_blocks(text: Column) -> Column:
     pages = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\f", -1)
-    raw = F.flatten(F.transform(pages, lambda page, i: F.transform(page_paragraphs(page), lambda t: F.struct(T.normalized(t).alias("t"), i.alias("page")))))
-    kept = F.filter(raw, lambda b: b["t"] != "")
-    return F.transform(kept, lambda b: F.struct(b["t"].alias("t"), F.lit("p").alias("k"), F.lit(None).cast("string").alias("r"), b["page"].alias("s")))
+    filled = lambda page: F.filter(F.transform(page_paragraphs(page), T.normalized), lambda t: t != "")
+    held = F.filter(F.transform(pages, filled), lambda texts: F.size(texts) > 0)
+    return F.flatten(F.transform(held, lambda texts, section: F.transform(texts, lambda t: _block(t, section))))
 
 
 def with_blocks(docs: DataFrame, text_col: str = "text", as_col: str = "blocks") -> DataFrame:
     """``docs`` with an array of blocks; sections count up without gaps, empty blocks are gone."""
-    found = docs.withColumn(as_col, text_blocks(F.coalesce(F.col(text_col), F.lit(""))))
-    pages = F.array_distinct(F.transform(as_col, lambda b: b["s"]))
-    found = found.withColumn("__pages", pages)
-    dense = F.transform(as_col, lambda b: F.struct(b["t"].alias("t"), b["k"].alias("k"), b["r"].alias("r"), (F.array_position("__pages", b["s"]) - 1).cast("int").alias("s")))
-    return found.withColumn(as_col, dense).drop("__pages")
+    return docs.withColumn(as_col, text_blocks(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def exploded(docs: DataFrame, id_col: str = "doc_id", blocks_col: str = "blocks") -> DataFrame:
-    """One row per block: id, pos, t, k, r, s."""
-    return docs.select(id_col, F.posexplode(blocks_col).alias("pos", "b")).select(id_col, "pos", "b.*")
+    """One row per block: id, pos, t, k, r, s.
+
+    The outer form, so that no filter on the array's size is inferred below, which would form the blocks anew.
+    """
+    return docs.select(id_col, F.posexplode_outer(blocks_col).alias("pos", "b")).where("pos is not null").select(id_col, "pos", "b.*")
 
 
 def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The short way for texts without blank lines and form feeds: a block per line that isn't empty."""
     lines = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), T.normalized), lambda t: t != "")
-    return docs.select(id_col, F.posexplode(lines).alias("pos", "t"))
+    return docs.select(id_col, F.posexplode_outer(lines).alias("pos", "t")).where("pos is not null")
 
 
 def csv_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", delimiter: str | None = None) -> DataFrame:

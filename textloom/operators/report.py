@@ -95,9 +95,9 @@ def select_blocks(blocks: DataFrame, config: ReportConfig = ReportConfig()) -> D
 
 
 def words(texts: DataFrame, keys: tuple[str, ...] = (), text_col: str = "t", merge_possessive: bool = False) -> DataFrame:
-    """One row per token: keys, normalised word."""
+    """One row per token: keys, normalised word. The outer form: an inferred filter on the array's size would find all tokens twice."""
     word = T.normalize_word(F.col("token"))
-    out = texts.select(*keys, F.explode(T.tokens(F.col(text_col))).alias("token"))
+    out = texts.select(*keys, F.explode_outer(T.tokens(F.col(text_col))).alias("token")).where("token is not null")
     return out.select(*keys, (T.merge_possessive(word) if merge_possessive else word).alias("word"))
 
 
