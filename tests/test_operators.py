@@ -109,3 +109,44 @@ def test_blocks_form_once_and_in_time_that_follows_the_text(spark):
     seconds(1000)
     few, many = min(seconds(4000) for _ in range(2)), min(seconds(16_000) for _ in range(2))
     assert many < 8 * few + 1
+
+
+def test_csv_blocks_are_the_readers(spark):
+    import random
+
+    from textloom.operators import blocks as B
+    from textloom.sources.readers import plain
+
+    rng = random.Random(2)
+    texts = [None, "", "\n", '"', '""', '"a""b",c\n"line\nbreak", d "e" ,"open\nto the end', 'a;b\r\n"x;y";z\rlast', "a\tb\n" * 3, "a|b|c\n\n|||\nd||e\n", '"' + "q" * 200_000 + '"",x\ny', '""' * 50_000, "a," * 50_000, '""x"y,z",w\n']
+    texts += ["".join(rng.choice(['"', '""', ",", ";", "a", "b c", "\n", "\r\n", "\r", " ", "\t", "|", '",', ',"']) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, row int")
+    got = {}
+    for r in sorted(B.csv_blocks(docs).collect()):
+        got.setdefault(r["doc_id"], []).append(r["t"])
+        assert r["pos"] == len(got[r["doc_id"]]) - 1
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == [b.t for b in plain.read_csv((t or "").encode()).blocks], t[:80]
+    plan = B.csv_blocks(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_tokenize_beside_other_columns(spark):
+    import random
+
+    from textloom.functions import text as T
+
+    rng = random.Random(5)
+    texts = [None, "", " . ", "one", "  Don't stop, l’été 3.14 rock-n-roll! 1,000.5.", "é😀 日本 x", "a b " * 3000, "\n".join("wörd%d," % i for i in range(700))]
+    texts += ["".join(rng.choice("aé1'’.,- \n日😀\u0301") for _ in range(rng.randint(0, 50))) for _ in range(500)]
+    spark.createDataFrame(list(enumerate(texts)), "id int, text string").createOrReplaceTempView("tokenize_texts")
+    assert {"tokenize", "tl_token_spans"} <= set(T.register(spark))
+    out = spark.sql("SELECT id, w.* FROM tokenize_texts, LATERAL tokenize(text) AS w")
+    got = sorted(tuple(r) for r in out.collect())
+    assert got and all(texts[i][a:b] == w for i, _, a, b, w in got)
+    arrays = spark.sql("SELECT id, tl_token_spans(text) AS spans, tl_tokens(text) AS ws FROM tokenize_texts").collect()
+    assert got == sorted((r["id"], k, *w) for r in arrays for k, w in enumerate(r["spans"] or ()))
+    assert all([w["token"] for w in r["spans"] or ()] == (r["ws"] or []) for r in arrays)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert spark.sql("SELECT tl_reading_time(238, 238) a, tl_reading_time(NULL, 200) b, tl_csv_cell('a,b', ',') c").first() == ("00:01", "00:00", '"a,b"')

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,8 +119,58 @@ def _same(counts: Column) -> Column:
     return F.filter(counts, lambda n: n == first)
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with a name for a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _running_sql(steps: str) -> str:
+    """SQL of the running sums of an array of numbers: within stretches, and over the stretches' sums, so time follows the array."""
+    scan = "aggregate({}, {}, (out, x) -> array_append(out, element_at(out, -1) + x))"
+    sums = f"transform(ats, at -> aggregate(slice({steps}, at, 256), 0L, (a, x) -> a + x))"
+    stretch = "slice(" + scan.format(f"slice({steps}, at, 256)", "array(get(before, i))") + ", 2, 256)"
+    whole = _let(scan.format(sums, "array(0L)"), "before", f"flatten(transform(ats, (at, i) -> {stretch}))")
+    return _let(f"sequence(1, size({steps}), 256)", "ats", whole)
+
+
+def _tokens_sql(text: str) -> str:
+    """SQL of an array of (start, end, token) of a text's words; offsets count characters from 0."""
+    word = C.WORD.replace("\\", "\\\\").replace("'", "\\'")
+    placed = "transform(found, (m, i) -> named_struct('start', CAST(get(ends, i) - char_length(m) AS INT), 'end', CAST(get(ends, i) AS INT), 'token', m))"
+    steps = "transform(found, (m, i) -> CAST(char_length(m) + char_length(get(gaps, i)) AS BIGINT))"
+    filled = _let(f"split({text}, '{word}', -1)", "gaps", _let(steps, "steps", _let(_running_sql("steps"), "ends", placed)))
+    none = "CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, token: STRING>>)"
+    return _let(f"regexp_extract_all({text}, '{word}', 0)", "found", f"if(size(found) > 0, {filled}, {none})")
+
+
+@functools.cache
+def word_pattern() -> re.Pattern:
+    """The pattern of words for Python, which has no classes of letters, marks and numbers of its own."""
+
+    def ranges(kinds: str) -> str:
+        cls = [unicodedata.category(chr(c))[0] in kinds for c in range(0x110000)]
+        edges = [c for c in range(0x110000) if cls[c] != (c > 0 and cls[c - 1])]
+        return "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(edges[::2], [*edges[1::2], 0x110000]))
+
+    inside, number = ranges("LMN"), ranges("N")
+    return re.compile(rf"[{inside}]++(?:(?:['’ʼ\-‐‑]|[.,](?=[{number}]))[{inside}]++)*+")
+
+
+class Tokenize:
+    """Table function: the words of a text with their places."""
+
+    def eval(self, text: str):
+        for pos, found in enumerate(word_pattern().finditer(text or "")):
+            yield pos, found.start(), found.end(), found[0]
+
+
 def register(spark: SparkSession) -> list[str]:
-    """The scalar functions as temporary SQL functions: SQL bodies, so Catalyst inlines them."""
+    """Temporary SQL functions: the scalar ones have SQL bodies, so Catalyst inlines them.
+
+    ``tokenize(text)`` gives a table (pos, start, end, token), one row a word, for lateral joins: ``SELECT doc_id, w.*
+    FROM documents, LATERAL tokenize(text) w``. It is a Python table function, since a lateral join with a SQL one would shuffle
+    whole texts. ``tl_token_spans(text)`` gives the same rows as an array within the JVM. Null and empty texts, and texts without a word, have none.
+    """
     space, deleted, word = (x.replace("\\", "\\\\").replace("'", "\\'") for x in (C.SPACE, C.DELETED, C.WORD))
     hosts = ", ".join(f"'{w}'" for w in C.CONTRACTION_HOSTS)
     bodies = {
@@ -124,9 +178,13 @@ def register(spark: SparkSession) -> list[str]:
         "tl_tokens(t STRING) RETURNS ARRAY<STRING>": f"regexp_extract_all(t, '{word}', 0)",
         "tl_count_words(t STRING) RETURNS BIGINT": f"size(regexp_extract_all(t, '{word}', 0))",
         "tl_chars_no_spaces(t STRING) RETURNS BIGINT": f"char_length(regexp_replace(t, '[{space}]', ''))",
+        "tl_token_spans(t STRING) RETURNS ARRAY<STRUCT<start: INT, end: INT, token: STRING>>": _tokens_sql("t"),
+        "tl_reading_time(words BIGINT, wpm INT) RETURNS STRING": f"if(coalesce(words, 0) = 0, '00:00', format_string('%02d:%02d', CAST(floor(greatest(1, floor(words / CAST(if(wpm > 0, wpm, {C.READING_WPM}) AS DOUBLE) + 0.5)) / 60) AS BIGINT), CAST(greatest(1, floor(words / CAST(if(wpm > 0, wpm, {C.READING_WPM}) AS DOUBLE) + 0.5)) % 60 AS BIGINT)))",
+        "tl_csv_cell(v STRING, d STRING) RETURNS STRING": """if(contains(v, d) OR v RLIKE '["\\r\\n]', concat('"', replace(v, '"', '""'), '"'), v)""",
         "tl_normalize_word(w STRING) RETURNS STRING": "translate(lower(w), '’ʼ‐‑', '\\'\\'--')",
         "tl_merge_possessive(w STRING) RETURNS STRING": f"if(char_length(w) > 2 AND endswith(w, '\\'s') AND substr(w, 1, char_length(w) - 2) NOT IN ({hosts}), substr(w, 1, char_length(w) - 2), w)",
     }
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    return [head.split("(")[0] for head in bodies]
+    spark.udtf.register("tokenize", F.udtf(Tokenize, returnType="pos int, start int, end int, token string", useArrow=True))
+    return [*[head.split("(")[0] for head in bodies], "tokenize"]

@@ -68,16 +68,37 @@ def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, F.posexplode_outer(lines).alias("pos", "t")).where("pos is not null")
 
 
+def csv_rows(text: Column, delimiter: Column) -> Column:
+    """Rows of a CSV text as arrays of cells, trimmed.
+
+    The whole text is read with its quotes: one opens only where a cell begins, may hold delimiters and line breaks, and a doubled quote within stands for
+    itself. Quoted parts are matched possessively, without recursion, so long cells cost what they weigh.
+    """
+    d = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
+    quoted = F.lit(r'(?:"(?:[^"]++|"")*+(?:"|\z))?+')
+    cell = F.concat(quoted, F.lit("[^"), d, F.lit(r"\r\n]*+"))
+    row = F.concat(F.lit("(?s)"), cell, F.lit("(?:"), d, cell, F.lit(r")*+(?:\r\n|\r|\n|\z)"))
+
+    def value(found: Column) -> Column:
+        inner = F.regexp_extract(found, r'(?s)^"((?:[^"]++|"")*+)', 1)
+        rest = found.substr(F.char_length(inner) + 3, F.char_length(found))
+        return T.trimmed(F.when(found.startswith('"'), F.concat(F.replace(inner, F.lit('""'), F.lit('"')), rest)).otherwise(found))
+
+    return F.transform(F.regexp_extract_all(text, row, F.lit(0)), lambda r: F.transform(F.regexp_extract_all(r, F.concat(F.lit("(?s)"), cell), F.lit(0)), value))
+
+
 def csv_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", delimiter: str | None = None) -> DataFrame:
-    """Rows of clean CSV texts (no line breaks within quotes) as blocks: cells that aren't empty, joined by a space."""
-    lines = F.split(F.regexp_replace(F.col(text_col), "\r\n?", "\n"), "\n", -1)
-    found = docs.select(id_col, lines.alias("lines")).withColumn("d", F.lit(delimiter) if delimiter else T.sniff_delimiter(T.first_lines(F.col(text_col))))
-    rows = found.select(id_col, "d", F.posexplode("lines").alias("row", "line"))
-    pattern = F.concat(F.lit(r'(?<=^|\Q'), F.col("d"), F.lit(r'\E)(?:"(?:[^"]|"")*+"|[^"\Q'), F.col("d"), F.lit(r'\E][^\Q'), F.col("d"), F.lit(r'\E]*+|)(?=\Q'), F.col("d"), F.lit(r'\E|$)'))
-    cells = F.regexp_extract_all("line", pattern, F.lit(0))
-    clean = F.transform(cells, lambda c: T.trimmed(F.when(c.startswith('"'), F.replace(c.substr(F.lit(2), F.char_length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)))
-    text = T.normalized(F.array_join(F.filter(clean, lambda c: c != ""), " "))
-    return rows.select(id_col, "row", text.alias("t")).where("t <> ''")
+    """(id, pos, row, t): the rows of CSV texts as blocks, their cells that aren't empty joined by a space.
+
+    ``row`` is the row's number in its text, empty ones counted. Without a ``delimiter`` the first lines of each text tell it. Null and empty texts, and rows without
+    a filled cell, have no block. A block never leaves its text's row, so nothing is shuffled.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    mark = F.lit(delimiter) if delimiter else T.sniff_delimiter(T.first_lines(text))
+    found = docs.select(F.col(f"`{id_col}`"), text.alias("__text"), mark.alias("__mark"))
+    filled = F.transform(csv_rows(F.col("__text"), F.col("__mark")), lambda cells, i: F.struct(i.alias("row"), T.normalized(F.array_join(F.filter(cells, lambda c: c != ""), " ")).alias("t")))
+    blocks = F.filter(filled, lambda b: b["t"] != "")
+    return found.select(id_col, F.posexplode_outer(blocks).alias("pos", "b")).where("pos is not null").select(id_col, "pos", "b.row", "b.t")
 
 
 def offsets(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -100,3 +100,36 @@ def language(ui: str = "en", table: str = "documents", key: str = "doc_id") -> s
 s AS (SELECT {key}, len(list_filter(w, lambda x: x IN {listed(ENGLISH_HINTS)}))::BIGINT AS en,
   (len(list_filter(w, lambda x: x IN {listed(SPANISH_HINTS)})) + 2 * len(list_filter(w, lambda x: regexp_matches(x, '[ñáéíóú¿¡]'))))::BIGINT AS es FROM k)
 SELECT {key}, en, es, CASE WHEN en = es THEN '{ui}' WHEN es > en THEN 'es' ELSE 'en' END AS language FROM s"""
+
+
+def tokens() -> str:
+    """Places of words: what stands before a word is all words and gaps before it."""
+    return f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS ws, string_split_regex(text, '{WORD}') AS gaps FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS token, unnest(gaps[1:len(ws)]) AS gap, generate_subscripts(ws, 1) AS i FROM t),
+e AS (SELECT doc_id, i, token, sum(length(gap) + length(token)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM w)
+SELECT doc_id, (i - 1)::INT AS pos, (e - length(token))::INT AS start, e::INT AS "end", token FROM e"""
+
+
+def csv_blocks(table: str = "documents", key: str = "doc_id", text: str = "text", delimiter: str | None = None) -> str:
+    """Rows by one expression for each delimiter, then cells of each row."""
+    quoted = '(?:"(?:[^"]|"")*(?:"|\\z))?'
+
+    def rows(d: str, source: str) -> str:
+        d = "\\" + d if d == "|" else d
+        cell = f"{quoted}[^{d}\\r\\n]*"
+        split = f"regexp_extract_all({text}, '(?s){cell}(?:{d}{cell})*(?:\\r\\n|\\r|\\n|\\z)')"
+        return f"SELECT {key}, generate_subscripts(rs, 1) AS i, regexp_extract_all(unnest(rs), '(?s){cell}') AS cells FROM (SELECT {key}, {split} AS rs FROM {source})"
+
+    marks = [(",", "','"), (";", "';'"), ("\\t", "chr(9)"), ("|", "'|'")]
+    sniffed = f"""l AS (SELECT {key}, {text}, string_split_regex({text}[1:20000], '\\r?\\n')[1:20] AS ls FROM {table}),
+m AS (SELECT {key}, unnest([',', ';', chr(9), '|']) AS d, unnest([1, 2, 3, 4]) AS o, ls FROM l),
+c AS (SELECT {key}, d, o, list_filter(list_transform(ls, lambda x: length(x) - length(replace(x, d, ''))), lambda n: n > 0) AS ns FROM m),
+s AS (SELECT {key}, coalesce(arg_min(d, (-score, o)) FILTER (score > 0), ',') AS d FROM (SELECT {key}, d, o, CASE WHEN len(ns) > 0 THEN len(list_filter(ns, lambda n: n = ns[1])) * 10 + ns[1] ELSE 0 END AS score FROM c) GROUP BY {key}),
+j AS (SELECT {key}, {text}, d FROM {table} JOIN s USING ({key})),
+"""
+    parts = [rows(delimiter, table)] if delimiter else [rows(d, f"(SELECT * FROM j WHERE d = {shown})") for d, shown in marks]
+    trim = lambda x: f"regexp_replace({x}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
+    value = f"""CASE WHEN starts_with(c, '"') THEN replace(regexp_extract(c, '(?s)^"((?:[^"]|"")*)', 1), '""', '"') || substr(c, length(regexp_extract(c, '(?s)^"((?:[^"]|"")*)', 1)) + 3) ELSE c END"""
+    joined = f"array_to_string(list_filter(list_transform(cells, lambda c: {trim(value)}), lambda c: c <> ''), ' ')"
+    return f"""WITH {"" if delimiter else sniffed}r AS ({" UNION ALL ".join(parts)}), b AS (SELECT {key}, i, {normal(joined)} AS t FROM r)
+SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS pos, t FROM b WHERE t <> ''"""

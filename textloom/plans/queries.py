@@ -199,6 +199,24 @@ def csv_report_blocks(spark, sf_dir):
     return csv_report.csv_lines(totals, rows, {"range": "All", "headings": "Excluded", "copyright": "Excluded", "toc": "Excluded"})
 
 
+@query(O.csv_blocks())
+def csv_blocks(spark, sf_dir):
+    return B.csv_blocks(_table(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), "t")
+
+
+@query(O.csv_blocks("pages", "page_id", "html", ";"))
+def csv_blocks_pages(spark, sf_dir):
+    """Pages as if they were CSV: their attributes bring quotes, delimiters and line breaks within quotes."""
+    return B.csv_blocks(_table(spark, sf_dir, "pages"), "page_id", "html", ";").select("page_id", F.col("pos").cast("long").alias("pos"), "t")
+
+
+@query(O.tokens())
+def tokenize(spark, sf_dir):
+    """The table function in SQL, beside each document."""
+    T.register(spark)
+    return spark.sql("SELECT doc_id, w.pos, w.start, w.end, w.token FROM {docs} d, LATERAL tokenize(d.text) w", docs=_table(spark, sf_dir))
+
+
 @query("SELECT count(DISTINCT doc_id)::BIGINT AS by_path, count(DISTINCT (source, n_chars))::BIGINT AS by_name FROM documents")
 def dedupe_files(spark, sf_dir):
     files = _table(spark, sf_dir).select(F.col("doc_id").alias("path"), F.col("source").alias("name"), F.col("n_chars").alias("size"), F.lit(0).alias("modified"))
