@@ -1,32 +1,21 @@
-"""PDF: layout of text items into lines and paragraphs, and an adapter for whatever PDF library is installed.
+"""PDF: layout of text items into lines and paragraphs.
 
-The layout works on items (text, x, y, size, width, end of line) of each page. The adapter uses pypdf if it can be
-imported; without it a PDF gives the error ``pdfOpen``.
+The layout works on items (text, x, y, size, width, end of line) of each page, as ``pdf_text`` finds them.
 """
 
 from __future__ import annotations
 
-import io
 import re
 from collections import Counter
 from dataclasses import dataclass
 
 from textloom.sources.model import SPACE, Document, ReadError
+from textloom.sources.readers.pdf_text import Item, page_items
 
 # Fixed values of the layout.
 SAME_LINE, WORD_GAP, LINE_GAP, INDENT, HEADING_SIZE, SHORT_LINE = 0.4, 0.15, 1.75, 1.2, 1.25, 0.6
 
 
-@dataclass
-class Item:
-    text: str
-    x: float
-    y: float
-    size: float
-    width: float = 0.0
-    eol: bool = False
-
-
 @dataclass
 class Line:
     text: str
@@ -59,8 +48,9 @@ def lines_of(items: list[Item], sizes: Counter) -> list[Line]:
     for line in lines:
         line.text = SPACE.sub(" ", line.text).strip(" ")
     lines = [line for line in lines if line.text]
+    longest = max((len(line.text) for line in lines), default=0)
     for line in lines:
-        line.longest = max(len(x.text) for x in lines)
+        line.longest = longest
     return lines
 
 
@@ -113,30 +103,13 @@ def layout(pages: list[list[Item]]) -> Document:
     return doc
 
 
-def items_of(data: bytes) -> list[list[Item]]:
-    try:
-        import pypdf
-    except ImportError as missing:
-        raise ReadError("pdfOpen", "no PDF library is installed") from missing
+def read_pdf(data: bytes) -> Document:
     try:
-        file = pypdf.PdfReader(io.BytesIO(data))
-        if file.is_encrypted and not file.decrypt(""):
-            raise ReadError("pdfPassword")
-        pages = []
-        for page in file.pages:
-            items: list[Item] = []
-
-            def see(text, _, matrix, __, size, items=items):
-                items.append(Item(text.rstrip("\n"), matrix[4], matrix[5], abs(size * matrix[3]), 0.5 * len(text) * abs(size * matrix[0]), text.endswith("\n")))
-
-            page.extract_text(visitor_text=see)
-            pages.append(items)
-        return pages
+        pages = page_items(data)
     except ReadError:
         raise
-    except Exception as error:  # whatever a damaged file makes the library raise
+    except Exception as error:  # whatever a damaged file leads to
         raise ReadError("pdfOpen", str(error)) from error
-
-
-def read_pdf(data: bytes) -> Document:
-    return layout(items_of(data))
+    if not pages:
+        raise ReadError("pdfOpen", "no pages")
+    return layout(pages)
