@@ -133,3 +133,48 @@ j AS (SELECT {key}, {text}, d FROM {table} JOIN s USING ({key})),
     joined = f"array_to_string(list_filter(list_transform(cells, lambda c: {trim(value)}), lambda c: c <> ''), ' ')"
     return f"""WITH {"" if delimiter else sniffed}r AS ({" UNION ALL ".join(parts)}), b AS (SELECT {key}, i, {normal(joined)} AS t FROM r)
 SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS pos, t FROM b WHERE t <> ''"""
+
+
+COPYRIGHT_PAGE = ("Copyright © 2001 by the author", "ISBN 0 00 000000 0", "All rights reserved.")
+EDITION = "First edition, printed in 1999"
+
+
+def _books() -> str:
+    """Documents made up as books, with a section for each part."""
+    entries = lambda n: f"list_transform(ts[1:{n}], lambda t, i: rtrim(left(t, 24)) || ' ' || i)"
+    front = f"CASE WHEN v % 4 <> 0 THEN list_concat(['Contents'], {entries('v % 9')}) ELSE [] END"
+    page = f"CASE v % 3 WHEN 0 THEN {list(COPYRIGHT_PAGE)!r} WHEN 1 THEN ['{EDITION}'] ELSE [] END"
+    back = f"CASE WHEN v % 5 <> 0 THEN list_concat(['Index'], {entries('v % 7')}) ELSE [] END"
+    parts = ", ".join(f"list_transform({p}, lambda t: {{'t': t, 's': {s}}})" for s, p in enumerate((front, page, "list_concat(['Chapter One'], ts)", back)))
+    return f"""v AS (SELECT doc_id, list(t ORDER BY pos) AS ts, length(arg_min(t, pos)) AS v FROM b GROUP BY doc_id),
+c AS (SELECT doc_id, flatten([{parts}]) AS bs FROM v),
+x0 AS (SELECT doc_id, generate_subscripts(bs, 1) - 1 AS pos, unnest(bs).t AS t, unnest(bs).s AS s FROM c)"""
+
+
+def structure(last: str, composed: bool = True) -> str:
+    """Blocks with roles (``r3``) by joins, windows and a recursive walk along contents."""
+    key = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(t), '[.…·_\s-]{2,}\s*[0-9]+\s*$', ''), '\s+[0-9]+\s*$', ''), '[^\p{L}\p{N}]+', ' ', 'g'))"
+    entry = rf"({runs()} <= 14 OR {runs()} <= 25 AND (regexp_matches(t, '(\.{{2,}}|…)\s*[0-9]+\s*$') OR regexp_matches(t, '\s[0-9]{{1,4}}$')))"
+    source = _books() if composed else "x0 AS (SELECT doc_id, pos, t, 0 AS s FROM b)"
+    return rf"""WITH RECURSIVE b AS ({blocks()}), {source},
+x AS MATERIALIZED (SELECT doc_id, pos, t, s, {runs()} AS runs, count(*) OVER (PARTITION BY doc_id) AS n, {found('t', C.TOC_TITLE)} AS is_toc, {found('t', C.INDEX_TITLE)} AS is_index, {key} AS key, {entry} AS entry FROM x0),
+walk AS (SELECT doc_id, pos AS since, pos AS till, []::VARCHAR[] AS seen FROM x WHERE is_toc AND pos < greatest(60, floor(n * 0.3))
+  UNION ALL SELECT w.doc_id, w.since, x.pos, CASE WHEN x.key = '' THEN w.seen ELSE list_append(w.seen, x.key) END FROM walk w JOIN x ON x.doc_id = w.doc_id AND x.pos = w.till + 1
+  WHERE x.pos < w.since + 600 AND NOT list_contains(w.seen, x.key) AND x.entry),
+toc AS (SELECT doc_id, min(since) AS since, arg_min(till, since) AS till FROM (SELECT doc_id, since, max(till) AS till FROM walk GROUP BY ALL) WHERE till - since >= 2 GROUP BY doc_id),
+r1 AS (SELECT x.*, CASE WHEN pos BETWEEN since AND till THEN 'toc' END AS r FROM x LEFT JOIN toc USING (doc_id)),
+h AS (SELECT *, CASE WHEN r IS NULL AND {heading()} THEN 'h' ELSE 'p' END AS k, coalesce(min(CASE WHEN runs > 30 THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n) AS stop,
+  sum((runs <= 3 OR regexp_matches(t, '[0-9]'))::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS listed FROM r1),
+idx AS (SELECT h.doc_id, max(h.pos) AS first, arg_max(h.stop, h.pos) AS stop FROM h JOIN h e ON e.doc_id = h.doc_id AND e.pos = h.stop - 1 WHERE h.is_index AND h.pos >= floor(h.n * 0.6) AND e.listed - h.listed >= 3 GROUP BY h.doc_id),
+r2 AS (SELECT h.doc_id, pos, t, s, k, runs, coalesce(r, CASE WHEN pos >= first AND pos < idx.stop THEN 'index' END) AS r FROM h LEFT JOIN idx USING (doc_id)),
+w AS (SELECT *, sum(runs) OVER (PARTITION BY doc_id ORDER BY pos) - runs AS before, sum(runs) OVER (PARTITION BY doc_id) AS total, {marks('t')} AS m,
+  (pos = 0 OR k = 'h' OR s <> lag(s) OVER (PARTITION BY doc_id ORDER BY pos))::INT AS begins FROM r2),
+g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos) AS seg, greatest(total * 0.25, 1500) AS front, total * 0.9 AS back FROM w),
+seg AS (SELECT doc_id, seg, sum(runs) AS words, min(before) AS seen, any_value(front) AS front, any_value(back) AS back, bool_or(r IS NOT NULL) AS known, string_agg(t, chr(10) ORDER BY pos) || chr(10) AS t FROM g GROUP BY doc_id, seg),
+page AS (SELECT doc_id, seg FROM seg WHERE (seen <= front OR seen >= back) AND words <= 700 AND NOT known AND ({marks('t')} >= 3 OR {marks('t')} = 2 AND {found('t', '©|copyright|all rights reserved')})),
+marked AS (SELECT doc_id, pos, m, before, runs, (pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 3) IS NOT TRUE AS apart FROM g WHERE before <= front AND r IS NULL AND runs <= 120 AND m > 0 AND doc_id NOT IN (SELECT doc_id FROM page)),
+island AS (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM marked),
+cluster AS (SELECT doc_id, min(pos) AS a, max(pos) AS z FROM island GROUP BY doc_id, i HAVING sum(m) >= 2 AND max(before + runs) - min(before) <= 700),
+r3 AS (SELECT g.doc_id, g.pos, g.k, CASE WHEN page.seg IS NOT NULL THEN 'copyright' WHEN g.r IS NULL AND cluster.a IS NOT NULL THEN 'copyright' ELSE g.r END AS r
+  FROM g LEFT JOIN page ON page.doc_id = g.doc_id AND page.seg = g.seg LEFT JOIN cluster ON cluster.doc_id = g.doc_id AND g.pos BETWEEN cluster.a AND cluster.z)
+{last}"""

@@ -255,13 +255,40 @@ def lexicon_build(spark, sf_dir):
     return built.select("word", F.array_join(F.transform("classes", lambda c: F.concat(c["cls"], F.when(c["rare"], "?").otherwise(""))), ",").alias("classes"))
 
 
-@query()
+@query(O.structure("SELECT doc_id, count(*) FILTER (WHERE k = 'h')::BIGINT AS headings, count(*) FILTER (WHERE r = 'copyright')::BIGINT AS copyright, count(*) FILTER (WHERE r IN ('toc', 'index'))::BIGINT AS toc FROM r3 GROUP BY doc_id", composed=False))
 def structure_roles(spark, sf_dir):
-    """Roles and headings over whole documents; SQL has no running sets."""
+    """Roles and headings over whole documents."""
     whole = roles.with_structure(B.with_blocks(_table(spark, sf_dir).select("doc_id", "text")))
     return report.structure_counts(B.exploded(whole), "doc_id")
 
 
+def _books(spark, sf_dir) -> DataFrame:
+    """``documents`` made up as books: contents, copyright page, chapter and index round the lines of each, by the length of its first line."""
+    docs = B.with_blocks(_table(spark, sf_dir).select("doc_id", "text"))
+    lines = F.transform("blocks", lambda b: b["t"])
+    docs = docs.select("doc_id", F.explode(F.array(lines)).alias("ts")).where("size(ts) > 0").withColumn("v", F.char_length(F.col("ts")[0]))
+    entries = lambda n: F.transform(F.slice("ts", F.lit(1), n), lambda t, i: F.concat(F.rtrim(F.left(t, F.lit(24))), F.lit(" "), (i + 1).cast("string")))
+    fixed = lambda *texts: F.array(*map(F.lit, texts))
+    none = F.expr("cast(array() as array<string>)")
+    front = F.when(F.col("v") % 4 != 0, F.concat(fixed("Contents"), entries(F.col("v") % 9))).otherwise(none)
+    page = F.when(F.col("v") % 3 == 0, fixed(*O.COPYRIGHT_PAGE)).when(F.col("v") % 3 == 1, fixed(O.EDITION)).otherwise(none)
+    back = F.when(F.col("v") % 5 != 0, F.concat(fixed("Index"), entries(F.col("v") % 7))).otherwise(none)
+    parts = [(front, 0), (page, 1), (F.concat(fixed("Chapter One"), F.col("ts")), 2), (back, 3)]
+    blocks = lambda texts, s: F.transform(texts, lambda t: F.struct(t.alias("t"), F.lit("p").alias("k"), F.lit(None).cast("string").alias("r"), F.lit(s).alias("s")))
+    return docs.select("doc_id", F.concat(*[blocks(p, s) for p, s in parts]).alias("blocks"))
+
+
+@query(O.structure("SELECT doc_id, pos::BIGINT AS pos, k, coalesce(r, 'body') AS role FROM r3"))
+def index_toc_copyright(spark, sf_dir):
+    """The role and kind of every block of the made-up books."""
+    return B.exploded(roles.with_structure(_books(spark, sf_dir))).select("doc_id", F.col("pos").cast("long").alias("pos"), "k", F.coalesce("r", F.lit("body")).alias("role"))
+
+
+@query(O.structure("SELECT doc_id, coalesce(r, 'body') AS role, count(*)::BIGINT AS blocks FROM r3 GROUP BY ALL"))
+def role_counts(spark, sf_dir):
+    return report.role_counts(B.exploded(roles.with_structure(_books(spark, sf_dir))), "doc_id")
+
+
 @query()
 def html_blocks(spark, sf_dir):
     return B.exploded(markup.html_to_blocks(_table(spark, sf_dir, "pages").select("page_id", "html")), "page_id")
