@@ -247,6 +247,30 @@ def test_joined_class_names_within_an_article_go(cls):
     assert main_text.extract(page) == f"Title\n{LONG}\nThe end."
 
 
+@pytest.mark.parametrize("name", ["commentary", "cookie-recipe", "notice-of-award", "newsletter", "sponsored copyright"])
+def test_main_text_in_what_a_word_frames(name):
+    """A word in a class takes no article away; frames within and beside it stay frames."""
+    menu = "<ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul>"
+    page = f"<html><body><nav>{menu}</nav><div class='{name}'><h1>Title here</h1><p>{LONG}</p><p>{LONG} Again.</p><div class='comments'><p>{LONG} I like it.</p></div></div><footer><p>{LONG} All rights.</p></footer></body></html>"
+    assert main_text.extract(page) == f"Title here\n{LONG}\n{LONG} Again."
+
+
+def test_main_text_sections_by_name():
+    page = f"<body><article><h1>Title</h1><p>{LONG}</p><section id='discussion'><h2>Discussion</h2><p>{LONG} We discuss.</p></section><section class='comments'><h2>Comments</h2><p>{LONG} Nice.</p></section></article></body>"
+    assert main_text.extract(page) == f"Title\n{LONG}\nDiscussion\n{LONG} We discuss."
+
+
+@pytest.mark.parametrize("name", ["responses", "privacy-bar", "comment-list", "cookie-consent", "newsletter-signup"])
+def test_main_text_leaves_frames_out(name):
+    for article in (f"<article><p>{LONG}</p></article>", f"<div class='text'><p>{LONG}</p></div>", f"<div><p>{LONG}</p></div>"):
+        assert main_text.extract(f"<body>{article}<div class='{name}'><p>{LONG} A reader says, or a notice.</p><p>{LONG} Another.</p></div></body>") == LONG
+
+
+def test_main_text_of_deeply_framed_pages():
+    page = "<div class='comment'>" * 20_000 + f"<p>{LONG}</p>"
+    assert main_text.extract(page) in ("", LONG)
+
+
 def test_main_text_of_empty_tables_and_repeated_rows(spark):
     pages = spark.createDataFrame([(1, "u", f"<article><p>{LONG}</p></article>", "x")] * 2 + [(None, None, None, "y")], "page_id long, url string, html string, text string")
     assert sorted(r["text"] for r in main_text.main_text(pages).collect()) == ["", LONG, LONG]

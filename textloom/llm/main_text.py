@@ -27,9 +27,9 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _FRAME = frozenset("nav header footer aside form menu dialog button fieldset".split())
 _MAIN = frozenset("article main".split())
 # Words in class, id and role that name what is not the article, and what is.
-_FRAME_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus footer form gdpr header masthead menu menubar meta modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split())
+_FRAME_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus footer form gdpr header masthead menu menubar meta modal nav navbar navigation newsletter notice notices notification pagination popup privacy promo promoted related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split())
 # Those that also stand on what holds an article: there the text decides. And beginnings of joined words.
-_WEAK_WORDS = frozenset("header meta related reply replies search share sharing social sponsor tags widget".split())
+_WEAK_WORDS = frozenset("discussion header meta related reply replies search share sharing social sponsor tags widget".split())
 _FRAME_BEGINNINGS = ("adbanner", "adblock", "adbox", "adslot", "adspace", "adunit", "advert", "comment", "cookie", "navbar", "navlist", "newsletter", "sidebar", "sponsor")
 _MAIN_WORDS = frozenset("article articlebody content entry main maincontent post story text".split())
 
@@ -39,6 +39,10 @@ _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[\t-\r\x1c-\x20\x85\xa0  -     　]+")
 
 FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "framed", "article", "heading", "listed")  # framed: 0 no, 1 by a weak word alone, 2 yes
+#: A block of prose has so many words at least and less of them in links.
+PROSE_WORDS, PROSE_LINKS = 10, 0.3
+#: A subtree in an article that a weak word frames is no frame if it holds so much prose, and mostly prose.
+WEAK_PROSE, WEAK_SHARE = 15, 0.6
 # The labelled table. Shapes of blocks (words, link density, framed, in an article, heading, list item) ...
 _FRAMED = ((1, 1.0, 2, 0, 0, 1), (3, 0.0, 2, 0, 1, 0), (9, 0.0, 2, 0, 0, 0), (14, 0.3, 2, 0, 0, 0), (60, 0.0, 2, 0, 0, 0), (30, 0.3, 2, 1, 0, 0), (5, 0.0, 2, 1, 1, 0), (45, 0.0, 2, 1, 0, 0), (2, 1.0, 2, 1, 0, 1))
 _WEAKLY = ((1, 1.0, 1, 0, 0, 1), (3, 0.0, 1, 0, 1, 0), (9, 0.0, 1, 0, 0, 0), (14, 0.3, 1, 0, 0, 0), (9, 0.5, 1, 1, 0, 0), (5, 0.0, 1, 1, 1, 0), (2, 1.0, 1, 1, 0, 1))
@@ -114,6 +118,56 @@ def _marks(name: str, attrs: str) -> tuple[bool, int, bool]:
     return unseen, frame, main
 
 
+class _Frames:
+    """Elements that frame what they hold: each knows the one around it, and what prose it holds decides whether it stays a frame.
+
+    A word in a class is a hint, no proof. Where a page has neither a marked article nor prose outside its frames, the first of those with much of it holds the article. A weakly framed
+    subtree of an article that is mostly prose belongs to the article. Frames by their element alone always stay.
+    """
+
+    def __init__(self):
+        self.level, self.by_word, self.around, self.in_article = [0], [False], [0], [False]
+
+    def enter(self, level: int, by_word: bool, around: int, in_article: bool) -> int:
+        for values, value in ((self.level, level), (self.by_word, by_word), (self.around, around), (self.in_article, in_article)):
+            values.append(value)
+        return len(self.level) - 1
+
+    def _effective(self) -> list[int]:
+        out = [0]
+        for i in range(1, len(self.level)):
+            out.append(max(self.level[i], out[self.around[i]]))
+        return out
+
+    def settled(self, found: list[tuple]) -> list[tuple[int, bool]]:
+        """(level, whether it holds the article after all) of each frame, given the blocks (text, words, link density, frame, article, ...)."""
+        holder = 0
+        words, prose = [0] * len(self.level), [0] * len(self.level)
+        for _, n, links, frame, *_ in found:
+            words[frame] += n
+            prose[frame] += n if n >= PROSE_WORDS and links < PROSE_LINKS else 0
+        own = list(prose)
+        for i in reversed(range(1, len(self.level))):  # what a weak frame holds belongs to the one around it too
+            if self.level[i] < 2:
+                prose[self.around[i]] += prose[i]
+                words[self.around[i]] += words[i]
+        before = self._effective()
+        marked = any(article and before[frame] < 2 for _, _, _, frame, article, *_ in found)
+        if not marked and sum(n for n, level in zip(own, before) if level < 2) < PROSE_WORDS:
+            held = [i for i in range(1, len(self.level)) if self.level[i] == 2 and self.by_word[i] and before[self.around[i]] < 2 and prose[i] >= PROSE_WORDS]
+            if held:
+                most = max(prose[i] for i in held)
+                holder = next(i for i in held if prose[i] * 4 >= most)
+                self.level[holder] = 0
+        for i in range(1, len(self.level)):
+            if self.level[i] == 1 and self.in_article[i] and prose[i] >= WEAK_PROSE and prose[i] >= WEAK_SHARE * words[i]:
+                self.level[i] = 0
+        inside = [False]
+        for i in range(1, len(self.level)):
+            inside.append(i == holder or inside[self.around[i]])
+        return list(zip(self._effective(), inside))
+
+
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool, bool]]:
     """(text, words, link density, framed, in article, heading, list item) of each text block, in page order."""
     out: list = []
@@ -121,7 +175,8 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool, bool]]:
     linked: list[int] = [0]
     stack: list[tuple[str, tuple]] = []  # element, state before it
     opened: Counter[str] = Counter()
-    state = (False, 0, False, False, False, False)  # unseen, framed, article, heading, listed, linked
+    frames = _Frames()
+    state = (False, 0, False, False, False, False)  # unseen, innermost frame, article, heading, listed, linked
 
     def flush() -> None:
         joined = _SPACE.sub(" ", "".join(text)).strip(" ")
@@ -177,12 +232,14 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool, bool]]:
                     break
         stack.append((name, state))
         opened[name] += 1
-        state = (state[0] or unseen, max(state[1], frame) * (not (main and name in _MAIN and not state[2])), state[2] or main, state[3] or name in ("h1", "h2", "h3", "h4", "h5", "h6"), state[4] or name == "li", state[5] or name == "a")
+        inner = frames.enter(frame, name not in _FRAME, state[1], state[2]) if frame else state[1]
+        state = (state[0] or unseen, 0 if main and name in _MAIN and not state[2] else inner, state[2] or main, state[3] or name in ("h1", "h2", "h3", "h4", "h5", "h6"), state[4] or name == "li", state[5] or name == "a")
         if name in _RAW:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             at = close.start() if close else end
     flush()
-    return out
+    level = frames.settled(out)
+    return [(text, words, links, level[frame][0], article or level[frame][1], *rest) for text, words, links, frame, article, *rest in out]
 
 
 def extract(page: str) -> str:
