@@ -150,3 +150,78 @@ def test_tokenize_beside_other_columns(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert spark.sql("SELECT tl_reading_time(238, 238) a, tl_reading_time(NULL, 200) b, tl_csv_cell('a,b', ',') c").first() == ("00:01", "00:00", '"a,b"')
+
+
+def test_clitic_bases(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from textloom.functions import classes as K
+
+    def plain_bases(word):
+        plain = lambda t: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if not "̀" <= c <= "ͯ"))
+        out, removed = [], ""
+        for _ in range(3):
+            cut = next((c for c in ("nos", "las", "los", "les", "me", "te", "se", "os", "lo", "la", "le") if word.endswith(c)), None)
+            if cut is None or len(word) - len(cut) < 2:
+                break
+            word, removed = word[: -len(cut)], cut + removed
+            for form in (word, word + "s") if removed.startswith("nos") else (word,):
+                out += [form, plain(form)]
+        return list(dict.fromkeys(out))
+
+    words = ["dímelo", "hacerlo", "diciéndole", "vámonos", "dándoselos", "lo", "alo", "ármelo", "señalándosela", "mesa", "", "nos", "xxnos", "quédeseme", "pingüinolas", "ñoñosela", "ándenselo", "dános"]
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {r["word"]: r["b"] for r in frame.select("word", K.clitic_bases(F.col("word")).alias("b")).collect()}
+    assert got == {w: plain_bases(w) for w in words}
+    lexicon = spark.createDataFrame([("decir", [("verbs", False)]), ("vamos", [("verbs", False)]), ("di", [("verbs", False)]), ("mesa", [("nouns", False)]), ("haz", [("verbs", True)])], "word string, classes array<struct<cls:string,rare:boolean>>")
+    out = K.with_classes(spark.createDataFrame([(w,) for w in ["dímelo", "vámonos", "decirlos", "mesa", "hazlo", "rápidamente"]], "word string"), lexicon, "es")
+    assert {r["word"]: r["classes"] for r in out.collect()} == {"dímelo": ["verbs"], "vámonos": ["verbs"], "decirlos": ["verbs"], "mesa": ["nouns"], "hazlo": ["other"], "rápidamente": ["adverbs"]}
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_formats(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.functions import formats as L
+
+    rows = spark.createDataFrame([(None,), (0,), (999,), (1000,), (1023,), (1024,), (1536,), (10_239,), (10_240,), (1_048_575,), (1_048_576,), (1_500_000_000,), (1 << 44,)], "n long")
+    got = [tuple(r) for r in rows.select(*[f(F.col("n"), x) for f in (L.whole, L.size) for x in ("en", "es")]).collect()]
+    assert got[:4] == [(None,) * 4, ("0", "0", "0 B", "0 B"), ("999", "999", "999 B", "999 B"), ("1,000", "1.000", "1000 B", "1000 B")]
+    assert [r[2] for r in got[4:]] == ["1023 B", "1 KB", "1.5 KB", "10 KB", "10 KB", "1,024 KB", "1 MB", "1.4 GB", "16,384 GB"]
+    assert [r[3] for r in got[4:]] == ["1023 B", "1 KB", "1,5 KB", "10 KB", "10 KB", "1024 KB", "1 MB", "1,4 GB", "16.384 GB"]
+    shares = spark.createDataFrame([(12.345678,), (0.009999,), (0.01,), (100.0,), (None,)], "p double")
+    assert [tuple(r) for r in shares.select(L.share(F.col("p")), L.share(F.col("p"), "es")).collect()] == [("12.35%", "12,35 %"), ("0.0100%", "0,0100 %"), ("0.01%", "0,01 %"), ("100.00%", "100,00 %"), (None, None)]
+
+
+def test_named_files(spark, tmp_path):
+    from textloom.sources import export
+
+    rows = [(name, i, f"line {i} é") for name in ["a", "b/c", "b:c", "..", "x" * 300, None] for i in range(5)] + [("empty line", 0, None)]
+    lines = spark.createDataFrame(rows, "doc_id string, line_no int, line string").repartition(6)
+
+    def shown():
+        return {str(p.relative_to(tmp_path / "out")): p.read_bytes().decode("utf-8") for p in sorted((tmp_path / "out").rglob("*")) if p.is_file()}
+
+    export.write_files(lines, str(tmp_path / "out"))
+    got = shown()
+    body = "﻿" + "".join(f"line {i} é\r\n" for i in range(5))
+    assert len(got) == 7 and all(k.startswith("part-") for k in got) and sorted(got.values()) == sorted([body] * 6 + ["﻿\r\n"])
+    assert not (tmp_path / "out" / "_temporary").exists() or not any((tmp_path / "out" / "_temporary").iterdir())
+    export.write_files(lines.where("doc_id = 'a'"), str(tmp_path / "out"), mode="append")
+    assert len(shown()) == 8
+    export.write_files(lines.where("doc_id = 'a'"), str(tmp_path / "out"))
+    assert list(shown().values()) == [body] and next(iter(shown())).endswith("/a.csv")
+    before = shown()
+    try:
+        from pyspark.sql import functions as F
+
+        bad = lines.withColumn("line", F.when(F.col("line_no") == 4, F.raise_error("stop")).otherwise(F.col("line")))
+        export.write_files(bad, str(tmp_path / "out"))
+        raise AssertionError("no error")
+    except Exception as error:
+        assert "stop" in str(error)
+    assert shown() == before
+    export.write_files(lines.limit(0), str(tmp_path / "out2"))
+    assert (tmp_path / "out2").is_dir()

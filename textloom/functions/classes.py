@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,23 +37,42 @@ def fallback_classes(word: Column, language: str = "en") -> Column:
     return F.array(F.coalesce(function_class(word, language), F.lit("other")))
 
 
-def _plain(text: str) -> str:
-    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if not "\u0300" <= c <= "\u036f"))
+@functools.cache
+def _accented() -> tuple[str, str]:
+    """Characters with marks over or under them and the same without, by Unicode's own decomposition."""
+    out = {}
+    for c in map(chr, range(0xC0, 0x1F00)):
+        parts = unicodedata.normalize("NFD", c)
+        plain = unicodedata.normalize("NFC", "".join(x for x in parts if not "\u0300" <= x <= "\u036f"))
+        if plain != c and len(plain) == 1:
+            out[c] = plain
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(out) + marks, "".join(out.values())
 
 
-def clitic_bases(word: str) -> list[str]:
-    """Forms that are left when up to three attached pronouns are cut from a Spanish verb."""
-    out, removed = [], ""
-    for _ in range(3):
-        # The first ending that fits: a longer one is found before one it ends in.
-        cut = next((c for c in sorted(_CLITICS, key=len, reverse=True) if word.endswith(c)), None)
-        if cut is None or len(word) - len(cut) < 2:
-            break
-        word, removed = word[: -len(cut)], cut + removed
-        base = unicodedata.normalize("NFC", word)
-        for form in (base, base + "s") if removed.startswith("nos") else (base,):
-            out += [form, _plain(form)]
-    return list(dict.fromkeys(out))
+def unaccented(word: Column) -> Column:
+    """A word without accents; marks that stand alone go."""
+    return F.translate(word, *_accented())
+
+
+def clitic_bases(word: Column) -> Column:
+    """Forms (an array) that are left when up to three attached pronouns are cut from a Spanish verb, the longest that fits first.
+
+    Each with its accents and without, and after ``nos`` with the s that it swallows. Words are composed characters (NFC).
+    """
+    ending = "(" + "|".join(sorted(_CLITICS, key=len, reverse=True)) + r")\z"
+
+    def cut(state: Column, _: Column) -> Column:
+        last = F.regexp_extract(state["base"], ending, 0)
+        base = state["base"].substr(F.lit(1), F.char_length(state["base"]) - F.char_length(last))
+        removed = F.concat(last, state["removed"])
+        swallowed = F.when(removed.startswith("nos"), F.array(F.concat(base, F.lit("s")))).otherwise(F.expr("cast(array() as array<string>)"))
+        forms = F.flatten(F.transform(F.concat(F.array(base), swallowed), lambda form: F.array(form, unaccented(form))))
+        more = F.struct(base.alias("base"), removed.alias("removed"), F.array_union(state["forms"], forms).alias("forms"))
+        return F.when((last != "") & (F.char_length(base) >= 2), more).otherwise(state)
+
+    start = F.struct(word.alias("base"), F.lit("").alias("removed"), F.expr("cast(array() as array<string>)").alias("forms"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(3)), start, cut)["forms"]
 
 
 def with_classes(words: DataFrame, lexicon: DataFrame | None, language: str = "en", word_col: str = "word") -> DataFrame:
@@ -80,9 +100,8 @@ def with_classes(words: DataFrame, lexicon: DataFrame | None, language: str = "e
         out = look_up(out, F.when(word.endswith("'s"), word.substr(F.lit(1), F.char_length(word) - 2)), "__base")
         derived = F.when(word.endswith("n't"), fixed("verbs")).when(F.col("__base").isNotNull(), F.col("__base"))
     else:
-        bases = F.udf(clitic_bases, "array<string>", useArrow=True)
         missed = out.where(F.col("__hit").isNull()).select(word_col).distinct()
-        verbal = missed.select(word_col, F.explode(bases(word)).alias("__verb")).join(verbs, "__verb").select(F.col(word_col).alias("__clitic")).distinct()
+        verbal = missed.select(word_col, F.explode(clitic_bases(word)).alias("__verb")).join(verbs, "__verb").select(F.col(word_col).alias("__clitic")).distinct()
         out = out.join(verbal, word == F.col("__clitic"), "left")
         derived = F.when(word.endswith("mente") & (F.char_length(word) > 7), fixed("adverbs")).when(F.col("__clitic").isNotNull(), fixed("verbs"))
     tail = function_class(last, language)

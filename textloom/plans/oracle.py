@@ -178,3 +178,45 @@ cluster AS (SELECT doc_id, min(pos) AS a, max(pos) AS z FROM island GROUP BY doc
 r3 AS (SELECT g.doc_id, g.pos, g.k, CASE WHEN page.seg IS NOT NULL THEN 'copyright' WHEN g.r IS NULL AND cluster.a IS NOT NULL THEN 'copyright' ELSE g.r END AS r
   FROM g LEFT JOIN page ON page.doc_id = g.doc_id AND page.seg = g.seg LEFT JOIN cluster ON cluster.doc_id = g.doc_id AND g.pos BETWEEN cluster.a AND cluster.z)
 {last}"""
+
+
+LEXICON_BUILD = """WITH f AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, lang FROM documents), t AS (SELECT word, CASE lang WHEN 'en' THEN 'nouns' WHEN 'fr' THEN 'verbs' WHEN 'de' THEN 'adjectives' ELSE 'adverbs' END AS cls, count(*) AS n FROM f GROUP BY ALL),
+s AS (SELECT word, sum(n) AS total FROM t GROUP BY word)
+SELECT word, string_agg(cls || CASE WHEN total >= 5 AND n / total::DOUBLE < 0.05 THEN '?' ELSE '' END, ',' ORDER BY list_position(['nouns', 'verbs', 'adjectives', 'adverbs'], cls)) AS classes FROM t JOIN s USING (word) GROUP BY word"""
+
+
+def lexicon_classes_es() -> str:
+    """Spanish look-ups: the word, -mente, attached pronouns, the last part of a hyphened word."""
+    ending = "(nos|las|los|les|me|te|se|os|lo|la|le)$"
+    cuts = "".join(
+        f"""s{i} AS (SELECT word, left(base, length(base) - length(cut)) AS base, cut || removed AS removed FROM (SELECT *, regexp_extract(base, '{ending}') AS cut FROM s{i - 1}) WHERE cut <> '' AND length(base) - length(cut) >= 2),
+"""
+        for i in (1, 2, 3)
+    )
+    last = "string_split(w.word, '-')[-1]"
+    return f"""WITH lex AS (SELECT word, string_split(classes, ',') AS c FROM ({LEXICON_BUILD})), b AS ({blocks()}), w AS (SELECT DISTINCT word FROM ({words('')})),
+s0 AS (SELECT word, word AS base, '' AS removed FROM w WHERE word NOT IN (SELECT word FROM lex)),
+{cuts}cut AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3), form AS (SELECT word, base AS f FROM cut UNION ALL SELECT word, base || 's' FROM cut WHERE starts_with(removed, 'nos')),
+verbal AS (SELECT DISTINCT word FROM (SELECT word, f FROM form UNION ALL SELECT word, strip_accents(f) FROM form) WHERE f IN (SELECT word FROM lex WHERE list_contains(c, 'verbs'))),
+k AS (SELECT w.word, {function_class('w.word', 'es')} AS fn, coalesce(lex.c, CASE WHEN ends_with(w.word, 'mente') AND length(w.word) > 7 THEN ['adverbs'] WHEN verbal.word IS NOT NULL THEN ['verbs'] END,
+  CASE WHEN contains(w.word, '-') THEN CASE WHEN {function_class(last, 'es')} IS NOT NULL THEN [{function_class(last, 'es')}] ELSE tail.c END END, []) AS c
+  FROM w LEFT JOIN lex USING (word) LEFT JOIN verbal USING (word) LEFT JOIN lex tail ON contains(w.word, '-') AND tail.word = {last}),
+m AS (SELECT word, fn, list_transform(list_filter(c, lambda x: NOT ends_with(x, '?') OR (fn IS NULL AND x IN ('nouns?', 'verbs?', 'adjectives?', 'adverbs?'))), lambda x: replace(x, '?', '')) AS c FROM k),
+a AS (SELECT word, list_filter(list_concat(c, CASE WHEN fn IS NULL THEN [] ELSE [fn] END), lambda x: NOT (coalesce(fn, '') = 'articles' AND x = 'determiners') AND NOT (coalesce(fn, '') = 'numbers' AND x = 'nouns')) AS c FROM m)
+SELECT word, CASE WHEN len(c) = 0 THEN 'other' ELSE array_to_string(list_filter({C.CLASSES[:-1]!r}, lambda x: list_contains(c, x)), ',') END AS classes FROM a"""
+
+
+def formats() -> str:
+    """Numbers by DuckDB's own formatting; the Spanish marks take the places of the English ones."""
+    es = lambda x: f"translate({x}, ',.', '.,')"
+    whole = "format('{:,}', n)"
+    share = "CASE WHEN p >= 0.01 THEN printf('%.2f', round(p, 2)) ELSE printf('%.4f', round(p, 4)) END"
+
+    def size(group) -> str:
+        unit = lambda power, name: f"CASE WHEN z / {1024**power}.0 < 10 THEN @(regexp_replace(printf('%.1f', round(z / {1024**power}.0::DOUBLE, 1)), '\\.0$', '')) ELSE {group(f'floor(z / {1024**power}.0 + 0.5)::BIGINT')} END || ' {name}'"
+        return f"CASE WHEN z < 1024 THEN z || ' B' WHEN z < {1024**2} THEN {unit(1, 'KB')} WHEN z < {1024**3} THEN {unit(2, 'MB')} ELSE {unit(3, 'GB')} END"
+
+    en_size = size(lambda v: f"format('{{:,}}', {v})").replace("@(", "(")
+    es_size = size(lambda v: f"CASE WHEN {v} >= 10000 THEN {es(f"format('{{:,}}', {v})")} ELSE ({v})::VARCHAR END").replace("@(", "translate(").replace("'\\.0$', '')", "'\\.0$', ''), '.', ','")
+    return f"""WITH d AS (SELECT doc_id, n_chars AS n, n_chars::DECIMAL(15,0) * 0.001::DECIMAL(4,3) AS p, n_chars * n_chars AS z FROM documents)
+SELECT doc_id, {whole} AS whole_en, {share} || '%' AS share_en, {en_size} AS size_en, {es(whole)} AS whole_es, {es(share)} || ' %' AS share_es, {es_size} AS size_es FROM d"""

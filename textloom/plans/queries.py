@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom import constants as C
 from textloom.functions import classes as K
+from textloom.functions import formats as formats_
 from textloom.functions import text as T
 from textloom.operators import blocks as B
 from textloom.operators import csv_report, report, roles
@@ -245,13 +246,16 @@ def lexicon_classes(spark, sf_dir):
     return K.with_classes(distinct, _seed_lexicon(spark)).select("word", F.array_join("classes", ",").alias("classes"))
 
 
-@query("""WITH f AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, lang FROM documents), t AS (SELECT word, CASE lang WHEN 'en' THEN 'nouns' WHEN 'fr' THEN 'verbs' WHEN 'de' THEN 'adjectives' ELSE 'adverbs' END AS cls, count(*) AS n FROM f GROUP BY ALL),
-s AS (SELECT word, sum(n) AS total FROM t GROUP BY word)
-SELECT word, string_agg(cls || CASE WHEN total >= 5 AND n / total::DOUBLE < 0.05 THEN '?' ELSE '' END, ',' ORDER BY list_position(['nouns', 'verbs', 'adjectives', 'adverbs'], cls)) AS classes FROM t JOIN s USING (word) GROUP BY word""")
-def lexicon_build(spark, sf_dir):
+def _lexicon_counts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Words of ``documents`` with a class for each language, and how often they occur in it."""
     cls = F.when(F.col("lang") == "en", "nouns").when(F.col("lang") == "fr", "verbs").when(F.col("lang") == "de", "adjectives").otherwise("adverbs")
-    counts = _table(spark, sf_dir).select(cls.alias("cls"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("word", "cls").agg(F.count(F.lit(1)).alias("n"))
-    built = L.build(counts.select("word", "cls"), counts)
+    counts = _table(spark, sf_dir).select(cls.alias("cls"), F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).where("word is not null").groupBy("word", "cls").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("word", "cls"), counts
+
+
+@query(O.LEXICON_BUILD)
+def lexicon_build(spark, sf_dir):
+    built = L.build(*_lexicon_counts(spark, sf_dir))
     return built.select("word", F.array_join(F.transform("classes", lambda c: F.concat(c["cls"], F.when(c["rare"], "?").otherwise(""))), ",").alias("classes"))
 
 
@@ -289,6 +293,22 @@ def role_counts(spark, sf_dir):
     return report.role_counts(B.exploded(roles.with_structure(_books(spark, sf_dir))), "doc_id")
 
 
+@query(O.lexicon_classes_es())
+def lexicon_classes_es(spark, sf_dir):
+    """Word types in Spanish by a lexicon that is built from ``documents`` itself: verbs with pronouns attached among them."""
+    built = L.build(*_lexicon_counts(spark, sf_dir))
+    distinct = report.words(_blocks(spark, sf_dir)).distinct()
+    return K.with_classes(distinct, built, "es").select("word", F.array_join("classes", ",").alias("classes"))
+
+
+@query(O.formats())
+def formats(spark, sf_dir):
+    """Counts, shares and sizes of documents as either language shows them."""
+    n = F.col("n_chars")
+    shown = [f(x, language).alias(f"{name}_{language}") for language in ("en", "es") for name, f, x in (("whole", formats_.whole, n), ("share", formats_.share, n / 1000), ("size", formats_.size, n * n))]
+    return _table(spark, sf_dir).select("doc_id", *shown)
+
+
 @query()
 def html_blocks(spark, sf_dir):
     return B.exploded(markup.html_to_blocks(_table(spark, sf_dir, "pages").select("page_id", "html")), "page_id")
