@@ -225,3 +225,42 @@ def test_named_files(spark, tmp_path):
     assert shown() == before
     export.write_files(lines.limit(0), str(tmp_path / "out2"))
     assert (tmp_path / "out2").is_dir()
+
+
+def test_pages_together_are_the_view(spark):
+    from textloom.operators import report
+
+    words = ["a", "b", "É", "é", "e", "z-z", "Z", "ñ", "n", "'"] + [f"w{i}" for i in range(40)]
+    counted = spark.createDataFrame([(w, 1 + len(w) % 3) for w in words], "word string, count long").repartition(5)
+    whole = [(r["word"], r["count"]) for r in report.view(counted).select("word", "count").collect()]
+    got, after = [], None
+    while rows := report.page(counted, 7, after).collect():
+        got += [(r["word"], r["count"]) for r in rows]
+        after = (rows[-1]["count"], rows[-1]["word"])
+    assert got == whole and len(got) == len(words)
+    plan = report.page(counted, 7, (2, "n"))._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+    assert report.max_share(spark.createDataFrame([], "word string, pct double")).first()["max_pct"] == 1.0
+
+
+def test_settings_store(spark, tmp_path):
+    from textloom.operators import report
+
+    path = str(tmp_path / "deep" / "settings.json")
+    assert report.load_settings(spark, path) == report.Settings()
+    for mine in (report.Settings(300, "es", ("nouns", "other")), report.Settings(90, "en", ("verbs",))):
+        report.save_settings(spark, mine, path)
+        assert report.load_settings(spark, path) == mine
+    assert [p.name for p in (tmp_path / "deep").iterdir() if not p.name.startswith(".")] == ["settings.json"]
+    for damaged, want in (("", report.Settings()), ("{", report.Settings()), ("[1]", report.Settings()), ('{"wordsPerMinute": "x", "language": 5, "hiddenWordClasses": ["nouns", 3, "nothing"]}', report.Settings(238, "en", ("nouns",))), ('{"wordsPerMinute": 9999}', report.Settings()), ('{"wordsPerMinute": 99.5, "settingsVersion": 1}', report.Settings(100))):
+        (tmp_path / "deep" / ".settings.json.crc").unlink(missing_ok=True)
+        (tmp_path / "deep" / "settings.json").write_text(damaged)
+        assert report.load_settings(spark, path) == want, damaged
+
+
+def test_the_last_group_of_a_word_holds(spark):
+    from textloom.sources import lexicon
+
+    text = "#nouns\nrun\nsee\n#verbs,nouns?\nrun\n#adverbs\nsee\n"
+    got = {r["word"]: [c["cls"] for c in r["classes"]] for r in lexicon.parse_grouped(spark.createDataFrame([(text,)], "value string")).collect()}
+    assert got == {"run": ["verbs", "nouns"], "see": ["adverbs"]}

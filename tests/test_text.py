@@ -96,4 +96,4 @@ def test_range_and_settings(spark):
     got = report.select_blocks(blocks, report.ReportConfig(report.Point(1, 5), report.Point(3, 6))).orderBy("pos")
     assert [r["t"] for r in got.collect()] == ["beta", "gamma"]
     assert report.select_blocks(blocks, report.ReportConfig(include_headings=True)).count() == 2
-    assert report.Settings(5, "fr", ("nouns", "no")) == report.Settings(50, "en", ("nouns",))
+    assert report.Settings(5, "fr", ("nouns", "no")) == report.Settings(238, "en", ("nouns",))  # out of bounds: the default, not the nearest bound

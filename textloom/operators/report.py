@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import math
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom import constants as C
@@ -16,6 +19,10 @@ ENGLISH_HINTS = "the and of to a in is that it was he for with as his on be at b
 SPANISH_HINTS = "de la que el en y los del se las por un para con no una su al es lo como más pero sus le ya o fue este ha muy".split()  # fixed values
 
 
+#: Lines of a settings file that are read.
+SETTINGS_LINES = 1_000
+
+
 @dataclass(frozen=True)
 class Point:
     """A place in a document: block position and character offset."""
@@ -43,7 +50,7 @@ class ReportConfig:
 
 @dataclass(frozen=True)
 class Settings:
-    """Reading speed (held within its bounds), interface language, and word types hidden from the table."""
+    """Reading speed, interface language, and word types hidden from the table; what is out of bounds or unknown takes its default."""
 
     words_per_minute: int = C.READING_WPM
     language: str = "en"
@@ -51,12 +58,50 @@ class Settings:
 
     def __post_init__(self):
         wpm = self.words_per_minute
-        wpm = C.READING_WPM if not isinstance(wpm, (int, float)) or wpm != wpm else round(wpm)
-        object.__setattr__(self, "words_per_minute", min(C.WPM_MOST, max(C.WPM_LEAST, wpm)))
+        wpm = math.floor(wpm + 0.5) if isinstance(wpm, (int, float)) and math.isfinite(wpm) else C.READING_WPM
+        object.__setattr__(self, "words_per_minute", wpm if C.WPM_LEAST <= wpm <= C.WPM_MOST else C.READING_WPM)
         object.__setattr__(self, "language", self.language if self.language in ("en", "es") else "en")
         object.__setattr__(self, "hidden_word_classes", tuple(c for c in self.hidden_word_classes if c in C.CLASSES))
 
 
+def load_settings(spark: SparkSession, path: str) -> Settings:
+    """Settings from a JSON file on any file system that Spark reads; what is missing, damaged or of another kind takes its default."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(file):
+        return Settings()
+    try:
+        stored = json.loads("\n".join(r["value"] for r in spark.read.text(path).limit(SETTINGS_LINES).collect()))
+    except ValueError:
+        return Settings()
+    stored = stored if isinstance(stored, dict) else {}
+    hidden = stored.get("hiddenWordClasses")
+    speed = stored.get("wordsPerMinute")
+    return Settings(
+        speed if isinstance(speed, (int, float)) and not isinstance(speed, bool) else C.READING_WPM,
+        stored.get("language") if isinstance(stored.get("language"), str) else "en",
+        tuple(c for c in hidden if isinstance(c, str)) if isinstance(hidden, list) else (),
+    )
+
+
+def save_settings(spark: SparkSession, settings: Settings, path: str) -> None:
+    """Write settings beside their place and move them there, so a reader finds the old file or the new one, never a half."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    file, part = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    system = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    text = json.dumps({"wordsPerMinute": settings.words_per_minute, "language": settings.language, "hiddenWordClasses": list(settings.hidden_word_classes), "settingsVersion": 2}, indent=2)
+    out = system.create(part, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not system.rename(part, file):  # file systems that don't move onto a file
+        system.delete(file, False)
+        if not system.rename(part, file):
+            system.delete(part, False)
+            raise OSError(f"settings could not be moved to {path}")
+
+
 def stats(blocks: DataFrame, *keys: str) -> DataFrame:
     """Words and characters of all blocks of each key; breaks between blocks are not counted."""
     t = F.col("t")
@@ -141,6 +186,33 @@ def view(report: DataFrame, hidden: tuple[str, ...] = (), query: str = "", sort_
     return out.limit(limit) if limit else out
 
 
+def page(report: DataFrame, size: int, after: tuple[int, str] | None = None) -> DataFrame:
+    """The next ``size`` rows of the default order (by count, then word) after a row's (count, word); from the beginning without one.
+
+    What comes before is filtered out by the row's own key, and each task keeps ``size`` rows at most, so no page sorts or counts the whole report.
+    """
+    word = F.col("word")
+    out = report
+    if after is not None:
+        count, last = F.lit(after[0]), F.lit(after[1])
+        later = (collated(word) > collated(last)) | ((collated(word) == collated(last)) & (word > last))
+        out = out.where((F.col("count") < count) | ((F.col("count") == count) & later))
+    return out.orderBy(F.desc("count"), collated(word), "word").limit(size)
+
+
+def max_share(report: DataFrame, *keys: str) -> DataFrame:
+    """keys, max_pct: the share of the most frequent word, which bars of a view are drawn against; 1 for a report without words."""
+    most = report.groupBy(*keys).agg(F.max("pct").alias("max_pct"))
+    return most if keys else most.select(F.coalesce("max_pct", F.lit(1.0)).alias("max_pct"))
+
+
+def unique_words(docs: DataFrame, id_col: str = "doc_id", blocks_col: str = "blocks") -> DataFrame:
+    """(id, unique_words) of documents with blocks, within each row: no shuffle. Documents without a word have no row."""
+    found = F.array_distinct(F.flatten(F.transform(blocks_col, lambda b: F.transform(T.tokens(b["t"]), T.normalize_word))))
+    once = docs.select(id_col, F.explode(F.array(found)).alias("words"))
+    return once.where(F.size("words") > 0).select(id_col, F.size("words").cast("long").alias("unique_words"))
+
+
 def class_counts(report: DataFrame, *keys: str) -> DataFrame:
     """Distinct words of each class; a word counts under each of its classes."""
     return report.select(*keys, F.explode("classes").alias("cls")).groupBy(*keys, "cls").agg(F.count(F.lit(1)).alias("words"))

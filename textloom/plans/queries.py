@@ -76,7 +76,7 @@ def conversation_word_freq(spark, sf_dir):
 
 @query(f"{O.B}, w AS ({O.words()}) SELECT doc_id, count(DISTINCT word)::BIGINT AS unique_words FROM w GROUP BY doc_id")
 def unique_words(spark, sf_dir):
-    return report.words(_blocks(spark, sf_dir), ("doc_id",)).groupBy("doc_id").agg(F.countDistinct("word").alias("unique_words"))
+    return report.unique_words(B.with_blocks(_table(spark, sf_dir).select("doc_id", "text")))
 
 
 @query(f"{O.B}, w AS ({O.words('')}), c AS ({O.COUNTED}) SELECT word, count, row_number() OVER (ORDER BY count DESC, word COLLATE en_US, word) AS rank FROM c ORDER BY rank LIMIT 100")
@@ -162,6 +162,19 @@ def word_filter_view(spark, sf_dir):
     return report.view(K.with_classes(counted, None), ("articles", "pronouns"), " The ", limit=200).select("word", "count")
 
 
+@query(f"{O.B}, w AS ({O.words('')}), c AS ({O.COUNTED}) SELECT word, count FROM c ORDER BY count DESC, word COLLATE en_US, word LIMIT 150 OFFSET 150")
+def second_page(spark, sf_dir):
+    """The page after the first, found by the first one's last row."""
+    counted = report.words(_blocks(spark, sf_dir)).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    last = report.page(counted, 150).tail(1)
+    return report.page(counted, 150, (last[0]["count"], last[0]["word"]) if last else None).select("word", "count")
+
+
+@query(f"{O.B}, w AS ({O.words()}), c AS (SELECT doc_id, word, count(*)::BIGINT AS count FROM w GROUP BY doc_id, word) SELECT doc_id, max(count) / sum(count)::DOUBLE * 100 AS max_pct FROM c GROUP BY doc_id")
+def max_pct(spark, sf_dir):
+    return report.max_share(report.frequency(report.words(_blocks(spark, sf_dir), ("doc_id",)), ("doc_id",)), "doc_id")
+
+
 @query(f"""{O.B}, k AS (SELECT doc_id, pos, t, {O.heading()} AS h FROM b WHERE pos BETWEEN 1 AND 3)
 SELECT doc_id, pos, u AS t FROM (SELECT doc_id, pos, CASE WHEN pos = 1 THEN trim(substr(t, 11)) WHEN pos = 3 AND length(t) > 80 THEN trim(substr(t, 1, 80)) ELSE t END AS u FROM k WHERE NOT h) WHERE u <> ''""")
 def select_range(spark, sf_dir):

@@ -37,11 +37,11 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def parse_grouped(texts: DataFrame) -> DataFrame:
-    """A lexicon in the old format, from whole files in ``value``."""
-    sections = texts.select(F.explode(F.split("value", r"(?m)^#")).alias("part")).where("length(part) > 0")
-    lines = sections.select(F.split("part", r"\r?\n").alias("x"))
-    rows = lines.select(F.col("x")[0].alias("group"), F.explode(F.slice("x", F.lit(2), F.size("x"))).alias("word")).where("word <> ''")
-    return rows.groupBy("word").agg(F.last("group").alias("group")).select("word", _classes(F.col("group")).alias("classes"))
+    """A lexicon in the old format, from whole files in ``value``. Of a word's groups the last in its file holds."""
+    sections = texts.select(F.posexplode(F.split("value", r"(?m)^#")).alias("place", "part")).where("length(part) > 0")
+    lines = sections.select("place", F.split("part", r"\r?\n").alias("x"))
+    rows = lines.select("place", F.col("x")[0].alias("group"), F.explode(F.slice("x", F.lit(2), F.size("x"))).alias("word")).where("word <> ''")
+    return rows.groupBy("word").agg(F.max_by("group", F.struct("place", "group")).alias("group")).select("word", _classes(F.col("group")).alias("classes"))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
