@@ -223,7 +223,8 @@ def test_url_filter_in_shards(spark):
 
 def test_sql_of_the_registry(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
+    for view in ("pages", "documents", "embeddings"):
+        con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{DATA}/{view}.parquet'")
     for name, sql in registry.oracle_sql().items():
         want = con.execute(sql)
         columns = [d[0] for d in want.description]
