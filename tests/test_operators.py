@@ -264,3 +264,17 @@ def test_the_last_group_of_a_word_holds(spark):
     text = "#nouns\nrun\nsee\n#verbs,nouns?\nrun\n#adverbs\nsee\n"
     got = {r["word"]: [c["cls"] for c in r["classes"]] for r in lexicon.parse_grouped(spark.createDataFrame([(text,)], "value string")).collect()}
     assert got == {"run": ["verbs", "nouns"], "see": ["adverbs"]}
+
+
+def test_csv_in_spanish(spark):
+    from textloom.operators import csv_report
+
+    assert csv_report.TAGS["es"][-1] == "no reconocida" and {len(x) for x in csv_report.TAGS.values()} == {12} and list(csv_report.LABELS_ES) == list(csv_report.LABELS)
+    rows = spark.createDataFrame([(1, 1, "vino", 3, 60.0, ["nouns", "verbs"]), (1, 2, "la", 1, 20.0, ["articles"]), (1, 3, "xq", 1, 20.0, ["other"])], "doc_id int, rank int, word string, count long, pct double, classes array<string>")
+    totals = spark.createDataFrame([(1, 5, 9, 12, 3)], "doc_id int, words long, chars_no_spaces long, chars_with_spaces long, unique_words long")
+    out = csv_report.localised(totals, rows, {"range": "Todo", "headings": "no", "copyright": "no", "toc": "no", "hidden_types": "artículos"}, "es", ("articles",))
+    got = [r["line"] for r in out.orderBy("line_no").collect()]
+    assert got == [
+        "Archivo;1", "Rango;Todo", "Títulos de capítulo / encabezados;no", "Página de derechos de autor;no", "Índice / tabla de contenidos;no", "Tipos de palabra ocultos en la tabla;artículos", "Número de palabras;5",
+        "Número de caracteres (sin espacios);9", "Número de caracteres (con espacios);12", "Palabras distintas;3", "", "Palabra;Veces usada;% del total de palabras;Tipo de palabra", "vino;3;60,0000;sustantivo / verbo", "xq;1;20,0000;",
+    ]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom import constants as C
 from textloom.functions.text import csv_cell
+from textloom.operators import report
 
 # Labels of the CSV.
 LABELS = {
@@ -26,6 +28,29 @@ LABELS = {
     "pct": "% of total words",
     "types": "Word type",
 }
+LABELS_ES = {
+    "file": "Archivo",
+    "text_language": "Idioma del texto",
+    "range": "Rango",
+    "headings": "Títulos de capítulo / encabezados",
+    "copyright": "Página de derechos de autor",
+    "toc": "Índice / tabla de contenidos",
+    "possessives": "Posesivo 's (inglés)",
+    "hidden_types": "Tipos de palabra ocultos en la tabla",
+    "words": "Número de palabras",
+    "chars_no_spaces": "Número de caracteres (sin espacios)",
+    "chars_with_spaces": "Número de caracteres (con espacios)",
+    "unique": "Palabras distintas",
+    "word": "Palabra",
+    "count": "Veces usada",
+    "pct": "% del total de palabras",
+    "types": "Tipo de palabra",
+}
+#: How a word type is named beside a word, in the order of the types.
+TAGS = {
+    "en": "noun verb adjective adverb pronoun determiner article preposition conjunction interjection number unrecognised".split(),
+    "es": "sustantivo verbo adjetivo adverbio pronombre determinante artículo preposición conjunción interjección número no reconocida".split(" ", 11),
+}
 _META = ("file", "text_language", "range", "headings", "copyright", "toc", "possessives", "hidden_types")
 _OPTIONAL = ("text_language", "possessives", "hidden_types")
 
@@ -53,6 +78,19 @@ def csv_lines(totals: DataFrame, rows: DataFrame, meta: dict[str, str], key: str
     return top.unionByName(body)
 
 
+def localised(totals: DataFrame, rows: DataFrame, meta: dict[str, str], language: str = "en", hidden: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
+    """:func:`csv_lines` in a language: its labels, names of word types, delimiter and decimal mark.
+
+    Words all of whose types are ``hidden`` are left out and the others close up; a view's text filter plays no part. ``rows`` need ``classes``.
+    """
+    spanish = language == "es"
+    kept = rows.where(F.exists("classes", lambda c: ~c.isin(*hidden))) if hidden else rows
+    names = F.create_map(*[F.lit(x) for pair in zip(C.CLASSES, TAGS["es" if spanish else "en"]) for x in pair])
+    tags = F.transform(F.filter("classes", lambda c: c != "other"), lambda c: F.element_at(names, c))
+    kept = report.ranked(kept.drop("rank"), (key,)).withColumn("classes", tags)
+    return csv_lines(totals, kept, meta, key, LABELS_ES if spanish else None, ";" if spanish else ",", "," if spanish else ".", types=True)
+
+
 def write_csv(lines: DataFrame, path: str, key: str = "doc_id") -> None:
     """One folder per document, its lines in order in one file: CRLF ends and a byte-order mark at the beginning."""
     marked = lines.withColumn("line", F.when(F.col("line_no") == 0, F.concat(F.lit("\ufeff"), "line")).otherwise(F.col("line")))
