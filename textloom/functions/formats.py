@@ -19,6 +19,13 @@ def whole(number: Column, language: str = "en") -> Column:
     return F.translate(F.format_number(number, 0), ",", GROUP[_language(language)])
 
 
+def decimal(number: Column, language: str = "en") -> Column:
+    """A number with its thousands apart and at most three digits after the mark, as many as it needs."""
+    language = _language(language)
+    shown = F.call_function("format_number", F.round(number.cast("double"), 3), F.lit("#,##0.###"))
+    return F.translate(shown, ",.", GROUP[language] + DECIMAL[language])
+
+
 def share(percent: Column, language: str = "en") -> Column:
     """A share of a hundred with two digits after the mark, or four where it is under a hundredth."""
     language = _language(language)

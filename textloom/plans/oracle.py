@@ -220,3 +220,16 @@ def formats() -> str:
     es_size = size(lambda v: f"CASE WHEN {v} >= 10000 THEN {es(f"format('{{:,}}', {v})")} ELSE ({v})::VARCHAR END").replace("@(", "translate(").replace("'\\.0$', '')", "'\\.0$', ''), '.', ','")
     return f"""WITH d AS (SELECT doc_id, n_chars AS n, n_chars::DECIMAL(15,0) * 0.001::DECIMAL(4,3) AS p, n_chars * n_chars AS z FROM documents)
 SELECT doc_id, {whole} AS whole_en, {share} || '%' AS share_en, {en_size} AS size_en, {es(whole)} AS whole_es, {es(share)} || ' %' AS share_es, {es_size} AS size_es FROM d"""
+
+
+def messages() -> str:
+    """Templates stated by hand; a count of one takes its own form."""
+    return """WITH d AS (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n,
+  CASE WHEN starts_with(text, 'CONT') THEN 'kfx' WHEN lang = 'de' THEN 'notZip' WHEN lang = 'fr' THEN 'badKindle' WHEN lang = 'es' THEN 'badPdf' ELSE 'txt' END AS kind FROM documents)
+SELECT doc_id, kind,
+  CASE kind WHEN 'kfx' THEN 'This is a KFX book, whose format is closed. Convert a copy without protection to EPUB or AZW3.'
+    WHEN 'notZip' THEN 'The .docx file is no ZIP package: it is damaged or of another kind.' WHEN 'badKindle' THEN 'No header of a Kindle book (MOBI, AZW) was found.'
+    WHEN 'badPdf' THEN 'The file does not begin as a PDF does.' ELSE format('{:,}', n) || CASE n WHEN 1 THEN ' block of text' ELSE ' blocks of text' END END AS message_en,
+  CASE kind WHEN 'kfx' THEN 'Es un libro KFX, un formato cerrado. Convierta una copia sin protección a EPUB o AZW3.'
+    WHEN 'notZip' THEN 'El archivo .docx no es un paquete ZIP: está dañado o es de otro tipo.' WHEN 'badKindle' THEN 'Falta la cabecera de un libro Kindle (MOBI, AZW).'
+    WHEN 'badPdf' THEN 'El archivo no empieza como un PDF.' ELSE replace(format('{:,}', n), ',', '.') || CASE n WHEN 1 THEN ' bloque de texto' ELSE ' bloques de texto' END END AS message_es FROM d"""

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from textloom import constants as C
 from textloom.functions import classes as K
 from textloom.functions import formats as formats_
+from textloom.functions import messages as M
 from textloom.functions import text as T
 from textloom.operators import blocks as B
 from textloom.operators import csv_report, report, roles
 from textloom.plans import oracle as O
+from textloom.sources import files, markup
 from textloom.sources import lexicon as L
-from textloom.sources import markup
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -322,6 +323,21 @@ def formats(spark, sf_dir):
     return _table(spark, sf_dir).select("doc_id", *shown)
 
 
+@query(O.messages())
+def file_messages(spark, sf_dir):
+    """What a reader of either language is told of ``documents`` as files whose names promise other formats: the error, or a count of lines."""
+    ext = F.when(F.col("lang") == "de", ".docx").when(F.col("lang") == "fr", ".mobi").when(F.col("lang") == "es", ".PDF").otherwise(".txt")
+    name = F.concat(F.col("doc_id").cast("string"), ext)
+    kinds = _table(spark, sf_dir).select("doc_id", "text", files.sniff_column(F.col("text").cast("binary"), name).alias("kind"), F.lower(ext).alias("ext"))
+    lines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+
+    def shown(language: str):
+        error = M.message(F.concat(F.lit("err."), F.col("kind")), language, {"detail": F.col("ext")})
+        return F.when(F.col("kind").isin(*C.ERRORS), error).otherwise(M.message(F.lit("blocks"), language, numbers={"n": lines})).alias(f"message_{language}")
+
+    return kinds.select("doc_id", "kind", shown("en"), shown("es"))
+
+
 @query()
 def html_blocks(spark, sf_dir):
     return B.exploded(markup.html_to_blocks(_table(spark, sf_dir, "pages").select("page_id", "html")), "page_id")

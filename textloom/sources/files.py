@@ -9,6 +9,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import messages as M
 from textloom.sources.archive import Archive
 from textloom.sources.model import Document, ReadError
 from textloom.sources.readers.binary_word import read_doc
@@ -168,9 +169,27 @@ def scan(spark: SparkSession, path: str, extensions: list[str] | tuple[str, ...]
     """Documents below a folder, at any depth; with no extensions given, of any kind. Large files may skew partitions; ``partitions`` deals them anew."""
     pattern = "*" if not extensions else "*.{" + ",".join(extensions) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return read_documents(files.repartition(partitions) if partitions else files)
+    whole = files.select("path", "content").unionByName(_empty(files))
+    return read_documents(whole.repartition(partitions) if partitions else whole)
+
+
+def _empty(files: DataFrame) -> DataFrame:
+    """The empty files of a ``binaryFile`` table, which Spark lists but gives no rows for."""
+    at = lambda path: F.regexp_replace(path, "^([^:/]+):/+", "$1:/")
+    listed = files.sparkSession.createDataFrame([(uri,) for uri in files.inputFiles()], "uri string")
+    plain = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    missed = listed.select(plain.alias("path"), at(plain).alias("at")).join(files.select(at("path").alias("at")), "at", "left_anti")
+    return missed.select(F.regexp_replace("path", "^([^:/]+):///", "$1:/").alias("path"), F.lit(b"").alias("content"))
 
 
 def blocks(documents: DataFrame) -> DataFrame:
     """One row per block: path, pos, t, k, r, s."""
     return documents.where("ok").select("path", F.posexplode("blocks").alias("pos", "b")).select("path", "pos", "b.*")
+
+
+def described(documents: DataFrame, language: str = "en", messages: dict[str, dict[str, str]] = M.MESSAGES) -> DataFrame:
+    """Documents with ``error_text`` (null where the file was read) and ``warning_texts``, in words of a language."""
+    code, detail = F.col("error.code"), F.col("error.detail")
+    error = M.message(F.coalesce(F.concat(F.lit("err."), code), F.lit("readFailed")), language, {"detail": detail}, messages=messages)
+    warning = lambda w: M.message(F.concat(F.lit("warn."), w), language, messages=messages)
+    return documents.withColumns({"error_text": F.when(~F.coalesce("ok", F.lit(False)), error), "warning_texts": F.transform("warnings", warning)})
