@@ -144,6 +144,42 @@ def test_neighbours_query_against_brute_force(spark, tmp_path):
     assert total == 120 and hits >= 0.95 * total and 1300 not in got
 
 
+def test_bit_counts_give_inner_products():
+    rng = np.random.default_rng(1)
+    for dims in (1, 3, 24, 64, 70, 130):
+        unit, signs = rng.standard_normal((9, dims)), rng.standard_normal((40, dims)) > 0
+        unit[0] = 0
+        got, most = one_bit_search.inner_products(unit, np.packbits(signs, axis=1))
+        true = unit @ ((signs * 2.0 - 1) / np.sqrt(dims)).T
+        assert (np.abs(got - true) <= most[:, None] + 1e-9).all() and (most <= 0.06 * np.sqrt(dims)).all()
+
+
+def test_clusters_need_few_cells(spark):
+    """Of clustered vectors a query meets few cells and finds its neighbours; crowded copies don't hide them; small cells lead to more."""
+    rng = np.random.default_rng(2)
+    middle = rng.standard_normal((60, 16)) * 20
+    x = middle[rng.integers(0, 60, 6000)] + rng.standard_normal((6000, 16))
+    x[1000:3000] = x[1000]
+    indexed, coders = one_bit_search.index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert len(coders.centroids[16]) == 23 and coders.probes[16] <= 6
+    queries = indexed.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    got: dict[int, list] = {}
+    for r in one_bit_search.nearest(indexed, coders, queries).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = 0
+    for q in range(0, 6000, 100):
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        far[q] = np.inf
+        best = np.lexsort((np.arange(6000), far))[:10].tolist()
+        hits += len(set(best) & set(got[q]))
+        if 1000 <= q < 3000:
+            assert got[q] == best
+    assert hits >= 0.95 * 600
+    few = indexed.where("vec_id % 1000 = 7")  # cells with a row or none
+    found = one_bit_search.nearest(few, coders, queries.where("query_id < 500"), k=6).groupBy("query_id").count().collect()
+    assert len(found) == 5 and all(r["count"] == 6 for r in found)
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(0)
     x, q = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64))
