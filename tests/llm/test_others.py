@@ -478,6 +478,56 @@ def test_segments_use_two_thresholds():
     assert audio.segments(energy, s) == [(1, 5), (9, 10)]
 
 
+def test_log_mel_is_the_direct_transform():
+    """Each band of each frame by its definition: a windowed discrete Fourier transform, triangles on the mel scale, a logarithm."""
+    s = audio.Settings()
+    y = np.random.default_rng(4).standard_normal(1500).astype(np.float32)
+    got, energy = audio.log_mel(y, s)
+    size, n = 512, -(-(len(y) - s.frame) // s.hop) + 1
+    assert got.shape == (n, s.bands)
+    y = np.pad(y.astype(np.float64), (0, n * s.hop + s.frame))
+    t, f = np.arange(s.frame), np.arange(size // 2 + 1)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * t / (s.frame - 1))
+    waves = np.exp(-2j * np.pi * f[:, None] * t / size)
+    top = 2595 * np.log10(1 + s.target / 2 / 700)
+    bottom = 2595 * np.log10(1 + 40 / 700)
+    edge = [700 * (10 ** ((bottom + (top - bottom) * i / (s.bands + 1)) / 2595) - 1) for i in range(s.bands + 2)]
+    for frame in range(n):
+        part = y[frame * s.hop : frame * s.hop + s.frame]
+        power = np.abs(waves @ (part * window)) ** 2
+        assert abs(energy[frame] - 10 * np.log10((part**2).mean() + 1e-10)) < 1e-3
+        for band in range(s.bands):
+            a, b, c = edge[band : band + 3]
+            weight = [max(0.0, min((x - a) / (b - a), (c - x) / (c - b))) for x in f * s.target / size]
+            assert abs(got[frame, band] - np.log(power @ weight + 1e-6)) < 1e-3
+
+
+def test_audio_query_digests(spark):
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = {r["doc_id"]: r for r in audio.op9_audio_features(spark, DATA).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        data = (r["text"] or "").encode()
+        padded = data + b"\0" * (max(1, -(-len(data) // 64)) * 64 - len(data))
+        media = audio.wave(padded)
+        want = (len(data), len(padded), sha(padded), zlib.crc32(padded[-64:]), len(media), sha(media))
+        row = got[r["doc_id"]]
+        assert tuple(row[c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")) == want
+        tensors, spans, found = audio.describe(media)
+        first = ",".join(f"{x:.1f}" for x in tensors[0, 0, :8].tolist())
+        shown = row["feature"].split("|")
+        assert shown[:2] == [str(len(spans)), str(len(found))] and abs(float(shown[2]) - sum(b - a for a, b in found)) < 0.006
+        assert all(abs(float(x) - float(y)) < 0.11 for x, y in zip(shown[3].split(","), first.split(","), strict=True))
+
+
+def test_columns_named_as_results_are_refused(spark):
+    with pytest.raises(ValueError):
+        audio.features(spark.createDataFrame([(b"", 1)], "media binary, Spans long"))
+    with pytest.raises(ValueError):
+        url_filter.split_url(spark.createDataFrame([("u", "h")], "url string, host string"))
+
+
 # --- queries
 
 

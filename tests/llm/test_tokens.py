@@ -1,6 +1,7 @@
 """Packing and SentencePiece encoding against the libraries and plain best fit."""
 
 import bisect
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -85,6 +86,47 @@ def test_query_digests(spark):
     assert {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in rows} == {(p["doc_id"], p["piece"], zlib.crc32(p["ids"])) for p in pieces}
 
 
+def test_pack_refuses(spark):
+    for schema, row in (("length long, offset long", (1, 1)), ("Sequence_ID long, length long", (1, 1)), ("length long", (None,)), ("length long", (0,)), ("length long", (2049,))):
+        with pytest.raises(ValueError):
+            packing.pack(spark.createDataFrame([row], schema))
+
+
+def test_packing_query_is_best_fit(spark):
+    """The query's own places: no gaps, no overlaps, as few sequences as plain best fit, every id of every text."""
+    data = "/root/testdata/sf0.001"
+    rows = packing.op7_best_fit_packing(spark, data).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in bins.values():
+        assert [o for o, _ in sorted(spans)] == [0, *np.cumsum([n for _, n in sorted(spans)])[:-1]] and sum(n for _, n in spans) <= packing.CAPACITY
+    assert len(bins) == plain_bins([r["length"] for r in rows], packing.CAPACITY)
+    starts = defaultdict(list)
+    for r in rows:
+        starts[r["doc_id"]].append((r["piece"], r["start"], r["length"]))
+    for pieces in starts.values():
+        assert sorted(pieces) == [(k, k * packing.CAPACITY, n) for k, (_, _, n) in enumerate(sorted(pieces))]
+
+
+def test_sentencepiece_query_digests(spark):
+    data = "/root/testdata/sf0.001"
+    model = piece_table.piece_table(piece_table.model_path()).model
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {r["doc_id"]: tuple(r)[1:] for r in piece_table.op10_sentencepiece(spark, data).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        ids = model.encode(r["text"] or "", add_eos=True)
+        assert got[r["doc_id"]] == (len(ids), sha(" ".join(map(str, ids))), sha(model.decode(ids)))
+
+
+def test_sentencepiece_of_repeated_rows_and_none(spark):
+    twice = spark.createDataFrame([(1, "one", "x"), (1, "one", "x")], "doc_id long, text string, decoded string")
+    assert [r["decoded"] for r in piece_table.encode_decode(twice).collect()] == ["one", "one"]
+    assert piece_table.encode_decode(twice.limit(0)).collect() == []
+
+
 def test_sentencepiece_is_the_librarys(docs):
     model = piece_table.piece_table(piece_table.model_path()).model
     got = {r["doc_id"]: (r["ids"], r["decoded"]) for r in piece_table.encode_decode(docs).collect()}

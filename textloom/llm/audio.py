@@ -2,7 +2,8 @@
 
 Media are RIFF/WAVE files of one channel of unsigned 8-bit samples, so bytes are stored as they are and read back from
 the file. Features are computed per file, in an order of operations that depends on that file alone: equal files give
-equal values, whatever shares their batch. Long files go through in stretches of frames, so memory stays bounded.
+equal values, whatever shares their batch. A file is held whole, as floats and as resampled ones; only its spectra are
+made in stretches of frames.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lists, raw, slices, table, texts
+from .common import lists, raw, refuse, slices, table, texts
 
 _HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 BLOCK = 64
@@ -144,7 +145,7 @@ _SPANS = "array<struct<start:double,end:double>>"
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): every text's UTF-8 bytes, zero bytes up to a positive multiple of 64, as a WAVE file.
 
-    Null texts count as empty and store 64 zero bytes.
+    Null texts count as empty and store 64 zero bytes. Every row is kept, repeated ones too; other columns go, whatever their names.
     """
 
     def write(batches):
@@ -160,7 +161,12 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def features(stored: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``stored`` with what its ``media`` hold: ``payload`` (the samples read back), ``tensor_file`` (log-mel tensors of
     shape (frames, bands) as :func:`tensor_file` writes them), ``tensors`` (their flat values, read back from it),
-    ``spans`` (seconds of each tensor) and ``segments`` (seconds of sound). A null file gives nulls."""
+    ``spans`` (seconds of each tensor) and ``segments`` (seconds of sound). A null file gives nulls.
+
+    Every row is kept, repeated ones with equal values; an empty table gives an empty one; other columns stay. A column named
+    as a result is an error.
+    """
+    refuse(stored, "payload", "tensor_file", "tensors", "spans", "segments")
     names = stored.columns
     span = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
 

@@ -76,6 +76,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
+def refuse(df: DataFrame, *names: str) -> None:
+    """An error if ``df`` has columns of these names, whatever their case."""
+    if clash := {n.lower() for n in names} & {c.lower() for c in df.columns}:
+        raise ValueError(f"names of result columns: {sorted(clash)}")
+
+
 def resident(key: tuple, build: Callable):
     """What a worker keeps between tasks: one thing only, so that stages of several operators don't pile up their caches."""
     if key not in _resident:

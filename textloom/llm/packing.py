@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, resident, slices, small, table, texts
+from .common import keep, refuse, resident, slices, small, table, texts
 from .lexicon import Lexicon
 from .words import Words
 
@@ -153,7 +153,13 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (with a ``length`` of 1 to ``capacity``) and their ``sequence_id`` and ``offset``; rows and other columns stay."""
+    """``pieces`` (with a ``length`` of 1 to ``capacity``) and their ``sequence_id`` and ``offset``; rows and other columns stay.
+
+    Every row is a piece, repeated ones too, each with its own place; pieces of one length may change places with one
+    another. An empty table gives an empty one. A null length, or one out of bounds, is an error, as is a column named
+    ``sequence_id``, ``offset``, or like one used on the way; nulls in other columns stay.
+    """
+    refuse(pieces, "sequence_id", "offset", "__mark", "__shard", "__rank", "__rows", "__before")
     columns = pieces.columns
     number = keep(pieces, "pieces")
     rows = number.count()
@@ -162,6 +168,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     dealt = number.withColumn("__mark", mark).withColumn("__shard", F.pmod("__mark", F.lit(shards)))
     counted = keep(dealt.groupBy("length", "__shard").agg(F.count(F.lit(1)).alias("__rows")), "counts")
     lengths = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("__rows").alias("n")).collect()}
+    if wrong := [n for n in lengths if n is None or not 1 <= n <= capacity]:
+        raise ValueError(f"lengths out of 1 to {capacity}: {wrong[:5]}")
     runs, _ = best_fit(lengths, capacity)
     before = Window.partitionBy("length").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("length", "__shard", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))

@@ -139,7 +139,8 @@ def _coder(path: str) -> tuple[PieceTable, Lexicon]:
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) of every row: token ids with the end id, and the text that decoding these ids gives.
 
-    Null texts count as empty: just the end id, decoded to an empty text.
+    Null texts count as empty: just the end id, decoded to an empty text. Repeated rows are each encoded and stay; an empty
+    table gives an empty one; other columns go, whatever their names.
     """
     path = path or model_path()
 

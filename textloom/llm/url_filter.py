@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, keep, raw, small, table
+from .common import BROADCAST_BYTES, keep, raw, refuse, small, table
 from .words import _BASE, _BASE_INV, _BYTES, mix, powers
 
 #: Bits a key and bits set a key. A filter within ``BROADCAST_BYTES`` goes to every worker whole; a larger one is cut into
@@ -80,7 +80,11 @@ def possible(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def split_url(urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """``urls`` with ``host`` and ``path``; both empty where the URL is null or has no ``://``."""
+    """``urls`` with ``host`` and ``path``; both empty where the URL is null or has no ``://``.
+
+    Rows stay, repeated ones too, as do other columns; one named ``host`` or ``path`` is an error.
+    """
+    refuse(urls, "host", "path")
     url = F.col(f"`{url_col}`")
     at = F.locate("://", url)
     rest = F.when(at > 0, F.substring_index(url, "://", 1)).otherwise("")
