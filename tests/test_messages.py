@@ -60,3 +60,19 @@ def test_scans_come_out_in_both_languages(spark, tmp_path):
     assert rows["e.txt", "es"][0] == M.SPANISH["err.unsupported"]
     unknown = documents.limit(1).withColumns({"ok": F.lit(False), "error": F.lit(None).cast("struct<code:string,detail:string>")})
     assert files.described(unknown, "es").first()["error_text"] == M.SPANISH["readFailed"]
+
+
+def test_range_labels(spark):
+    from textloom.operators import report
+
+    first, second = "It was the best of times, it was the worst of times, it was the age of wisdom, it was", "the end 😀 of it all"
+    docs = spark.createDataFrame([(1, [(first,), (second,)]), (2, [("a",)]), (3, [])], "doc_id long, blocks array<struct<t:string>>")
+    config = report.ReportConfig(start=report.Point(0, 8), end=report.Point(1, 12))
+    total = len(first) + 1 + len(second) + 1 + 1  # the smiley counts twice
+    got = {r["doc_id"]: r for r in report.range_labels(docs, config).collect()}
+    percent = int((len(first) + 1 + 13) / total * 100 + 0.5)
+    assert tuple(got[1]) == (1, total, "“" + first[8:68].strip() + "…”", int(8 / total * 100 + 0.5), "“the end 😀 of”", percent, f"From “the” ({int(8 / total * 100 + 0.5)}%) to “of” ({percent}%)")
+    assert tuple(got[2]) == (2, 2, "“”", 50, None, None, "From “a” (50%) to end")
+    assert tuple(got[3]) == (3, 1, None, None, None, None, "From beginning to end")
+    spanish = report.range_labels(docs, report.ReportConfig(end=report.Point(0, 70)), "es").where("doc_id = 1").first()
+    assert spanish["end_excerpt"] == "«…" + first[10:70].strip() + "»" and spanish["range"].startswith("Desde el principio hasta «") and spanish["range"].endswith(" %)")

@@ -18,6 +18,9 @@ ENGLISH = {
     "blocks_other": "{n} blocks of text",
     "words_one": "{n} word",
     "words_other": "{n} words",
+    "range": "From {start} to {end}",
+    "range.beginning": "beginning",
+    "range.end": "end",
     "err.generic": "Reading failed: {detail}",
     "err.notFound": "There is no such file.",
     "err.cannotOpen": "The file could not be opened ({detail}).",
@@ -61,6 +64,9 @@ SPANISH = {
     "blocks_other": "{n} bloques de texto",
     "words_one": "{n} palabra",
     "words_other": "{n} palabras",
+    "range": "Desde {start} hasta {end}",
+    "range.beginning": "el principio",
+    "range.end": "el final",
     "err.generic": "La lectura falló: {detail}",
     "err.notFound": "No existe tal archivo.",
     "err.cannotOpen": "No se pudo abrir el archivo ({detail}).",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom import constants as C
 from textloom.functions import arrays as A
+from textloom.functions import messages as M
 from textloom.functions import text as T
 from textloom.operators.blocks import text_blocks
 
@@ -256,6 +257,46 @@ def excerpt(text: Column, offset: Column, width: int = 60) -> Column:
     return T.trimmed(text.substr(offset + 1, F.lit(width)))
 
 
+def total_chars(blocks: Column) -> Column:
+    """Characters of a document's blocks with a separator after each, in UTF-16 units; 1 for a document without any."""
+    return F.greatest(F.aggregate(blocks, F.lit(0).cast("long"), lambda n, b: n + T.utf16_length(b["t"]) + 1), F.lit(1).cast("long"))
+
+
+def _quoted(text: Column, language: str) -> Column:
+    before, after = ("«", "»") if language == "es" else ("“", "”")
+    return F.concat(F.lit(before), text, F.lit(after))
+
+
+def range_labels(docs: DataFrame, config: ReportConfig, language: str = "en", id_col: str = "doc_id", width: int = 60) -> DataFrame:
+    """(id, total_chars, start_excerpt, start_percent, end_excerpt, end_percent, range) of documents with ``blocks``, within each row.
+
+    An excerpt is what follows the start, or stands before the end; a percentage tells how far into the text the point lies;
+    ``range`` names the words at the points. Where a document has no such block, or the config no such point, its excerpt and
+    percentage are null and ``range`` speaks of the beginning or the end. An offset past its block counts as the block's end.
+    """
+    columns = [F.col(id_col), total_chars(F.col("blocks")).cast("long").alias("total_chars")]
+    named = {}
+    for name, point in (("start", config.start), ("end", config.end)):
+        edge = M.message(F.lit("range.beginning" if name == "start" else "range.end"), language)
+        if point is None:
+            columns += [F.lit(None).cast("string").alias(f"{name}_excerpt"), F.lit(None).cast("long").alias(f"{name}_percent")]
+            named[name] = edge
+            continue
+        text, o = F.get("blocks", F.lit(point.block))["t"], point.offset
+        if name == "start":
+            shown = F.concat(excerpt(text, F.lit(o), width), F.when(F.char_length(text) > o + width, "…").otherwise(""))
+        else:
+            since = max(0, o - width)
+            shown = F.concat(F.lit("…" if since else ""), T.trimmed(text.substr(F.lit(since + 1), F.lit(o - since))))
+        before = F.aggregate(F.slice("blocks", F.lit(1), F.lit(point.block)), F.lit(0).cast("long"), lambda n, b: n + T.utf16_length(b["t"]) + 1)
+        percent = F.floor((before + T.utf16_length(F.left(text, F.lit(o)))) / total_chars(F.col("blocks")) * 100 + 0.5).cast("long")
+        columns += [_quoted(shown, language).alias(f"{name}_excerpt"), F.when(text.isNotNull(), percent).alias(f"{name}_percent")]
+        word = A.let(word_at(text, F.lit(o), end=name == "end"), lambda w: text.substr(w["start"] + 1, w["end"] - w["start"]))
+        there = F.concat(_quoted(word, language), F.lit(" ("), percent.cast("string"), F.lit(" %)" if language == "es" else "%)"))
+        named[name] = F.coalesce(F.when(text.isNotNull(), there), edge)
+    return docs.select(*columns, M.message(F.lit("range"), language, named).alias("range"))
+
+
 def structure_counts(blocks: DataFrame, *keys: str) -> DataFrame:
     """Headings, copyright blocks, and contents or index blocks of each key."""
     return blocks.groupBy(*keys).agg(F.count_if(F.col("k") == "h").alias("headings"), F.count_if(F.col("r") == "copyright").alias("copyright"), F.count_if(F.col("r").isin("toc", "index")).alias("toc"))

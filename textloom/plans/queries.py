@@ -323,6 +323,19 @@ def formats(spark, sf_dir):
     return _table(spark, sf_dir).select("doc_id", *shown)
 
 
+@query(f"""{O.B}, o AS (SELECT doc_id, pos, t, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(t) - 1 AS before, sum(length(t) + 1) OVER (PARTITION BY doc_id) AS total FROM b)
+SELECT doc_id, max(total)::BIGINT AS total_chars,
+  max(CASE WHEN pos = 1 THEN '“' || trim(substr(t, 11, 60)) || CASE WHEN length(t) > 70 THEN '…' ELSE '' END || '”' END) AS start_excerpt,
+  max(CASE WHEN pos = 1 THEN floor((before + least(10, length(t))) / total::DOUBLE * 100 + 0.5) END)::BIGINT AS start_percent,
+  max(CASE WHEN pos = 3 THEN '“…' || trim(substr(t, 21, 60)) || '”' END) AS end_excerpt,
+  max(CASE WHEN pos = 3 THEN floor((before + least(80, length(t))) / total::DOUBLE * 100 + 0.5) END)::BIGINT AS end_percent
+FROM o GROUP BY doc_id""")
+def range_labels(spark, sf_dir):
+    """What is shown of a range's ends in each document."""
+    docs = B.with_blocks(_table(spark, sf_dir).select("doc_id", "text")).where("size(blocks) > 0")
+    return report.range_labels(docs, report.ReportConfig(start=report.Point(1, 10), end=report.Point(3, 80))).drop("range")
+
+
 @query(O.messages())
 def file_messages(spark, sf_dir):
     """What a reader of either language is told of ``documents`` as files whose names promise other formats: the error, or a count of lines."""
