@@ -48,3 +48,11 @@ def test_slices_keep_every_row():
     assert pa.Table.from_batches(list(slices([batch, batch.slice(0, 0)], "text", 20))).column(0).to_pylist() == batch.column(0).to_pylist()
     data, offsets = raw(batch.column(0).slice(1, 3))
     assert data.tobytes() == b"bbbbb" and offsets.tolist() == [0, 0, 0, 5] and offsets.dtype == np.int64
+
+
+def test_long_sequences_of_two_words_stay_apart():
+    """Thue-Morse sequences, for which any polynomial hash modulo 2**64 is the same."""
+    one = ["ab"[i.bit_count() % 2] for i in range(4096)]
+    other = ["ba"[i.bit_count() % 2] for i in range(4096)]
+    ca, cb = W.Words(pa.array([" ".join(one), " ".join(other), "".join(one), "".join(other), " ".join(one)])).sequences()
+    assert len(set(ca.tolist())) == len(set(cb.tolist())) == 4 and ca[0] == ca[4] and cb[0] == cb[4]
