@@ -10,6 +10,11 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import constants as C
+from textloom.functions import arrays as A
+
+#: What may part the cells of a CSV text, the likeliest first.
+DELIMITERS = (",", ";", "\t", "|")
+
 
 def matches(text: Column, pattern: str) -> Column:
     """Case-insensitive search with ASCII word bounds and an end that is the end of the text."""
@@ -29,6 +34,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(C.WORD), F.lit(0))
 
 
+def visible(text: Column) -> Column:
+    """A text without the characters that normalising deletes. Its words are those of its blocks, since no word holds white space."""
+    return F.regexp_replace(text, f"[{C.DELETED}]", "")
+
+
 def count_words(text: Column) -> Column:
     return F.size(tokens(text)).cast("long")
 
@@ -51,7 +61,9 @@ def utf16_length(text: Column) -> Column:
 
 
 def normalize_word(word: Column) -> Column:
-    return F.translate(F.lower(word), "’ʼ‐‑", "''--")
+    """Lower case, with plain apostrophes and hyphens; words of ASCII characters hold no others."""
+    low = F.lower(word)
+    return F.when(F.octet_length(word) == F.char_length(word), low).otherwise(F.translate(low, "’ʼ‐‑", "''--"))
 
 
 def merge_possessive(word: Column) -> Column:
@@ -101,22 +113,17 @@ def first_lines(text: Column) -> Column:
 
 
 def sniff_delimiter(lines: Column) -> Column:
-    """The delimiter of the first 20 lines that is most even: ten points a line that has as many as the first, and these."""
-    best, top = F.lit(","), F.lit(0)
-    for mark in (",", ";", "\t", "|"):
-        counts = F.filter(_counts(lines, mark), lambda n: n > 0)
-        score = F.when(F.size(counts) > 0, F.size(_same(counts)) * 10 + F.get(counts, F.lit(0))).otherwise(0)
-        best, top = F.when(score > top, F.lit(mark)).otherwise(best), F.greatest(score, top)
-    return best
+    """The delimiter of the first 20 lines that is most even: ten points a line that has as many as the first, and these.
 
-
-def _counts(lines: Column, mark: str) -> Column:
-    return F.transform(F.slice(lines, 1, 20), lambda line: F.char_length(line) - F.char_length(F.replace(line, F.lit(mark), F.lit(""))))
-
-
-def _same(counts: Column) -> Column:
-    first = F.get(counts, F.lit(0))
-    return F.filter(counts, lambda n: n == first)
+    Lines, counts and scores are each computed once.
+    """
+    counts = lambda ls, mark: F.filter(F.transform(ls, lambda line: F.char_length(line) - F.char_length(F.replace(line, F.lit(mark), F.lit("")))), lambda n: n > 0)
+    same = lambda ns: A.let(F.get(ns, F.lit(0)), lambda first: F.size(F.filter(ns, lambda n: n == first)) * 10 + first)
+    score = lambda ls, mark: A.let(counts(ls, mark), lambda ns: F.when(F.size(ns) > 0, same(ns)).otherwise(0))
+    # Of equal scores the first mark's counts, so places are negative.
+    scored = lambda ls: F.array(*[F.struct(score(ls, mark).alias("score"), F.lit(-i).alias("i"), F.lit(mark).alias("mark")) for i, mark in enumerate(DELIMITERS)])
+    best = A.let(F.slice(lines, 1, 20), lambda ls: F.array_max(scored(ls)))
+    return A.let(best, lambda x: F.when(x["score"] > 0, x["mark"]).otherwise(","))
 
 
 def _let(value: str, name: str, body: str) -> str:
