@@ -94,9 +94,18 @@ def csv_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a filled cell, have no block. A block never leaves its text's row, so nothing is shuffled.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    mark = F.lit(delimiter) if delimiter else T.sniff_delimiter(T.first_lines(text))
-    found = docs.select(F.col(f"`{id_col}`"), text.alias("__text"), mark.alias("__mark"))
-    filled = F.transform(csv_rows(F.col("__text"), F.col("__mark")), lambda cells, i: F.struct(i.alias("row"), T.normalized(F.array_join(F.filter(cells, lambda c: c != ""), " ")).alias("t")))
+    # Each delimiter has patterns of its own, which are fixed and compiled once; only the one that is told reads the text.
+    rows = lambda mark: csv_rows(F.col("__text"), F.lit(mark))
+    if delimiter:
+        found, read = docs.select(F.col(f"`{id_col}`"), text.alias("__text")), rows(delimiter)
+    else:
+        told = F.explode(F.array(T.sniff_delimiter(T.first_lines(text)))).alias("__mark")  # once: not copied into each branch
+        found = docs.select(F.col(f"`{id_col}`"), text.alias("__text"), told)
+        first, *others = T.DELIMITERS
+        read = F.when(F.col("__mark") == first, rows(first))
+        for mark in others:
+            read = read.when(F.col("__mark") == mark, rows(mark))
+    filled = F.transform(read, lambda cells, i: F.struct(i.alias("row"), T.normalized(F.array_join(F.filter(cells, lambda c: c != ""), " ")).alias("t")))
     blocks = F.filter(filled, lambda b: b["t"] != "")
     return found.select(id_col, F.posexplode_outer(blocks).alias("pos", "b")).where("pos is not null").select(id_col, "pos", "b.row", "b.t")
 
