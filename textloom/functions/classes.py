@@ -84,7 +84,8 @@ def with_classes(words: DataFrame, lexicon: DataFrame | None, language: str = "e
     word = F.col(word_col)
     language = "es" if language == "es" else "en"
     if lexicon is None:
-        return words.withColumn("classes", fallback_classes(word, language))
+        # An explode, which no filter passes: else filters by class move below the counts and classify every use of a word.
+        return words.select(*[F.col(f"`{c}`") for c in words.columns if c != "classes"], F.explode(F.array(fallback_classes(word, language))).alias("classes"))
     verbs = lexicon.where(F.exists("classes", lambda c: (c["cls"] == "verbs") & ~c["rare"])).select(F.col("word").alias("__verb")).distinct()
     empty = F.expr("cast(array() as array<struct<cls:string,rare:boolean>>)")
     fixed = lambda cls: F.array(F.struct(F.lit(cls).alias("cls"), F.lit(False).alias("rare")))
