@@ -62,6 +62,17 @@ def csv_lines(totals: DataFrame, rows: DataFrame, meta: dict[str, str], key: str
     and, if ``types``, classes. ``meta`` gives the metadata cells; the file's name defaults to the key. Lines lack
     their line ends, and follow from their number alone, so no order of rows matters.
     """
+    first, line, share = _layout(meta, key, labels, delimiter, decimal, types)
+    top = totals.select(key, F.posexplode(F.array(*first)).alias("line_no", "line"))
+    cells = [F.col("word"), F.col("count"), share(F.col("pct"))]
+    if types:
+        cells.append(F.array_join(F.filter("classes", lambda c: c != "other"), " / "))
+    body = rows.select(key, (F.col("rank") + len(first) - 1).cast("int").alias("line_no"), line(*cells).alias("line"))
+    return top.unionByName(body)
+
+
+def _layout(meta: dict[str, str], key: str, labels: dict | None, delimiter: str, decimal: str, types: bool):
+    """The lines before the words, and functions that form a line of cells and show a share."""
     names = LABELS | (labels or {})
     head = [(name, F.lit(meta[name])) if name in meta else (name, F.col(key).cast("string")) if name == "file" else None for name in _META if name in meta or name not in _OPTIONAL]
     head = [h if h else (n, F.lit("")) for h, n in zip(head, [n for n in _META if n in meta or n not in _OPTIONAL])]
@@ -69,13 +80,18 @@ def csv_lines(totals: DataFrame, rows: DataFrame, meta: dict[str, str], key: str
     line = lambda *cells: F.concat_ws(delimiter, *[csv_cell(c, delimiter) for c in cells])
     columns = ["word", "count", "pct"] + ["types"] * types
     first = [line(F.lit(names[n]), value) for n, value in head] + [F.lit(""), line(*[F.lit(names[c]) for c in columns])]
-    top = totals.select(key, F.posexplode(F.array(*first)).alias("line_no", "line"))
-    share = F.replace(F.format_string("%.4f", "pct"), F.lit("."), F.lit(decimal))
-    cells = [F.col("word"), F.col("count"), share]
-    if types:
-        cells.append(F.array_join(F.filter("classes", lambda c: c != "other"), " / "))
-    body = rows.select(key, (F.col("rank") + len(first) - 1).cast("int").alias("line_no"), line(*cells).alias("line"))
-    return top.unionByName(body)
+    share = lambda pct: F.replace(F.format_string("%.4f", pct), F.lit("."), F.lit(decimal))
+    return first, line, share
+
+
+def csv_lines_of_reports(reports: DataFrame, meta: dict[str, str], key: str = "doc_id", labels: dict | None = None, delimiter: str = ",", decimal: str = ".") -> DataFrame:
+    """:func:`csv_lines` of ``report.doc_reports``: a document's lines come out of its row, so nothing is joined or ranked again."""
+    first, line, share = _layout(meta, key, labels, delimiter, decimal, False)
+    head = F.transform(F.array(*first), lambda x: F.struct(x.alias("line"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("count")))
+    body = F.transform("ranked", lambda x: F.struct(F.lit(None).cast("string").alias("line"), x["word"].alias("word"), x["count"].alias("count")))
+    rows = reports.select(key, "words", F.posexplode(F.concat(head, body)).alias("line_no", "x"))
+    shown = line(F.col("x.word"), F.col("x.count"), share(F.col("x.count") / F.col("words") * 100))
+    return rows.select(key, "line_no", F.coalesce("x.line", shown).alias("line"))
 
 
 def localised(totals: DataFrame, rows: DataFrame, meta: dict[str, str], language: str = "en", hidden: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:

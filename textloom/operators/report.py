@@ -110,13 +110,18 @@ def stats(blocks: DataFrame, *keys: str) -> DataFrame:
     return one.groupBy(*keys).agg(F.count(F.lit(1)).alias("blocks"), F.sum("w").alias("words"), F.sum("a").alias("chars_with_spaces"), F.sum("n").alias("chars_no_spaces"))
 
 
-def doc_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """:func:`stats` of texts, row by row: no shuffle at all. Texts without a block have no row."""
+def _joined_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, n, t, chars_with_spaces, chars_no_spaces: the blocks of each text, their number, joined by line ends, and their characters."""
     lines = F.transform(text_blocks(F.col(text_col)), lambda b: b["t"])
     once = docs.select(id_col, F.explode(F.array(lines)).alias("lines"))  # else the filter below forms all blocks again
     whole = once.select(id_col, F.size("lines").alias("n"), F.array_join("lines", "\n").alias("t"))
     breaks = F.greatest(F.col("n") - 1, F.lit(0))
-    return whole.where("n > 0").select(id_col, F.col("n").cast("long").alias("blocks"), T.count_words(F.col("t")).alias("words"), (T.chars_with_spaces(F.col("t")) - breaks).alias("chars_with_spaces"), T.chars_no_spaces(F.col("t")).alias("chars_no_spaces"))
+    return whole.where("n > 0").select(id_col, "n", "t", (T.chars_with_spaces(F.col("t")) - breaks).alias("chars_with_spaces"), T.chars_no_spaces(F.col("t")).alias("chars_no_spaces"))
+
+
+def doc_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`stats` of texts, row by row: no shuffle at all. Texts without a block have no row."""
+    return _joined_blocks(docs, id_col, text_col).select(id_col, F.col("n").cast("long").alias("blocks"), T.count_words(F.col("t")).alias("words"), "chars_with_spaces", "chars_no_spaces")
 
 
 def select_blocks(blocks: DataFrame, config: ReportConfig = ReportConfig()) -> DataFrame:
@@ -147,6 +152,74 @@ def words(texts: DataFrame, keys: tuple[str, ...] = (), text_col: str = "t", mer
     return out.select(*keys, (T.merge_possessive(word) if merge_possessive else word).alias("word"))
 
 
+def text_words(texts: DataFrame, keys: tuple[str, ...] = (), text_col: str = "text", merge_possessive: bool = False) -> DataFrame:
+    """:func:`words` of all blocks of texts, found without forming the blocks."""
+    return words(texts.select(*keys, T.visible(F.col(text_col)).alias("t")), keys, "t", merge_possessive)
+
+
+def _counted(ws: Column) -> Column:
+    """Array of (word, count) of an array of words that holds one at least: sorted, equal words stand together."""
+
+    def stretches(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        end = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(s))
+        return A.let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("word"), (end(at, k) - i).cast("long").alias("count"))))
+
+    return A.let(F.sort_array(ws), stretches)
+
+
+def _documents_counted(texts: DataFrame, id_col: str, text: Column, *sums: str) -> DataFrame:
+    """id, sums, total, counts: the words of each document as an array of (word, count); documents without a word have no row.
+
+    Texts of one id meet in one shuffle of the texts, which weighs less than their distinct words with keys and counts; all else happens within the row.
+    """
+    met = texts.select(id_col, text.alias("__t"), *sums).groupBy(id_col).agg(F.collect_list("__t").alias("__t"), *[F.sum(c).alias(c) for c in sums])
+    found = F.transform(T.tokens(F.array_join("__t", "\n")), T.normalize_word)
+    once = met.select(id_col, *sums, F.explode(F.array(found)).alias("__ws")).where("size(__ws) > 0")
+    return once.select(id_col, *sums, F.size("__ws").cast("long").alias("total"), F.explode(F.array(_counted(F.col("__ws")))).alias("counts"))
+
+
+def doc_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, total, counts) of whole texts; see :func:`doc_frequency` and :func:`doc_ranked` for a row a word."""
+    return _documents_counted(docs, id_col, T.visible(F.col(text_col)))
+
+
+def doc_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, word, count, pct): :func:`frequency` of every document."""
+    rows = doc_counts(docs, id_col, text_col).select(id_col, "total", F.explode("counts").alias("x"))
+    return rows.select(id_col, "x.word", "x.count", (F.col("x.count") / F.col("total") * 100).alias("pct"))
+
+
+def _in_order(counts: Column) -> Column:
+    """Counts as :func:`ranked` orders them."""
+    keyed = F.transform(counts, lambda x: F.struct((-x["count"]).alias("n"), collated(x["word"]).alias("c"), x["word"].alias("word")))
+    return F.transform(F.array_sort(keyed), lambda x: F.struct(x["word"].alias("word"), (-x["n"]).alias("count")))
+
+
+def doc_ranked(docs: DataFrame, first: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, word, count, rank) of the ``first`` words of every document, in the order of :func:`ranked`; rarer ones than the last are not sorted."""
+    least = lambda xs: F.coalesce(F.get(F.sort_array(F.transform(xs, lambda x: x["count"]), asc=False), F.lit(first - 1)), F.lit(0))
+    often = A.let(least(F.col("counts")), lambda n: F.filter("counts", lambda x: x["count"] >= n))
+    rows = doc_counts(docs, id_col, text_col).select(id_col, F.posexplode(F.slice(_in_order(often), 1, first)).alias("i", "x"))
+    return rows.select(id_col, "x.word", "x.count", (F.col("i") + 1).alias("rank"))
+
+
+def doc_reports(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, words, chars_no_spaces, chars_with_spaces, unique_words, ranked): what a document's CSV tells, ``ranked`` its (word, count) in order.
+
+    Blocks and words of a text are formed once.
+    """
+    sums = ("chars_no_spaces", "chars_with_spaces")
+    found = _documents_counted(_joined_blocks(docs, id_col, text_col), id_col, F.col("t"), *sums)
+    return found.select(id_col, F.col("total").alias("words"), *sums, F.size("counts").cast("long").alias("unique_words"), _in_order(F.col("counts")).alias("ranked"))
+
+
+def doc_max_share(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`max_share` of every document."""
+    most = F.array_max(F.transform("counts", lambda x: x["count"]))
+    return doc_counts(docs, id_col, text_col).select(id_col, (most / F.col("total") * 100).alias("max_pct"))
+
+
 def frequency(tokens: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, word, count, pct: counts combine map-side; totals come from the counts, not from the tokens."""
     counted = tokens.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("count"))
