@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +20,9 @@ def _one_of(value: Column, words: list[str]) -> Column:
 
 def is_number(word: Column, language: str = "en") -> Column:
     words = C.number_words(language)
-    parts = F.split(word, "-")
-    return word.rlike(C.NUMERAL) | _one_of(word, words) | (word.contains("-") & F.forall(parts, lambda p: _one_of(p, words)))
+    one = "(?:" + "|".join(map(re.escape, words)) + ")"
+    # A pattern, not a lambda over the parts: those are interpreted, with all that stands beside them.
+    return word.rlike(C.NUMERAL) | _one_of(word, words) | (word.contains("-") & word.rlike(rf"\A{one}(?:-{one})*\z"))
 
 
 def function_class(word: Column, language: str = "en") -> Column:
