@@ -118,15 +118,20 @@ def word_list_entries(groups: DataFrame) -> DataFrame:
     return groups.select(F.explode(entries("value")).alias("e")).select("e.*").distinct()
 
 
-def build(candidates: DataFrame, counts: DataFrame) -> DataFrame:
-    """A lexicon: every class of a word; rare if under a twentieth of five uses or more in the treebanks."""
-    seen = counts.groupBy("word").agg(F.sum("n").alias("total"))
-    rows = candidates.distinct().join(counts, ["word", "cls"], "left").join(seen, "word", "left")
-    rare = (F.coalesce("total", F.lit(0)) >= LEAST_SEEN) & (F.coalesce("n", F.lit(0)) / F.col("total") < RARE_SHARE)
+def build(candidates: DataFrame | None, counts: DataFrame) -> DataFrame:
+    """A lexicon: every class of a word; rare if under a twentieth of five uses or more in the treebanks.
+
+    Without ``candidates`` every class that was counted is one. Candidates and counts meet in the groups, so each is read once.
+    """
+    rows = counts.select("word", "cls", F.col("n").cast("long").alias("n"), F.lit(candidates is None).alias("listed"))
+    if candidates is not None:
+        rows = rows.unionByName(candidates.select("word", "cls", F.lit(None).cast("long").alias("n"), F.lit(True).alias("listed")))
+    each = rows.groupBy("word", "cls").agg(F.sum("n").alias("n"), F.bool_or("listed").alias("listed"))
     place = F.array_position(F.array(*[F.lit(c) for c in ORDER]), F.col("cls"))
-    rows = rows.select("word", F.struct(place.alias("i"), F.col("cls"), F.coalesce(rare, F.lit(False)).alias("rare")).alias("c"))
-    listed = rows.groupBy("word").agg(F.array_sort(F.collect_list("c")).alias("c"))
-    return listed.select("word", F.transform("c", lambda c: F.struct(c["cls"].alias("cls"), c["rare"].alias("rare"))).alias("classes"))
+    one = F.struct(place.alias("i"), F.col("cls"), F.coalesce("n", F.lit(0)).alias("n"))
+    words = each.groupBy("word").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.array_sort(F.collect_list(F.when(F.col("listed"), one))).alias("c"))
+    rare = lambda c: (F.col("total") >= LEAST_SEEN) & (c["n"] / F.col("total") < RARE_SHARE)
+    return words.where("size(c) > 0").select("word", F.transform("c", lambda c: F.struct(c["cls"].alias("cls"), rare(c).alias("rare"))).alias("classes"))
 
 
 def lines_v2(lexicon: DataFrame) -> tuple[str, DataFrame]:
