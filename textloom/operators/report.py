@@ -192,8 +192,10 @@ def doc_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _in_order(counts: Column) -> Column:
     """Counts as :func:`ranked` orders them."""
-    keyed = F.transform(counts, lambda x: F.struct((-x["count"]).alias("n"), collated(x["word"]).alias("c"), x["word"].alias("word")))
-    return F.transform(F.array_sort(keyed), lambda x: F.struct(x["word"].alias("word"), (-x["n"]).alias("count")))
+    # First in binary order, which is nearly the dictionary's: the sort that compares by the dictionary then finds long runs.
+    binary = F.sort_array(F.transform(counts, lambda x: F.struct((-x["count"]).alias("n"), x["word"].alias("word"))))
+    keyed = F.transform(binary, lambda x: F.struct(x["n"].alias("n"), collated(x["word"]).alias("c"), x["word"].alias("word")))
+    return F.transform(F.sort_array(keyed), lambda x: F.struct(x["word"].alias("word"), (-x["n"]).alias("count")))
 
 
 def doc_ranked(docs: DataFrame, first: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
