@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from textloom import constants as C
+from textloom.functions import text as T
 from textloom.operators import blocks as B
 from textloom.operators import roles
 from textloom.sources.model import Block, Document
@@ -56,3 +58,13 @@ def test_one_row_stays_one_row(spark):
     assert [b["r"] for b in rows[1]["blocks"]] == ["toc"] * 4 and rows[1]["caps"]["toc"] and rows[2]["warnings"] == rows[3]["warnings"] == ["noText"]
     assert roles.with_structure(spark.createDataFrame([(1, None)], f"doc_id int, blocks array<{B.BLOCK}>")).first()["blocks"] == []
     assert roles.with_structure(B.with_blocks(docs).withColumn("text", F.lit(1)), heuristics=False).where("caps.toc").count() == 0
+
+
+def test_marks_are_searched_only_behind_a_hint(spark):
+    """Plain searches come before the counts of words and the patterns; they let pass whatever the patterns could match."""
+    plan = spark.createDataFrame([], f"blocks array<{B.BLOCK}>").select(roles.mark_copyright(F.col("blocks")))._jdf.queryExecution().analyzed().toString()
+    assert 0 <= plan.find("contains(") < plan.find("regexp_count(") and C.COPYRIGHT_HINT not in plan
+    spelled = [f(h).replace(a, b) for h in C.COPYRIGHT_HINTS for f in (str.lower, str.upper, str.title) for a, b in (("", ""), ("i", "ı"), ("i", "İ"), ("I", "ı"), ("s", "ſ"), ("S", "ſ"), ("e", "é"), ("E", "É"))]
+    texts = spark.createDataFrame([(f"Straße {x}Σ",) for x in spelled] + [("",), ("no mark",)], "t string")
+    rows = texts.select("t", F.col("t").rlike("(?iu)" + C.COPYRIGHT_HINT).alias("pattern"), T.may_be_marked(F.col("t")).alias("hint")).collect()
+    assert sum(r["pattern"] for r in rows) > 250 and all(r["hint"] for r in rows if r["pattern"]) and not rows[-1]["hint"] and not rows[-2]["hint"]

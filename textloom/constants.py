@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # White space and the characters that normalising deletes, as members of a character class (Java syntax).
 SPACE = r"\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 DELETED = r"\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{FFFC}\x{FFFD}\x{00}-\x{08}\x{0E}-\x{1F}"
@@ -92,8 +94,9 @@ CHAPTER = (
 )
 TOC_TITLE = r"^(?:table of contents|contents|content|toc|[íi]ndice|sumario|sommaire|table des mati[eè]res|inhalt|inhaltsverzeichnis|indice|sum[aá]rio)[:.]?$"
 INDEX_TITLE = r"^(?:index|general index|subject index|index of names|[íi]ndice (?:alfab[eé]tico|anal[ií]tico)|index alphab[eé]tique|register)[:.]?$"
-#: Every mark below holds one of these, so most texts need a single search.
-COPYRIGHT_HINT = r"©|\(c\)|copyright|r[eé]serv|isbn|publish|first|printed|library|catalog|no part|cover|typeset|imprint|edition|permission|fictitious|coincidental|resemblance|dep"
+#: Every mark below holds one of these in lower case, so most texts need no search for each.
+COPYRIGHT_HINTS = ("©", "(c)", "copyright", "reserv", "réserv", "isbn", "publish", "first", "printed", "library", "catalog", "no part", "cover", "typeset", "imprint", "edition", "permission", "fictitious", "coincidental", "resemblance", "dep")
+COPYRIGHT_HINT = "|".join(map(re.escape, COPYRIGHT_HINTS))
 # Marks of a copyright page; \b stands for an ASCII word boundary.
 COPYRIGHT_MARKS = (
     r"©",

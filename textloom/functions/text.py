@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import operator
 import re
 import unicodedata
 
@@ -82,7 +83,7 @@ def looks_like_heading(text: Column) -> Column:
     letters = F.regexp_replace(text, r"[^\p{L}]", "")
     capitals = (F.char_length(letters) >= 3) & (words <= 8) & (letters == F.upper(letters)) & (letters != F.lower(letters))
     return (
-        F.when(utf16_length(text) > 80, False)
+        F.when((F.char_length(text) > 80) | (utf16_length(text) > 80), False)
         .when((words == 0) | (words > 12), False)
         .when(matches(text, C.CHAPTER + r"\b"), ~text.rlike(r"[,;]\z"))
         .when(text.rlike(r"^[IVXLCDM]{1,7}\.?\z") & ~text.isin("I", "I."), True)
@@ -93,12 +94,28 @@ def looks_like_heading(text: Column) -> Column:
     )
 
 
-def marker_count(text: Column) -> Column:
-    """How many of the copyright marks a text holds."""
+def may_be_marked(text: Column) -> Column:
+    """Whether a text holds what a copyright mark can't do without: plain searches in its lower case, much cheaper than the patterns.
+
+    Patterns that ignore case take the long s for s, and both Turkish i for i, so here they are the same, too.
+    """
+    low = F.lower(text)
+    for odd, plain in (("ſ", "s"), ("ı", "i"), ("i\u0307", "i")):
+        low = F.replace(low, F.lit(odd), F.lit(plain))
+    return A.let(low, lambda x: functools.reduce(operator.or_, [x.contains(hint) for hint in C.COPYRIGHT_HINTS]))
+
+
+def marks_found(text: Column) -> Column:
+    """How many of the copyright marks a text holds, each searched for."""
     total = F.lit(0)
     for pattern in C.COPYRIGHT_MARKS:
         total = total + matches(text, pattern).cast("int")
-    return F.when(text.isNull() | text.rlike("(?iu)" + C.COPYRIGHT_HINT), total).otherwise(0)
+    return total
+
+
+def marker_count(text: Column) -> Column:
+    """How many of the copyright marks a text holds."""
+    return F.when(text.isNull() | may_be_marked(text), marks_found(text)).otherwise(0)
 
 
 def csv_cell(value: Column, delimiter: str = ",") -> Column:

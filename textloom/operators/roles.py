@@ -105,13 +105,17 @@ def _ends(starts: Column, size: Column) -> Column:
 
 
 def mark_copyright(blocks: Column) -> Column:
-    """Short segments near front or back full of copyright marks; without one, clusters of marked blocks near the front."""
+    """Short segments near front or back full of copyright marks; without one, clusters of marked blocks near the front.
+
+    No mark reaches over the end of a block without a hint of its own, so words are counted and marks searched for only where a block holds one.
+    """
     n = F.size(blocks)
     runs = F.transform(blocks, lambda b: T.run_count(b["t"]).cast("long"))
     totals = A.running(runs, lambda a, b: a + b)
+    hinted = F.transform(blocks, lambda b: F.coalesce(T.may_be_marked(b["t"]), F.lit(False)))
 
-    def ruled(w: Column) -> Column:
-        """``w``: words up to each block, itself included."""
+    def ruled(w: Column, hints: Column) -> Column:
+        """``w``: words up to each block, itself included; ``hints``: whether it may hold a mark."""
         before = lambda i: F.when(i > 0, F.get(w, i - 1)).otherwise(F.lit(0).cast("long"))
         total = F.coalesce(F.get(w, n - 1), F.lit(0).cast("long"))
         front, back = F.greatest(total * 0.25, F.lit(float(FRONT_WORDS))), total * 0.9
@@ -119,16 +123,17 @@ def mark_copyright(blocks: Column) -> Column:
 
         def page(x: Column) -> Column:
             seen, own = before(x["a"]), F.slice(blocks, x["a"] + 1, x["b"] - x["a"])
-            short = ((seen <= front) | (seen >= back)) & (before(x["b"]) - seen <= PAGE_WORDS) & ~F.exists(own, lambda b: b["r"].isNotNull())
+            hint = F.array_contains(F.slice(hints, x["a"] + 1, x["b"] - x["a"]), True)
+            short = hint & ((seen <= front) | (seen >= back)) & (before(x["b"]) - seen <= PAGE_WORDS) & ~F.exists(own, lambda b: b["r"].isNotNull())
             text = F.concat(F.array_join(F.transform(own, lambda b: b["t"]), "\n"), F.lit("\n"))
-            full = lambda t: A.let(T.marker_count(t), lambda m: (m >= 3) | ((m == 2) & T.matches(t, "©|copyright|all rights reserved")))
+            full = lambda t: A.let(T.marks_found(t), lambda m: (m >= 3) | ((m == 2) & T.matches(t, "©|copyright|all rights reserved")))
             return F.when(short, A.let(text, full)).otherwise(False)
 
         segments = A.let(F.filter(begins, lambda i: i.isNotNull()), lambda starts: _ends(starts, n))
         pages = F.filter(segments, page)
 
         def clusters() -> Column:
-            mark = lambda b, i: F.when((before(i) <= front) & b["r"].isNull() & (T.run_count(b["t"]) <= MARKED_WORDS), T.marker_count(b["t"])).otherwise(0)
+            mark = lambda b, i: F.when(F.get(hints, i) & (before(i) <= front) & b["r"].isNull() & (T.run_count(b["t"]) <= MARKED_WORDS), T.marks_found(b["t"])).otherwise(0)
             marked = F.filter(F.transform(blocks, lambda b, i: F.struct(i.alias("i"), mark(b, i).alias("m"))), lambda x: x["m"] > 0)
 
             def grouped(ms: Column) -> Column:
@@ -151,7 +156,7 @@ def mark_copyright(blocks: Column) -> Column:
         chosen = A.let(pages, lambda ps: F.when(F.size(ps) > 0, ps).otherwise(clusters()))
         return A.let(chosen, lambda spans: F.when(F.size(spans) > 0, marked(spans)).otherwise(blocks))
 
-    return A.let(totals, ruled)
+    return A.let(hinted, lambda hints: F.when(F.array_contains(hints, True), A.let(totals, lambda w: ruled(w, hints))).otherwise(blocks))
 
 
 def structured(blocks: Column) -> Column:
