@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import constants as C
 from textloom import registry
 from textloom.functions import text as T
 from textloom.operators import blocks as B
@@ -98,3 +99,18 @@ def test_documents_of_one_id_count_together(spark, tmp_path):
     lines = {(r["doc_id"], r["line_no"]): r["line"] for r in QUERIES["csv_report_blocks"](spark, str(tmp_path)).collect()}
     assert all(lines[r["doc_id"], r["rank"] + 10].split(",")[-2] == str(r["count"]) for r in ranked.collect())
     assert lines[0, 8] == f"Unique words,{len([1 for i, _ in counted if i == 0])}" and lines[0, 5] == f"Word count,{total[0]}"
+
+
+def test_texts_without_anything_to_normalise_are_split_only(spark):
+    """The first branch must split and no more, and take no text that the others would change."""
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    branch = plan(B.with_blocks(docs)).split("CASE WHEN ")[1].split(" WHEN ")[0]
+    assert "split(" in branch and "regexp_replace(" not in branch
+    chars = spark.range(1, 0x110000).where("id not between 55296 and 57343").select("id", F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    both = chars.where(F.col("c").rlike(f"^{C.PLAIN}\\z") & F.col("c").rlike(f"^[{C.SPACE}{C.DELETED}]\\z"))
+    assert [r["id"] for r in both.orderBy("id").collect()] == [10, 32]
+    odd = ["a  b", " a", "a ", "\na", "a\n", "a\n\nb", "a \nb", "a\n b", "a\tb\nc", "a\u200bb", "", " ", "\n", "a\nb\n\n \nc", "é\u3000中", "a b\nc 😀 “d”"]
+    texts = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").withColumn("mark", F.lit("\u00ad"))
+    marked = F.when(F.col("text") == "", "").otherwise(F.concat("text", "mark"))  # a deleted character at the end sends a text the long way
+    for r in texts.select("text", B.text_blocks(F.col("text")).alias("short"), B.text_blocks(marked).alias("long")).collect():
+        assert r["short"] == r["long"], r["text"]

@@ -7,6 +7,8 @@ import re
 # White space and the characters that normalising deletes, as members of a character class (Java syntax).
 SPACE = r"\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 DELETED = r"\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{FFFC}\x{FFFD}\x{00}-\x{08}\x{0E}-\x{1F}"
+#: Characters that are neither, save the space and the line feed (control characters from 7F on are left out); printable ASCII stands first, since classes are tried in order.
+PLAIN = r"[ -~[\n\x{A1}-\x{AC}\x{AE}-\x{167F}\x{1681}-\x{1FFF}\x{200E}-\x{2027}\x{202A}-\x{202E}\x{2030}-\x{205E}\x{2061}-\x{2FFF}\x{3001}-\x{FEFE}\x{FF00}-\x{FFFB}\x{10000}-\x{10FFFF}]]"
 # A word, for Java (possessive, so long words neither backtrack nor recurse) and for RE2.
 WORD = r"[\p{L}\p{M}\p{N}]++(?:(?:['’ʼ\-‐‑]|[.,](?=\p{N}))[\p{L}\p{M}\p{N}]++)*+"
 WORD_RE2 = r"[\p{L}\p{M}\p{N}]+(?:['’ʼ\-‐‑][\p{L}\p{M}\p{N}]+|[.,]\p{N}[\p{L}\p{M}\p{N}]*)*"

@@ -15,6 +15,8 @@ from textloom.functions import arrays as A
 
 #: What may part the cells of a CSV text, the likeliest first.
 DELIMITERS = (",", ";", "\t", "|")
+#: White space that isn't a single space.
+_SPACES = f" [{C.SPACE}]++|[[^ -~]&&[{C.SPACE}]][{C.SPACE}]*+"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -28,7 +30,7 @@ def trimmed(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """Invisible characters deleted, white space collapsed to single spaces, ends trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, f"[{C.DELETED}]", ""), f"[{C.SPACE}]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, f"[{C.DELETED}]", ""), _SPACES, " "))
 
 
 def tokens(text: Column) -> Column:

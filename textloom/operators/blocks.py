@@ -10,6 +10,7 @@ from textloom.functions import text as T
 
 _BLANK = f"[{C.SPACE}&&[^\\n]]*+"
 _PARTED = rf"[\r\f]|\A{_BLANK}(?:\n|\z)|\n{_BLANK}(?:\n|\z)"
+_NORMAL = rf"\A(?![ \n]){C.PLAIN}*+\z(?<![ \n])"
 BLOCK = "struct<t:string,k:string,r:string,s:int>"
 
 
@@ -32,10 +33,13 @@ def _blank_separated(lines: Column) -> Column:
 def text_blocks(text: Column) -> Column:
     """Blocks of a plain text, as an array: pages at form feeds, each a section of its own if it holds anything.
 
-    A text without blank lines, CR and form feeds is one page of lines, found without trimming each.
+    A text without blank lines, CR and form feeds is one page of lines, found without trimming each; most of these hold nothing to normalise either,
+    which one search over the whole text tells.
     """
-    plain = F.transform(F.filter(F.transform(F.split(text, "\n", -1), T.normalized), lambda t: t != ""), lambda t: _block(t, F.lit(0)))
-    return F.when(text.rlike(_PARTED), _paged_blocks(text)).otherwise(plain)
+    lines = F.split(text, "\n", -1)
+    blocks = lambda texts: F.transform(F.filter(texts, lambda t: t != ""), lambda t: _block(t, F.lit(0)))
+    normal = text.rlike(_NORMAL) & ~(text.contains("  ") | text.contains(" \n") | text.contains("\n ") | text.contains("\n\n"))
+    return F.when(normal, blocks(lines)).when(text.rlike(_PARTED), _paged_blocks(text)).otherwise(blocks(F.transform(lines, T.normalized)))
 
 
 def _block(text: Column, section: Column) -> Column:
